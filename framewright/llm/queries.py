@@ -3,17 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from . import langid, quality
+from .common import documents, fold, table
 from .token_count import count_tokens
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.predict_language(docs, langid.fit(docs, k=3, held_out=1))
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), k=5, remainder=0)
+    found = quality.score_quality(docs, model, threshold=0.3)
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_token_counts,)}
+    return {f.__name__: f for f in (op7_language_id, op8_quality_classifier, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
