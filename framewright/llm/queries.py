@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import bpe, langid, quality
 from .common import documents, fold, table
 from .token_count import count_tokens
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(documents(spark, sf_dir), "word_bpe_49k.json")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.predict_language(docs, langid.fit(docs, k=3, held_out=1))
@@ -28,7 +32,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_language_id, op8_quality_classifier, op9_token_counts)}
+    return {f.__name__: f for f in (op3_bpe, op7_language_id, op8_quality_classifier, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
