@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from . import bpe, langid, quality
 from .common import documents, fold, table
+from .minhash import near_duplicates
 from .token_count import count_tokens
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=4, percent=80)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), "word_bpe_49k.json")
 
@@ -32,7 +37,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe, op7_language_id, op8_quality_classifier, op9_token_counts)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_bpe, op7_language_id, op8_quality_classifier, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
