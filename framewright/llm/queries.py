@@ -9,6 +9,7 @@ from . import bpe, langid, quality
 from .common import documents, fold, table
 from .cover_tree import near_vectors
 from .minhash import near_duplicates
+from .nearest import nearest
 from .token_count import count_tokens
 
 
@@ -20,6 +21,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), "word_bpe_49k.json")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op6_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -42,7 +47,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_bpe, op6_cover_tree_near_dedup, op7_language_id, op8_quality_classifier, op9_token_counts)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_bpe, op4_nearest_neighbours, op6_cover_tree_near_dedup, op7_language_id, op8_quality_classifier, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
