@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality
+from . import bpe, langid, mixing, quality
 from .common import documents, fold, table
 from .cover_tree import near_vectors
 from .minhash import near_duplicates
@@ -17,6 +17,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=4, percent=80)
 
 
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), "word_bpe_49k.json")
 
@@ -47,8 +51,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_bpe, op4_nearest_neighbours, op6_cover_tree_near_dedup, op7_language_id, op8_quality_classifier, op9_token_counts)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_temperature_mixing, op3_bpe, op4_nearest_neighbours, op6_cover_tree_near_dedup, op7_language_id, op8_quality_classifier, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_temperature_mixing": mixing.oracle_sql()}
