@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality
+from . import bpe, langid, mixing, quality, repair
 from .common import documents, fold, table
 from .cover_tree import near_vectors
 from .minhash import near_duplicates
@@ -29,6 +29,10 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op5_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(documents(spark, sf_dir), "word_bpe_49k.json", end_id=1)
+
+
 def op6_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -51,7 +55,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_temperature_mixing, op3_bpe, op4_nearest_neighbours, op6_cover_tree_near_dedup, op7_language_id, op8_quality_classifier, op9_token_counts)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_temperature_mixing, op3_bpe, op4_nearest_neighbours, op5_repair_token_files, op6_cover_tree_near_dedup, op7_language_id, op8_quality_classifier, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
