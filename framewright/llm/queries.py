@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, repair
+from . import bpe, langid, mixing, quality, repair, warc
 from .common import documents, fold, table
 from .cover_tree import near_vectors
 from .minhash import near_duplicates
@@ -54,9 +54,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_temperature_mixing, op3_bpe, op4_nearest_neighbours, op5_repair_token_files, op6_cover_tree_near_dedup, op7_language_id, op8_quality_classifier, op9_token_counts)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_temperature_mixing, op3_bpe, op4_nearest_neighbours, op5_repair_token_files, op6_cover_tree_near_dedup, op7_language_id, op8_quality_classifier, op9_token_counts, op10_warc_zip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_temperature_mixing": mixing.oracle_sql()}
+    return {"op2_temperature_mixing": mixing.oracle_sql(), "op10_warc_zip": warc.ORACLE_SQL}
