@@ -194,13 +194,8 @@ def fit(docs: DataFrame, k: int = 3, held_out: int = 1, sample_docs: int = SAMPL
     return train(matrix, lengths, np.searchsorted(names, rows["lang"].to_numpy()) if names else np.zeros(0, int), names)
 
 
-def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score``, one row for each input row.
-
-    ``und`` with score 0 for a null text, a text without a letter, or when nothing was
-    learned. Ties go to the first language by name. Every byte of a long text counts;
-    other columns are ignored, whatever their names.
-    """
+def language_column(docs: DataFrame, model: Model, text_col: str = "text"):
+    """A struct column ``lang_pred, score`` of the texts of ``docs``."""
     spread = docs.sparkSession.sparkContext.broadcast(model)  # under 100 kB at any input size
 
     def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -212,8 +207,25 @@ def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text
             best = np.where(score > 0, best, len(names) - 1)
             yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], ["lang", "score"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lettered = F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
-    guessed = rows.select("doc_id", lettered.alias("lettered"), F.arrow_udf(language, "lang string, score double")(F.coalesce("text", F.lit(""))).alias("found"))
-    known = F.col("lettered") & (F.col("found.lang") != "und")
-    return guessed.select("doc_id", F.when(known, F.col("found.lang")).otherwise("und").alias("lang_pred"), F.when(known, F.col("found.score")).otherwise(0.0).alias("score"))
+    text = F.col(text_col)
+    found = F.arrow_udf(language, "lang string, score double")(F.coalesce(text, F.lit("")))
+    known = text.isNotNull() & text.rlike(r"\p{L}") & (found["lang"] != "und")
+    return F.struct(F.when(known, found["lang"]).otherwise("und").alias("lang_pred"), F.when(known, found["score"]).otherwise(0.0).alias("score"))
+
+
+def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, lang_pred, score``, one row for each input row.
+
+    ``und`` with score 0 for a null text, a text without a letter, or when nothing was
+    learned. Ties go to the first language by name. Every byte of a long text counts;
+    other columns are ignored, whatever their names.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), language_column(docs, model, text_col).alias("found"))
+    return rows.select("doc_id", "found.lang_pred", "found.score")
+
+
+def keep_languages(docs: DataFrame, model: Model, least: float = 0.35, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with a score of ``least`` or more."""
+    columns = docs.columns
+    judged = docs.withColumn("_language", language_column(docs, model, text_col))
+    return judged.where((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= least)).select(columns)

@@ -202,3 +202,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     result = table.select("doc_id", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), F.when(F.col("n") > 0, F.col("h2")).alias("h2")).join(named, ["h1", "h2"], "left")
     component = F.coalesce("component", "doc_id")
     return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document of each near-duplicate group: that with the
+    smallest id. Of rows that share an id one stays; rows with a null id all stay."""
+    chosen = near_duplicates(docs, words, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    one = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

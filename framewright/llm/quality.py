@@ -184,17 +184,28 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 5, remainder: int = 0, samp
     return train(matrix, owner, labels_by)
 
 
+def quality_column(docs: DataFrame, model: Model, text_col: str = "text"):
+    """A column of the scores of the texts of ``docs``."""
+    spread = docs.sparkSession.sparkContext.broadcast(model)  # 100 kB at any input size
+
+    def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(scores(texts, spread.value), pa.float64())
+
+    return F.arrow_udf(quality, "double")(text_or_empty(text_col))
+
+
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``doc_id, score, predicted``, one row for each input row.
 
     Null and empty texts are one chunk of padding and get that chunk's score; every
     chunk of a long text counts. Other columns are ignored, whatever their names.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(model)  # 100 kB at any input size
+    rows = docs.select(F.col(id_col).alias("doc_id"), quality_column(docs, model, text_col).alias("score"))
+    return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
-    def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array(scores(texts, spread.value), pa.float64())
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.select("doc_id", F.arrow_udf(quality, "double")("text").alias("score")).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+def keep_quality(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is ``threshold`` or more."""
+    columns = docs.columns
+    return docs.withColumn("_quality", quality_column(docs, model, text_col)).where(F.col("_quality") >= threshold).select(columns)
