@@ -9,8 +9,9 @@ confirmed on their full shingle sets.
 Documents with the same shingle set are one class and are compared once. In a table's
 bucket members are compared with one hub at a time, never all with all: the first hub
 is the member that shares most buckets (the text the others were derived from shares
-more of them than any of its copies); further rounds take other hubs in buckets that
-still hold members of different components, until a round links nothing new.
+more of them than any of its copies); hubs leave the bucket once compared, and further
+rounds take HUBS others in buckets that still hold members of different components,
+until none is left or a round links nothing new.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, saved, text_or_empty
@@ -37,6 +38,8 @@ _PLACES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uin
 #: Least equal minimum hashes of HASHES for a pair to be compared in full: a pair of
 #: similarity 0.8 has fewer with probability below 1e-6.
 LEAST_EQUAL = 27
+#: Hubs of a bucket in each round after the first.
+HUBS = 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,36 +151,52 @@ def shared_tables(classes: DataFrame) -> DataFrame:
 
 
 def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b``: confirmed links that connect every component of the classes."""
+    """``rep, component``: components of the classes by confirmed links.
+
+    A round compares the hubs of each bucket with its other members outside their
+    component, and takes the hubs out: all their pairs there are settled. Buckets of
+    one component, or of one member, are done.
+    """
     buckets = saved(shared_tables(classes), "buckets")
     busy = buckets.groupBy("rep").agg(F.sum("members").alias("busy"))
-    buckets = saved(buckets.join(busy, "rep").select("key", "rep", "busy"), "buckets")
+    buckets = saved(buckets.drop("members").join(busy, "rep"), "buckets")
     light = saved(classes.select("rep", "n", "short").join(busy.select("rep"), "rep", "left_semi"), "light")
     texts = saved(docs.join(busy.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
-    links = tested = group = None
+    sides = [light.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("short").alias(f"short{s}")) for s in "ab"]
+    full = [texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text{s}")) for s in "ab"]
+    equal = F.aggregate(F.zip_with("shorta", "shortb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
+    buckets = buckets.withColumn("component", F.col("rep"))
+    tested = group = None
     turn = 0
     while True:
-        members = buckets.withColumn("component", F.col("rep")) if group is None else buckets.join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         score = F.col("busy") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-        hubs = members.groupBy("key").agg(F.max(F.struct(score, -F.col("rep"), "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        found = members.join(hubs, "key").where("component != hub.component").select(F.least("rep", -F.col("hub.col2")).alias("a"), F.greatest("rep", -F.col("hub.col2")).alias("b")).distinct()
+        place = F.row_number().over(Window.partitionBy("key").orderBy(score.desc(), "rep"))
+        hubs = buckets.select("key", "component", "rep", place.alias("place")).where(F.col("place") <= (1 if turn == 0 else HUBS)).select("key", F.col("rep").alias("hub"), F.col("component").alias("its"))
+        found = buckets.join(hubs, "key").where("component != its").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
-        sides = [light.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("short").alias(f"short{s}")) for s in "ab"]
-        equal = F.aggregate(F.zip_with("shorta", "shortb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
-        likely = found.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(equal >= LEAST_EQUAL).select("a", "b").distinct()
-        pairs = saved(likely, "pairs")
-        full = [texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text{s}")) for s in "ab"]
-        checked = pairs.join(full[0], "a").join(full[1], "b").select("a", "b", linked_udf(words, percent)("texta", "textb").alias("linked"))
-        new = saved(checked.where("linked").select("a", "b").distinct(), "links")
-        gained = new.limit(1).count()
-        tested = pairs if tested is None else saved(tested.unionByName(pairs), "tested")
-        links = new if links is None else links.unionByName(new)
-        turn += 1
-        if not gained and turn > 1:
-            return group if group is not None else components(links).select(F.col("node").alias("rep"), "component")
+        likely = found.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(equal >= LEAST_EQUAL)
+        pairs = saved(likely.select("a", "b").distinct(), "pairs")
+        gained = False
+        if not pairs.isEmpty():
+            checked = pairs.join(full[0], "a").join(full[1], "b").select("a", "b", linked_udf(words, percent)("texta", "textb").alias("linked"))
+            links = saved(checked.where("linked").select("a", "b"), "links")
+            gained = not links.isEmpty()
         if gained:
+            if group is not None:
+                links = links.unionByName(group.where("rep != component").select(F.col("rep").alias("a"), F.col("component").alias("b")))
             group = saved(components(links).select(F.col("node").alias("rep"), "component"), "groups")
+        if turn and not gained:
+            break
+        left = buckets.drop("component").join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
+        left = left.join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep")) if group is not None else left.withColumn("component", F.col("rep"))
+        mixed_keys = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        buckets = saved(left.join(mixed_keys, "key", "left_semi"), "buckets")
+        if buckets.isEmpty():
+            break
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        turn += 1
+    return group if group is not None else classes.select("rep", F.col("rep").alias("component")).limit(0)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
