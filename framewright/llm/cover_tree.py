@@ -23,7 +23,7 @@ from .components import components
 from .vectors import matrix, usable_vectors
 
 #: Vectors aimed at in a cell and seekers in one task of it; bound of the pivots.
-CELL, SEEKERS, PIVOTS, PIVOT_BYTES = 512, 2048, 4096, 8 << 20
+CELL, SEEKERS, PIVOTS, PIVOT_BYTES = 2048, 4096, 4096, 8 << 20
 #: Doubt about a distance in double precision: nearer to the threshold, pairs are
 #: compared by their cosine.
 DOUBT = 1e-7
@@ -41,6 +41,29 @@ class Level:
     end: np.ndarray
 
 
+def net(points: np.ndarray, members: np.ndarray, radius: float, block: int = 256) -> tuple[list, list, list, list]:
+    """Centres among ``members`` further apart than ``radius``, the first member first,
+    with the members that each takes, their number and the covering radius.
+
+    Distances of a block of members to all that are left come from one product.
+    """
+    ordered, centres, sizes, radii, left = [], [], [], [], members
+    while len(left):
+        gaps = np.sqrt(np.maximum(2 - 2 * (points[left[:block]] @ points[left].T), 0))
+        free = np.ones(len(left), bool)
+        for k in range(len(gaps)):
+            if free[k]:
+                gaps[k, k] = 0
+                near = np.flatnonzero(free & (gaps[k] <= radius))
+                free[near] = False
+                centres.append(left[k])
+                ordered.append(left[near])
+                sizes.append(len(near))
+                radii.append(float(gaps[k, near].max()))
+        left = left[free]
+    return ordered, centres, sizes, radii
+
+
 def build(points: np.ndarray, smallest: float) -> tuple[np.ndarray, list[Level]]:
     """Order of the unit vectors and levels with radii 2, 1, 1/2 ... ``smallest``.
 
@@ -63,16 +86,7 @@ def build(points: np.ndarray, smallest: float) -> tuple[np.ndarray, list[Level]]
             if last:
                 parts.append((i, members, members, [1] * (e - b), [0.0] * (e - b)))
                 continue
-            left, ordered, centres, sizes, radii = members, [], [], [], []
-            while len(left):
-                gap = np.sqrt(np.maximum(2 - 2 * (points[left] @ points[left[0]]), 0))
-                gap[0] = 0
-                near = gap <= radius
-                centres.append(left[0])
-                ordered.append(left[near])
-                sizes.append(int(near.sum()))
-                radii.append(float(gap[near].max()))
-                left = left[~near]
+            ordered, centres, sizes, radii = net(points, members, radius)
             parts.append((i, np.concatenate(ordered), np.array(centres), sizes, radii))
         order = np.concatenate([p[1] for p in parts])
         sizes = np.array([s for p in parts for s in p[3]])
@@ -195,23 +209,26 @@ def deal(reach: float, pivots: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pandas()
-            homes, gaps, visits = np.zeros(len(rows), np.int64), np.zeros(len(rows)), [None] * len(rows)
+            homes, gaps = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+            at, cells, apart = [], [], []
             for key, part in rows.groupby(["label", "dim"]).indices.items():
                 numbers, centres = pivots[key]
                 x = unit(np.stack(rows["v"].to_numpy()[part]))
                 square = np.maximum(2 - 2 * (x @ centres.T), 0)
-                near = square.argmin(1)
+                near, each = square.argmin(1), np.arange(len(part))
                 between = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))[near]
-                beyond = (square - square[np.arange(len(part)), near][:, None]) <= 2 * between * (reach + DOUBT)
-                beyond[np.arange(len(part)), near] = False
-                homes[part], gaps[part] = numbers[near], np.sqrt(square[np.arange(len(part)), near])
-                for i, row in zip(part, beyond, strict=True):
-                    visits[i] = numbers[row]
-                    # distances to those pivots, for the test against covering radii
-                for i, d in zip(part, np.sqrt(square), strict=True):
-                    visits[i] = list(zip(visits[i].tolist(), d[np.searchsorted(numbers, visits[i])].tolist(), strict=True))
-            kind = pa.list_(pa.struct([("cell", pa.int64()), ("gap", pa.float64())]))
-            near_by = pa.array([[{"cell": c, "gap": g} for c, g in v] for v in visits], kind)
+                beyond = (square - square[each, near][:, None]) <= 2 * between * (reach + DOUBT)
+                beyond[each, near] = False
+                homes[part], gaps[part] = numbers[near], np.sqrt(square[each, near])
+                row, column = np.nonzero(beyond)
+                at.append(part[row])
+                cells.append(numbers[column])
+                apart.append(np.sqrt(square[row, column]))
+            at, cells, apart = (np.concatenate(v) if v else np.zeros(0) for v in (at, cells, apart))
+            order = np.argsort(at, kind="stable")
+            begins = np.concatenate([[0], np.cumsum(np.bincount(at.astype(np.int64), minlength=len(rows)))]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(cells[order].astype(np.int64)), pa.array(apart[order].astype(float))], ["cell", "gap"])
+            near_by = pa.ListArray.from_arrays(pa.array(begins), pairs)
             yield pa.RecordBatch.from_arrays([batch["rep"], batch["weight"], batch["v"], pa.array(homes), pa.array(gaps), near_by], ["rep", "weight", "v", "cell", "gap", "visits"])
 
     return run
