@@ -38,6 +38,7 @@ def capped(units: DataFrame, pools: DataFrame, keys: list[str], x: str, n: str,
     bound = largest_n(pools, n)
     top = units.where(F.col(x) > 0).select(*keys, x).withColumn("_j", F.row_number().over(by)).where(F.col("_j") <= bound)
     top = join_pools(top, pools.select(*keys, F.col(n).alias("_k"), F.col(total).alias("_whole")) if keys else pools.select(F.col(n).alias("_k"), F.col(total).alias("_whole")), keys).where("_j <= _k")
+    by = part.orderBy("_j")  # equal sizes keep their places
     before = F.coalesce(F.sum(x).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     top = top.withColumn("_suffix", F.col("_whole") - before).withColumn("_holds", (F.col("_k") - F.col("_j") + 1) * F.col(x) >= F.col("_suffix"))
     top = top.withColumn("_all", F.min("_holds").over(by.rowsBetween(Window.unboundedPreceding, 0))).where("_all")
