@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -54,6 +55,9 @@ class Vocabulary:
         self.letters = byte_letters()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"\s", SPACES[1:-2]), regex.V0)
+        # the same pattern over the characters below 256, for Python's faster engine
+        below = {k: "".join(re.escape(c) for c in map(chr, range(256)) if unicodedata.category(c)[0] == k) for k in "LN"}
+        self.latin = re.compile(pattern.replace(r"\p{L}", below["L"]).replace(r"\p{N}", below["N"]).replace(r"\s", r"\t-\r \x85\xa0"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {(self.ids[a], self.ids[b]): (k, self.ids[a + b]) for k, (a, b) in reversed([*enumerate(merges)]) if a in self.ids and b in self.ids and a + b in self.ids}
@@ -233,7 +237,7 @@ class Vocabulary:
             if not piece.isascii():
                 piece = unicodedata.normalize("NFC", piece)
             piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
-            found += self.words.findall(piece)
+            found += (self.latin if latin(piece) else self.words).findall(piece)
         return found
 
     def lettered(self, word: str) -> str:
@@ -278,6 +282,14 @@ class Vocabulary:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def vocabulary(path: str) -> Vocabulary:
     if path not in _loaded:
         _loaded[path] = Vocabulary(path)

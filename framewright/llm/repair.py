@@ -14,6 +14,7 @@ few bytes each (2 or 4) as hold them.
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,8 @@ MAGIC = b"RPIDS001"
 #: Ids in a shard at least (a document is never split), rounds of rewriting, rules in a
 #: round, and occurrences that a rule needs.
 SHARD_IDS, ROUNDS, RULES, LEAST = 1 << 20, 5, 4096, 24
-_BUCKETS = 20
+_BUCKETS = 18
+_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 _models: dict[str, object] = {}
 
 
@@ -52,7 +54,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, most: in
     """Re-Pair in rounds: each takes the ``most`` pairs that stand ``least`` times or
     more, and replaces them from the left, none that overlaps one replaced before."""
     first = int(ids.max()) + 1 if len(ids) else 0
-    sequence = ids.astype(np.int64)
+    sequence = ids.astype(np.uint32)
     is_last = np.zeros(len(ids), bool)
     ends = starts[1:][np.diff(starts) > 0]
     is_last[ends - 1] = True
@@ -62,13 +64,12 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, most: in
     for _ in range(rounds):
         if len(sequence) < 2:
             break
-        key = sequence[:-1] << 32 | sequence[1:]
-        key[is_last[:-1]] = -1
-        bucket = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
-        often = np.flatnonzero((np.bincount(bucket, minlength=1 << _BUCKETS) >= least)[bucket] & (key >= 0))
+        # a pair can stand often enough only if its bucket does
+        bucket = (sequence[:-1] * _MIX[0] + sequence[1:] * _MIX[1]) >> np.uint32(32 - _BUCKETS)
+        often = np.flatnonzero((np.bincount(bucket, minlength=1 << _BUCKETS) >= least)[bucket] & ~is_last[:-1])
         if not len(often):
             break
-        where, pairs = pd.factorize(key[often])
+        where, pairs = pd.factorize(sequence[often].astype(np.int64) << 32 | sequence[often + 1])
         counts = np.bincount(where)
         top = np.lexsort((pairs, -counts))[:most]
         top = top[counts[top] >= least]
@@ -106,6 +107,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, most: in
 
 def expand(sequence: np.ndarray, g: Grammar) -> np.ndarray:
     """The ids that these symbols stand for."""
+    sequence = sequence.astype(np.int64)
     while len(sequence) and int(sequence.max()) >= g.first:
         rule = sequence - g.first
         sizes = np.where(rule >= 0, 2, 1)
@@ -165,7 +167,7 @@ class Shard:
 
 
 class LibraryWords(dict):
-    """Ids of a word (in byte letters of the vocabulary) as the library's model gives them."""
+    """The ids of a word as the library's model gives them, as little-endian bytes."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -173,12 +175,16 @@ class LibraryWords(dict):
         self.model = Tokenizer.from_file(path).model
         self.vocab = vocabulary(path)
 
-    def __missing__(self, word) -> list[int]:
-        if len(self) > 2 * CACHE_WORDS:
+    def __missing__(self, word) -> bytes:
+        if len(self) > 3 * CACHE_WORDS:
             self.clear()
-        found = self[word] = [t.id for t in self.model.tokenize(self.vocab.lettered(word))] if type(word) is str else [word]
+        ids = [t.id for t in self.model.tokenize(self.vocab.lettered(word))] if type(word) is str else [word]
+        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
+    def ids(self, text: str) -> bytes:
+        return b"".join([self[w] for w in self.vocab.pretokens(text)])
+
 
 def library_words(path: str) -> LibraryWords:
     if path not in _models:
@@ -194,12 +200,12 @@ def shard_writer(folder: str, path: str, end_id: int):
         words = library_words(path)
         part = TaskContext.get().partitionId()
         names, pending, begun = [], [], 0
-        size = 0
+        size, end = 0, struct.pack("<I", end_id)
 
         def flush() -> pa.RecordBatch:
             nonlocal names, pending, begun, size
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in pending])]).astype(np.int64)
-            grammar = compress(np.concatenate(pending).astype(np.int64), starts)
+            starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in pending])]).astype(np.int64)
+            grammar = compress(np.frombuffer(b"".join(pending), "<u4"), starts)
             name = f"{folder}/ids-{part:05d}-{uuid.uuid4().hex}.rp"
             with files.writer(name) as out:
                 out.write(to_bytes(np.array(names, np.int64), starts, grammar))
@@ -213,11 +219,9 @@ def shard_writer(folder: str, path: str, end_id: int):
             at = 0
             for group in groups(texts):
                 for text in group:
-                    found = [i for w in words.vocab.pretokens(text) for i in words[w]]
-                    found.append(end_id)
                     names.append(ids[at])
-                    pending.append(np.array(found, np.uint32))
-                    size += len(found)
+                    pending.append(words.ids(text) + end)
+                    size += len(pending[-1]) // 4
                     at += 1
                     if size >= SHARD_IDS:
                         yield flush()
