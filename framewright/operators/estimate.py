@@ -82,8 +82,8 @@ def variance_of_total(d: SurveyDesign, z: Column) -> DataFrame:
         dev = units.withColumn("_d", F.coalesce(q * F.pow(F.col("z") - mean, F.lit(2.0)), F.lit(0.0)))
         by = dev.groupBy("stratum_1").agg(n.alias("n"), F.sum("_d").alias("s"))
         return by.agg(F.sum(F.when(F.col("n") > 1, F.col("n") / (F.col("n") - 1) * F.col("s")).otherwise(0.0)).alias("variance"))
-    by = units.groupBy("stratum_1").agg(n.alias("n"), F.var_samp("z").alias("s2"), F.first("fpc").alias("N"))
-    factor = F.lit(1.0) if d.kind == "wr" else F.when(F.col("N") == float("inf"), 1.0).otherwise(1 - F.col("n") / F.col("N"))
+    by = units.groupBy("stratum_1").agg(n.alias("n"), F.var_samp("z").alias("s2"), F.first("fpc").alias("pop"))
+    factor = F.lit(1.0) if d.kind == "wr" else F.when(F.col("pop") == float("inf"), 1.0).otherwise(1 - F.col("n") / F.col("pop"))
     return by.agg(F.sum(F.when(F.col("n") > 1, factor * F.col("n") * F.col("s2")).otherwise(0.0)).alias("variance"))
 
 

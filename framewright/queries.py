@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.ordering import desc, ordered, serp, terms
+from .functions.ordering import ordered, serp, terms
 from .functions.prn import uniform, uniform_sql
 from .operators import coordinate, estimate, joint, report
 from .operators.pools import pool_sizes
@@ -351,6 +351,303 @@ def scps(spark, d):
     return drawn(sampling_design().stratify_by("p_brand").draw(n=10, method="scps", spread=["p_size", "p_retailprice"]).execute(part(spark, d), "p_partkey", seed=SEED), "p_partkey", "p_brand")
 
 
+# stages
+
+
+def two_stage_sample(spark: SparkSession, d: str):
+    design = sampling_design().add_stage("customers").cluster_by("o_custkey").draw(n=40).add_stage("orders").draw(n=3)
+    return design.execute(orders(spark, d), "o_orderkey", seed=SEED)
+
+
+CLUSTERS = f"""k AS (SELECT DISTINCT o_custkey FROM orders), kr AS (SELECT o_custkey, row_number() OVER (ORDER BY {u('o_custkey')}, o_custkey) AS rn, count(*) OVER () AS clusters FROM k), kc AS (SELECT * FROM kr WHERE rn <= 40)"""
+TWO_STAGE = f"""{CLUSTERS}, e AS (SELECT o.*, clusters, count(*) OVER (PARTITION BY o_custkey) AS pop2, row_number() OVER (PARTITION BY o_custkey ORDER BY {u('o_orderkey', 2)}, o_orderkey) AS rn2 FROM orders o JOIN kc USING (o_custkey)),
+ts AS (SELECT *, clusters / 40.0 AS w1, pop2 / least(3, pop2)::DOUBLE AS w2, clusters / 40.0 * (pop2 / least(3, pop2)::DOUBLE) AS w FROM e WHERE rn2 <= 3)"""
+
+
+@query(f"WITH {CLUSTERS} SELECT o_custkey, o_orderkey, round(clusters / 40.0, 6) AS weight, clusters AS fpc FROM orders JOIN kc USING (o_custkey)")
+def cluster_srs(spark, d):
+    return drawn(sampling_design().cluster_by("o_custkey").draw(n=40).execute(orders(spark, d), "o_orderkey", seed=SEED), "o_custkey", "o_orderkey")
+
+
+@query(f"WITH {TWO_STAGE} SELECT o_custkey, o_orderkey, round(w, 6) AS weight, round(w1, 6) AS weight_1, round(w2, 6) AS weight_2, clusters AS fpc_1, pop2 AS fpc_2 FROM ts")
+def two_stage(spark, d):
+    s = two_stage_sample(spark, d)
+    return s.df.select("o_custkey", "o_orderkey", *(F.round(f"_{c}", 6).alias(c) for c in ("weight", "weight_1", "weight_2")), *(F.col(f"_{c}").cast("long").alias(c) for c in ("fpc_1", "fpc_2")))
+
+
+@query(f"WITH {TWO_STAGE} SELECT o_custkey, o_orderkey, round(w, 6) AS weight FROM ts")
+def continuation(spark, d):
+    design = sampling_design().add_stage().cluster_by("o_custkey").draw(n=40).add_stage().draw(n=3)
+    first = design.execute(orders(spark, d), "o_orderkey", stages=[1], seed=SEED)
+    return first.execute(orders(spark, d)).df.select("o_custkey", "o_orderkey", F.round("_weight", 6).alias("weight"))
+
+
+@query(f"""WITH cn AS (SELECT c_custkey, c_nationkey, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey),
+a AS (SELECT DISTINCT c_nationkey FROM cn), ar AS (SELECT c_nationkey, row_number() OVER (ORDER BY {u('c_nationkey')}, c_nationkey) AS rn, count(*) OVER () AS p1 FROM a),
+b AS (SELECT DISTINCT c_nationkey, c_custkey, p1 FROM cn JOIN ar USING (c_nationkey) WHERE rn <= 5),
+br AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY {u("octet_length(encode(c_nationkey::VARCHAR)) || '.' || c_nationkey || octet_length(encode(c_custkey::VARCHAR)) || '.' || c_custkey", 2)}, c_custkey) AS rn2, count(*) OVER (PARTITION BY c_nationkey) AS p2 FROM b),
+e AS (SELECT cn.*, p1, p2, row_number() OVER (PARTITION BY c_custkey ORDER BY {u('o_orderkey', 3)}, o_orderkey) AS rn3, count(*) OVER (PARTITION BY c_custkey) AS p3 FROM cn JOIN (SELECT * FROM br WHERE rn2 <= 4) USING (c_nationkey, c_custkey))
+SELECT c_nationkey, c_custkey, o_orderkey, round(p1 / 5.0 * (p2 / least(4, p2)::DOUBLE) * (p3 / least(2, p3)::DOUBLE), 6) AS weight FROM e WHERE rn3 <= 2""")
+def three_stage(spark, d):
+    frame = orders(spark, d).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "c_custkey", "o_orderkey")
+    design = sampling_design().add_stage().cluster_by("c_nationkey").draw(n=5).add_stage().cluster_by("c_custkey").draw(n=4).add_stage().draw(n=2)
+    return design.execute(frame, "o_orderkey", seed=SEED).df.select("c_nationkey", "c_custkey", "o_orderkey", F.round("_weight", 6).alias("weight"))
+
+
+@query()
+def two_stage_wr_parent(spark, d):
+    design = sampling_design().add_stage().cluster_by("o_custkey").draw(n=40, method="srswr").add_stage().draw(n=3)
+    return design.execute(orders(spark, d), "o_orderkey", seed=SEED).df.select("o_custkey", "o_orderkey", F.col("_draw_1").alias("draw"), F.round("_weight", 6).alias("weight"))
+
+
+@query(f"""WITH a AS (SELECT *, row_number() OVER (ORDER BY {u('o_orderkey')}, o_orderkey) AS rn, count(*) OVER () AS p1 FROM orders), f AS (SELECT * FROM a WHERE rn <= 400),
+b AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {u('o_orderkey', 1, SEED + 1)}, o_orderkey) AS rn2, count(*) OVER (PARTITION BY o_orderstatus) AS p2 FROM f)
+SELECT o_orderkey, o_orderstatus, round(p1 / 400.0 * (p2 / least(10, p2)::DOUBLE), 6) AS weight FROM b WHERE rn2 <= 10""")
+def two_phase(spark, d):
+    first = sampling_design().draw(n=400).execute(orders(spark, d), "o_orderkey", seed=SEED)
+    second = sampling_design().stratify_by("o_orderstatus").draw(n=10).execute(first, "o_orderkey", seed=SEED + 1)
+    return second.df.select("o_orderkey", "o_orderstatus", F.round("_weight", 6).alias("weight"))
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, r, row_number() OVER (PARTITION BY r, o_orderpriority ORDER BY ((('0x' || substr(md5(({SEED} + r - 1) || ':1:' || o_orderkey), 1, 12))::BIGINT::DOUBLE + 0.5) / {float(1 << 48)!r}), o_orderkey) AS rn, count(*) OVER (PARTITION BY r, o_orderpriority) AS pop FROM orders, range(1, 6) t(r))
+SELECT o_orderkey, r::INT AS replicate, round(pop / 10.0, 6) AS weight FROM a WHERE rn <= 10""")
+def replicates(spark, d):
+    s = sampling_design().stratify_by(PRIORITY).draw(n=10).execute(orders(spark, d), "o_orderkey", seed=SEED, reps=5)
+    return s.df.select("o_orderkey", F.col("_replicate").alias("replicate"), F.round("_weight", 6).alias("weight"))
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {u('o_orderkey')}, o_orderkey) AS rn FROM orders)
+SELECT o_orderkey, o_orderpriority, ((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) % 4 + 1)::INT AS panel FROM r WHERE rn <= 10""")
+def panels(spark, d):
+    s = sampling_design().stratify_by(PRIORITY).draw(n=10).execute(orders(spark, d), "o_orderkey", seed=SEED, panels=4)
+    return s.df.select("o_orderkey", PRIORITY, F.col("_panel").alias("panel"))
+
+
+@query(f"""WITH {CLUSTERS.replace('<= 40', '<= 50')}, e AS (SELECT o.*, clusters, count(*) OVER (PARTITION BY o_custkey) AS pop2, row_number() OVER (PARTITION BY o_custkey ORDER BY {u('o_orderkey', 2)}, o_orderkey) AS rn2 FROM orders o JOIN kc USING (o_custkey))
+SELECT o_custkey, o_orderkey, round(clusters / 50.0 * (pop2 / greatest(round_even(0.2::DOUBLE * pop2::DOUBLE, 0), 1)), 6) AS weight FROM e WHERE rn2 <= greatest(round_even(0.2::DOUBLE * pop2::DOUBLE, 0), 1)""")
+def two_stage_self_weighting(spark, d):
+    design = sampling_design().add_stage().cluster_by("o_custkey").draw(n=50).add_stage().stratify_by("o_custkey").draw(frac=0.2, round="nearest")
+    return design.execute(orders(spark, d), "o_orderkey", seed=SEED).df.select("o_custkey", "o_orderkey", F.round("_weight", 6).alias("weight"))
+
+
+# reports
+
+
+def by_priority(**options):
+    return sampling_design().stratify_by(PRIORITY, **({"alloc": options.pop("alloc")} if "alloc" in options else {})).draw(**options)
+
+
+@query("WITH s AS (SELECT o_orderpriority, count(*) AS pop FROM orders GROUP BY 1) SELECT o_orderpriority, pop, 20.0 AS n_target, round(least(20, pop)::DOUBLE, 6) AS n_expected, least(20, pop)::BIGINT AS n_realized, round(least(20, pop)::DOUBLE / pop, 9) AS take_rate FROM s")
+def frame_summary_pool(spark, d):
+    s = by_priority(n=20).execute(orders(spark, d), "o_orderkey", seed=SEED)
+    return report.frame_summary(s, detail="pool").select(PRIORITY, F.col("N").alias("pop"), F.col("n_target").cast("double").alias("n_target"), F.round("n_expected", 6).alias("n_expected"), "n_realized", F.round("take_rate", 9).alias("take_rate"))
+
+
+@query("WITH s AS (SELECT o_orderpriority, count(*) AS pop FROM orders GROUP BY 1) SELECT 1 AS stage, 'element' AS unit_level, 'inclusion' AS chance_kind, 'constant' AS storage, count(*) AS n_pools, sum(pop)::BIGINT AS pop, round(sum(least(20, pop))::DOUBLE, 6) AS n_expected, sum(least(20, pop))::BIGINT AS n_realized FROM s")
+def frame_summary_stage(spark, d):
+    s = by_priority(n=20).execute(orders(spark, d), "o_orderkey", seed=SEED)
+    return report.frame_summary(s, detail="stage").select("stage", "unit_level", "chance_kind", "storage", "n_pools", F.col("N").alias("pop"), F.round("n_expected", 6).alias("n_expected"), "n_realized")
+
+
+@query(f"WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {u('o_orderkey')}, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS pop FROM orders) SELECT o_orderkey, round(20.0 / pop, 9) AS chance, rn <= 20 AS selected FROM r")
+def frame_summary_unit(spark, d):
+    s = by_priority(n=20).execute(orders(spark, d), "o_orderkey", seed=SEED)
+    return report.frame_summary(s, detail="unit").select("o_orderkey", F.round("chance", 9).alias("chance"), "selected")
+
+
+@query(f"WITH {PART}, {capped_sql('p', 'p_brand', 'p_partkey', 'p_size', '30')} SELECT p_brand, count(*) AS pop, round(sum(pi), 6) AS n_expected, CASE WHEN max(pi) - min(pi) <= 1e-12 THEN 'constant' ELSE 'varying' END AS chance_status FROM c GROUP BY 1")
+def exante_digest(spark, d):
+    design = sampling_design().stratify_by("p_brand").draw(n=30, method="pps_brewer", mos="p_size")
+    return report.pool_table(design, part(spark, d)).select("p_brand", F.col("N").alias("pop"), F.round("n_expected", 6).alias("n_expected"), "chance_status")
+
+
+@query(f"""WITH {PART}, c AS (SELECT p_brand, p_partkey, least(0.3 * count(*) OVER w * p_size::DOUBLE / sum(p_size) OVER w, 1.0) AS pi, count(*) OVER w AS pop FROM p WINDOW w AS (PARTITION BY p_brand)),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY pi, p_partkey) AS i, least(10, pop) AS k FROM c), b AS (SELECT *, ceil(i * k / pop::DOUBLE)::INT AS g FROM r)
+SELECT p_brand, CASE WHEN i > pop * g // k THEN g + 1 ELSE g END AS bin, count(*) AS n, round(avg(pi), 6) AS chance FROM b GROUP BY 1, 2""")
+def quantile_bins(spark, d):
+    design = sampling_design().stratify_by("p_brand").draw(frac=0.3, method="pps_poisson", mos="p_size")
+    return report.chance_bins(design, part(spark, d), bins=10).select("p_brand", "bin", "n", F.round("chance", 6).alias("chance"))
+
+
+@query("SELECT unnest(['mos column ''c_acctbal'' has negative or infinite values']) AS issue")
+def frame_validation(spark, d):
+    design = sampling_design().stratify_by("c_mktsegment").draw(n=5, method="pps_brewer", mos="c_acctbal")
+    return spark.createDataFrame([(x,) for x in issues_of(design, table(spark, d, "customer"), 1)], "issue string")
+
+
+@query("WITH a AS (SELECT o_orderpriority, count(*) AS b FROM orders GROUP BY 1), c AS (SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1) SELECT o_orderpriority, b AS before, n AS now FROM a FULL JOIN c USING (o_orderpriority) WHERE b IS DISTINCT FROM n")
+def frame_drift(spark, d):
+    old = orders(spark, d)
+    return report.pool_drift(by_priority(n=20), old, old.where("o_orderstatus <> 'P'")).select(PRIORITY, F.col("N_before").alias("before"), F.col("N_now").alias("now"))
+
+
+_STRAT = f"""r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {u('o_orderkey')}, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS pop FROM orders),
+s AS (SELECT *, pop / 20.0 AS w FROM r WHERE rn <= 20)"""
+
+
+def stratified(spark: SparkSession, d: str):
+    return by_priority(n=20).execute(orders(spark, d), "o_orderkey", seed=SEED)
+
+
+@query(f"WITH {_STRAT} SELECT count(*) AS n, round(avg(w), 6) AS mean, round(min(w), 6) AS min, round(max(w), 6) AS max, round(stddev_samp(w) / avg(w), 6) AS cv, round(count(*) * sum(w * w) / sum(w) ** 2, 6) AS deff, round(sum(w) ** 2 / sum(w * w), 6) AS n_eff FROM s")
+def weight_diagnostics(spark, d):
+    out = report.weight_diagnostics(stratified(spark, d))
+    return out.select("n", *(F.round(c, 6).alias(c) for c in ("mean", "min", "max", "cv", "deff", "n_eff")))
+
+
+# inference
+
+
+def est(df: DataFrame) -> DataFrame:
+    return df.select(F.round("estimate", 1).alias("estimate"), F.round("se", 1).alias("se"))
+
+
+@query(f"WITH {_STRAT}, h AS (SELECT o_orderpriority, count(*) AS n, any_value(pop) AS pop, var_samp(w * o_totalprice) AS s2, sum(w * o_totalprice) AS t FROM s GROUP BY 1) SELECT round(sum(t), 1) AS estimate, round(sqrt(sum((1 - n / pop) * n * s2)), 1) AS se FROM h")
+def ht_total(spark, d):
+    return est(estimate.svytotal(stratified(spark, d), "o_totalprice"))
+
+
+_MEAN = "m AS (SELECT sum(w * o_totalprice * a) / sum(w * a) AS mu, sum(w * a) AS size FROM x), z AS (SELECT x.*, CASE WHEN a = 1 THEN w * (o_totalprice - mu) / size ELSE 0 END AS z FROM x, m), h AS (SELECT o_orderpriority, count(*) AS n, any_value(pop) AS pop, var_samp(z) AS s2 FROM z GROUP BY 1) SELECT round((SELECT mu FROM m), 1) AS estimate, round(sqrt(sum((1 - n / pop) * n * s2)), 1) AS se FROM h"
+
+
+@query(f"WITH {_STRAT}, x AS (SELECT *, 1 AS a FROM s), {_MEAN}")
+def ht_mean_se_strat(spark, d):
+    return est(estimate.svymean(stratified(spark, d), "o_totalprice"))
+
+
+@query(f"WITH {_STRAT}, x AS (SELECT *, (o_orderstatus = 'O')::INT AS a FROM s), {_MEAN}")
+def domain_mean(spark, d):
+    return est(estimate.svymean(stratified(spark, d), "o_totalprice", F.col("o_orderstatus") == "O"))
+
+
+_WR = _oracles["srswr"].replace("SELECT o_orderkey, i::BIGINT AS draw, round(pop / 20.0, 6) AS weight, NULL::BIGINT AS fpc FROM r", ", s AS (SELECT r.*, i, pop / 20.0 AS w, o_totalprice FROM r").replace("WITH r AS (SELECT o_orderkey,", "WITH r AS (SELECT o_orderkey, o_totalprice,")
+
+
+@query(_WR.replace("pop / 20.0 AS w, o_totalprice FROM", "pop / 20.0 AS w FROM") + "), h AS (SELECT o_orderpriority, count(*) AS n, var_samp(w * o_totalprice) AS s2, sum(w * o_totalprice) AS t FROM s GROUP BY 1) SELECT round(sum(t), 1) AS estimate, round(sqrt(sum(n * s2)), 1) AS se FROM h")
+def hh_total_wr(spark, d):
+    s = by_priority(n=20, method="srswr").execute(orders(spark, d), "o_orderkey", seed=SEED)
+    return est(estimate.svytotal(s, "o_totalprice"))
+
+
+@query(f"SELECT round(sum(o_totalprice / 0.05), 1) AS estimate, round(sqrt(sum((1 - 0.05) * (o_totalprice / 0.05) ** 2)), 1) AS se FROM orders WHERE {u('o_orderkey')} < 0.05")
+def poisson_se(spark, d):
+    return est(estimate.svytotal(sampling_design().draw(frac=0.05, method="bernoulli").execute(orders(spark, d), "o_orderkey", seed=SEED), "o_totalprice"))
+
+
+@query(f"WITH {CLUSTERS}, c AS (SELECT o_custkey, any_value(clusters) AS clusters, sum(clusters / 40.0 * o_totalprice) AS z FROM orders JOIN kc USING (o_custkey) GROUP BY 1) SELECT round(sum(z), 1) AS estimate, round(sqrt((1 - 40.0 / any_value(clusters)) * 40 * var_samp(z)), 1) AS se FROM c")
+def cluster_se(spark, d):
+    return est(estimate.svytotal(sampling_design().cluster_by("o_custkey").draw(n=40).execute(orders(spark, d), "o_orderkey", seed=SEED), "o_totalprice"))
+
+
+@query(f"""WITH a AS (SELECT *, row_number() OVER (ORDER BY {u('o_orderkey')}, o_orderkey) AS rn FROM orders), f AS (SELECT * FROM a WHERE rn <= 400),
+b AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {u('o_orderkey', 1, SEED + 1)}, o_orderkey) AS rn2, count(*) OVER (PARTITION BY o_orderstatus) AS p2 FROM f)
+SELECT o_orderkey, rn2 <= 10 AS phase2, CASE WHEN rn2 <= 10 THEN round(p2 / least(10, p2)::DOUBLE, 6) END AS conditional FROM b""")
+def two_phase_weights(spark, d):
+    first = sampling_design().draw(n=400).execute(orders(spark, d), "o_orderkey", seed=SEED)
+    second = sampling_design().stratify_by("o_orderstatus").draw(n=10).execute(first, "o_orderkey", seed=SEED + 1)
+    return estimate.two_phase(second).select("o_orderkey", F.col("_phase2").alias("phase2"), F.round("_weight_conditional", 6).alias("conditional"))
+
+
+@query(f"WITH {_STRAT} SELECT round(count(*) * sum(w * w) / sum(w) ** 2, 9) AS deff FROM s")
+def deff_kish(spark, d):
+    return estimate.design_effect(stratified(spark, d)).select(F.round("deff", 9).alias("deff"))
+
+
+@query(f"WITH {_STRAT} SELECT round(sum(w) ** 2 / sum(w * w), 9) AS n_eff FROM s")
+def effective_n(spark, d):
+    return estimate.effective_n(stratified(spark, d)).select(F.round("n_eff", 9).alias("n_eff"))
+
+
+@query(f"""WITH {TWO_STAGE}, c AS (SELECT o_custkey, sum(w2 * o_totalprice) AS t, sum(w2) AS m, coalesce(var_samp(o_totalprice), 0) AS s2, any_value(w1) AS w1 FROM ts GROUP BY 1),
+q AS (SELECT *, (1 / w1) / sum(1 / w1) OVER () AS p FROM c), g AS (SELECT avg(t / p) AS total, var_samp(t / p) AS b, avg(m * m * s2 / p) AS v FROM q)
+SELECT round(b / total ** 2, 9) AS b2, round(v / total ** 2, 9) AS w2, round(b / (b + v), 9) AS delta FROM g""")
+def varcomp_two_stage(spark, d):
+    return estimate.varcomp(two_stage_sample(spark, d), "o_totalprice").select(*(F.round(c, 9).alias(c) for c in ("b2", "w2", "delta")))
+
+
+@query(f"""WITH {PART}, c AS (SELECT *, least(0.02 * count(*) OVER () * p_size::DOUBLE / sum(p_size) OVER (), 1.0) AS pi FROM p), s AS (SELECT * FROM c WHERE {u('p_partkey')} < pi)
+SELECT a.p_partkey AS i, b.p_partkey AS j, round(CASE WHEN a.p_partkey = b.p_partkey THEN a.pi ELSE a.pi * b.pi END, 9) AS pi_ij FROM s a, s b""")
+def joint_poisson(spark, d):
+    s = sampling_design().draw(frac=0.02, method="pps_poisson", mos="p_size").execute(part(spark, d), "p_partkey", seed=SEED)
+    return joint.joint_expectation(s).select(F.col("p_partkey_i").alias("i"), F.col("p_partkey_j").alias("j"), F.round("pi_ij", 9).alias("pi_ij"))
+
+
+@query(f"""WITH m AS ({_oracles['pps_multinomial'].replace('round(total / (30.0 * p_size), 6)', 'total / (30.0 * p_size)')}), s AS (SELECT DISTINCT p_partkey, p_brand, 1 / weight AS e FROM m JOIN part USING (p_partkey))
+SELECT a.p_partkey AS i, b.p_partkey AS j, round(29 / 30.0 * a.e * b.e + CASE WHEN a.p_partkey = b.p_partkey THEN a.e ELSE 0 END, 4) AS pi_ij FROM s a JOIN s b USING (p_brand)""")
+def joint_multinomial(spark, d):
+    s = sampling_design().stratify_by("p_brand").draw(n=30, method="pps_multinomial", mos="p_size").execute(part(spark, d), "p_partkey", seed=SEED)
+    return joint.joint_expectation(s).select(F.col("p_partkey_i").alias("i"), F.col("p_partkey_j").alias("j"), F.round("pi_ij", 4).alias("pi_ij"))
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER (ORDER BY {u('o_orderkey')}, o_orderkey) AS rn, count(*) OVER () AS pop FROM orders), s AS (SELECT *, pop / 50.0 AS w FROM r WHERE rn <= 50), t AS (SELECT sum(w * o_totalprice) AS t FROM s) SELECT round((SELECT t FROM t), 1) AS estimate, round(sqrt(sum(49 / 50.0 * ((t.t - s.w * s.o_totalprice) * 50 / 49.0 - t.t) ** 2)), 1) AS se FROM s, t")
+def jk1_replicates(spark, d):
+    s = sampling_design().draw(n=50).execute(orders(spark, d), "o_orderkey", seed=SEED)
+    return est(estimate.replicate_total(s, "o_totalprice", "JK1"))
+
+
+# coordination
+
+
+def wave(spark: SparkSession, d: str, by: str, rate: float = 0.1) -> DataFrame:
+    frame = orders(spark, d).withColumn("prn", uniform(SEED, 1, ["o_orderkey"])).withColumn("later", coordinate.rotated("prn", F.lit(rate)))
+    return sampling_design().draw(frac=rate, method="bernoulli", prn=by).execute(frame, "o_orderkey").df.select("o_orderkey")
+
+
+_PRN = f"x AS (SELECT o_orderkey, {u('o_orderkey')} AS prn FROM orders), y AS (SELECT *, (prn - 0.1) - floor(prn - 0.1) AS later FROM x)"
+
+
+@query(f"WITH {_PRN} SELECT count(*) FILTER (prn < 0.1) AS n_a, count(*) FILTER (prn < 0.15) AS n_b, count(*) FILTER (prn < 0.1 AND prn < 0.15) AS n_both FROM y")
+def overlap_positive(spark, d):
+    return coordinate.overlap(wave(spark, d, "prn"), wave(spark, d, "prn", 0.15), "o_orderkey")
+
+
+@query(f"WITH {_PRN} SELECT count(*) FILTER (prn < 0.1) AS n_a, count(*) FILTER (later < 0.1) AS n_b, count(*) FILTER (prn < 0.1 AND later < 0.1) AS n_both FROM y")
+def overlap_negative(spark, d):
+    return coordinate.overlap(wave(spark, d, "prn"), wave(spark, d, "later"), "o_orderkey")
+
+
+@query("WITH a AS (SELECT p_partkey, least(0.3 * count(*) OVER () * p_size::DOUBLE / sum(p_size) OVER (), 1.0) AS pa, 0.4::DOUBLE AS pb FROM part) SELECT round(sum(greatest(pa + pb - 1, 0)), 6) AS least, round(sum(pa * pb), 6) AS independent, round(sum(least(pa, pb)), 6) AS most FROM a")
+def overlap_bounds(spark, d):
+    p = part(spark, d)
+    a = report.stage_chances(sampling_design().draw(frac=0.3, method="pps_poisson", mos="p_size"), p, 1, "p_partkey")
+    b = report.stage_chances(sampling_design().draw(frac=0.4, method="bernoulli"), p, 1, "p_partkey")
+    out = coordinate.overlap_bounds(a, b, "p_partkey")
+    return out.select(*(F.round(c, 6).alias(c) for c in ("least", "independent", "most")))
+
+
+@query(f"WITH {_PRN}, w AS (SELECT o_orderkey, CASE WHEN prn < 0.1 THEN 1 WHEN later < 0.1 THEN 2 WHEN prn < 0.15 THEN 3 END AS wave FROM y), n AS (SELECT wave, count(*) AS n_new FROM w WHERE wave IS NOT NULL GROUP BY 1) SELECT r::INT AS wave, coalesce(n_new, 0) AS n_new, sum(coalesce(n_new, 0)) OVER (ORDER BY r)::BIGINT AS n_so_far FROM range(1, 4) t(r) LEFT JOIN n ON wave = r")
+def cumulative_coverage(spark, d):
+    return coordinate.coverage([wave(spark, d, "prn"), wave(spark, d, "later"), wave(spark, d, "prn", 0.15)], "o_orderkey")
+
+
+@query("SELECT o_orderkey, 'birth' AS event FROM orders WHERE o_orderdate >= DATE '1998-01-01' UNION ALL SELECT o_orderkey, 'death' FROM orders WHERE o_orderstatus = 'P' AND o_orderdate < DATE '1998-01-01'")
+def births_deaths(spark, d):
+    o = orders(spark, d)
+    return coordinate.births_and_deaths(o.where("o_orderdate < date '1998-01-01'"), o.where("o_orderstatus <> 'P' or o_orderdate >= date '1998-01-01'"), "o_orderkey")
+
+
+# streams, as a batch
+
+
+@query(f"SELECT event_id, 10.0 AS weight FROM events WHERE {u('event_id')} < 0.1")
+def stream_rate(spark, d):
+    return stream_bernoulli(table(spark, d, "events"), 0.1, ["event_id"], SEED).select("event_id", F.round("_weight", 6).alias("weight"))
+
+
+@query(f"WITH e AS (SELECT event_id, least(value * 0.001, 1.0) AS pi FROM events) SELECT event_id, round(1 / pi, 6) AS weight FROM e WHERE {u('event_id')} < pi")
+def stream_by_size(spark, d):
+    return stream_poisson(table(spark, d, "events"), "value", 0.001, ["event_id"], SEED).select("event_id", F.round("_weight", 6).alias("weight"))
+
+
+@query("SELECT 'content' AS what, 'rows: ' || count(*) || ' before, ' || count(*) FILTER (o_orderstatus <> 'P') || ' now' AS difference FROM orders")
+def fingerprint_drift(spark, d):
+    from .operators.validate import fingerprint
+
+    o = orders(spark, d)
+    found = fingerprint_differences(fingerprint(o), fingerprint(o.where("o_orderstatus <> 'P'")))
+    return spark.createDataFrame([("content", x) for x in found], "what string, difference string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
