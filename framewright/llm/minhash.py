@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, saved, text_or_empty
-from .components import components
+from .components import compact, components
 from .words import byte_blocks, lowered, mixed, span_hashes, word_spans
 
 #: Keys in each collection and minimum hashes in each key: a pair of similarity s meets
-#: in a table with probability (1 - (1 - s^ROWS)^M)^2, 0.997 at 0.8.
-M, ROWS = 9, 3
+#: in a table with probability (1 - (1 - s^ROWS)^M)^2, 0.9993 at 0.8.
+M, ROWS = 12, 3
 HASHES = 2 * M * ROWS
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,9 +37,9 @@ _SHIFTS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _PLACES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Least equal minimum hashes of HASHES for a pair to be compared in full: a pair of
 #: similarity 0.8 has fewer with probability below 1e-6.
-LEAST_EQUAL = 27
+LEAST_EQUAL = 40
 #: Hubs of a bucket in each round after the first.
-HUBS = 4
+HUBS = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +146,7 @@ def shared_tables(classes: DataFrame) -> DataFrame:
     shared = halves.join(often, ["place", "half"])
     sides = shared.groupBy("rep").agg(*(F.collect_list(F.when(on, F.struct("place", "half"))).alias(name) for name, on in (("left", F.col("place") < M), ("right", F.col("place") >= M))))
     tables = sides.select("rep", F.explode("left").alias("l"), "right").select("rep", "l", F.explode("right").alias("r"))
-    rows = tables.select("rep", F.xxhash64("l.place", "l.half", "r.place", "r.half").alias("key"))
+    rows = compact(saved(tables.select("rep", F.xxhash64("l.place", "l.half", "r.place", "r.half").alias("key")), "tables"))
     return rows.join(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key")
 
 
@@ -157,41 +157,43 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -
     component, and takes the hubs out: all their pairs there are settled. Buckets of
     one component, or of one member, are done.
     """
-    buckets = saved(shared_tables(classes), "buckets")
-    busy = buckets.groupBy("rep").agg(F.sum("members").alias("busy"))
-    buckets = saved(buckets.drop("members").join(busy, "rep"), "buckets")
-    light = saved(classes.select("rep", "n", "short").join(busy.select("rep"), "rep", "left_semi"), "light")
+    buckets = compact(saved(shared_tables(classes), "buckets"))
+    busy = compact(saved(buckets.groupBy("rep").agg(F.sum("members").alias("busy")), "busy"))
+    light = compact(saved(classes.select("rep", "n", "short").join(busy, "rep"), "light"))
     texts = saved(docs.join(busy.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    # the first round's order of a bucket: most shared buckets first
+    buckets = buckets.join(light.select("rep", "busy").distinct(), "rep").select("key", "rep", "busy", F.col("rep").alias("component"))
     sides = [light.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("short").alias(f"short{s}")) for s in "ab"]
     full = [texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text{s}")) for s in "ab"]
     equal = F.aggregate(F.zip_with("shorta", "shortb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
-    buckets = buckets.withColumn("component", F.col("rep"))
     tested = group = None
     turn = 0
     while True:
         score = F.col("busy") if turn == 0 else F.xxhash64("rep", F.lit(turn))
         place = F.row_number().over(Window.partitionBy("key").orderBy(score.desc(), "rep"))
         hubs = buckets.select("key", "component", "rep", place.alias("place")).where(F.col("place") <= (1 if turn == 0 else HUBS)).select("key", F.col("rep").alias("hub"), F.col("component").alias("its"))
+        hubs = compact(saved(hubs, "hubs"))
         found = buckets.join(hubs, "key").where("component != its").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         likely = found.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(equal >= LEAST_EQUAL)
-        pairs = saved(likely.select("a", "b").distinct(), "pairs")
-        gained = False
+        pairs = compact(saved(likely.select("a", "b"), "pairs"))
+        links = None
         if not pairs.isEmpty():
             checked = pairs.join(full[0], "a").join(full[1], "b").select("a", "b", linked_udf(words, percent)("texta", "textb").alias("linked"))
-            links = saved(checked.where("linked").select("a", "b"), "links")
-            gained = not links.isEmpty()
-        if gained:
+            links = compact(saved(checked.where("linked").select("a", "b"), "links"))
+            links = None if links.isEmpty() else links
+        if links is not None:
             if group is not None:
                 links = links.unionByName(group.where("rep != component").select(F.col("rep").alias("a"), F.col("component").alias("b")))
-            group = saved(components(links).select(F.col("node").alias("rep"), "component"), "groups")
-        if turn and not gained:
+            group = compact(saved(components(links).select(F.col("node").alias("rep"), "component"), "groups"))
+        elif turn:
             break
         left = buckets.drop("component").join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
         left = left.join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep")) if group is not None else left.withColumn("component", F.col("rep"))
+        left = compact(saved(left, "left"))
         mixed_keys = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        buckets = saved(left.join(mixed_keys, "key", "left_semi"), "buckets")
+        buckets = compact(saved(left.join(mixed_keys, "key", "left_semi"), "buckets"))
         if buckets.isEmpty():
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
