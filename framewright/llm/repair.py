@@ -35,6 +35,8 @@ MAGIC = b"RPIDS001"
 #: Ids in a shard at least (a document is never split), rounds of rewriting, rules in a
 #: round, and occurrences that a rule needs.
 SHARD_IDS, ROUNDS, RULES, LEAST = 1 << 20, 5, 4096, 24
+#: Rounds end when one leaves more than this part of the symbols.
+GAIN = 0.985
 _BUCKETS = 18
 _MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 _models: dict[str, object] = {}
@@ -95,6 +97,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, most: in
         stays = np.ones(len(sequence), bool)
         stays[spot + 1] = False
         owner_starts = np.concatenate([[0], np.cumsum(stays)])[owner_starts]
+        before = len(sequence)
         sequence, is_last = sequence[stays], is_last[stays]
         a, b = chosen >> 32, chosen & 0xFFFFFFFF
         so_far = np.concatenate([np.ones(first, np.int64), *lengths])
@@ -102,6 +105,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, most: in
         rights.append(b)
         lengths.append(so_far[a] + so_far[b])
         made += len(chosen)
+        if len(sequence) > GAIN * before:
+            break
     return Grammar(np.concatenate(lefts), np.concatenate(rights), np.concatenate(lengths), first, sequence, owner_starts)
 
 
