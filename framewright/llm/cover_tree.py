@@ -27,6 +27,8 @@ CELL, SEEKERS, PIVOTS, PIVOT_BYTES = 2048, 4096, 4096, 8 << 20
 #: Doubt about a distance in double precision: nearer to the threshold, pairs are
 #: compared by their cosine.
 DOUBT = 1e-7
+#: Child pairs of a node pair from which one matrix product serves them all.
+DENSE = 4096
 
 
 @dataclass
@@ -102,6 +104,26 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
 
 
+def child_pairs(sides: list, seekers: np.ndarray, s_centre: np.ndarray, points: np.ndarray, p_centre: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of children of node pairs with the products of their centres: of large
+    families by blocks of a matrix product, of small ones one by one."""
+    (first_s, count_s), (first_p, count_p) = sides
+    large = count_s * count_p >= DENSE
+    for i in np.flatnonzero(large):
+        right = np.arange(first_p[i], first_p[i] + count_p[i])
+        other = points[p_centre[right]].T
+        for at in range(first_s[i], first_s[i] + count_s[i], 512):
+            left = np.arange(at, min(at + 512, first_s[i] + count_s[i]))
+            dot = seekers[s_centre[left]] @ other
+            yield np.repeat(left, len(right)), np.tile(right, len(left)), dot.ravel()
+    few = ~large
+    row, x = spread(first_s[few], count_s[few])
+    for i in range(0, len(x), 1 << 14):
+        row2, y = spread(first_p[few][row[i : i + (1 << 14)]], count_p[few][row[i : i + (1 << 14)]])
+        x2 = x[i : i + (1 << 14)][row2]
+        yield x2, y, np.einsum("ij,ij->i", seekers[s_centre[x2]], points[p_centre[y]])
+
+
 def links(points: np.ndarray, seekers: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of linked node pairs as (first seeker, last, first point, last) positions in
     the trees' orders; the first value yielded holds these orders."""
@@ -110,37 +132,31 @@ def links(points: np.ndarray, seekers: np.ndarray, cosine: float) -> Iterator[tu
     yield order_s, order_p, np.zeros(0), np.zeros(0)
     depth = max(len(tree_p), len(tree_s))
     a, b = np.array([0]), np.array([0])
-    for level in range(1, depth + 1):
+    for level in range(1, depth + 1):  # the last one is exact
         (s_up, s), (p_up, p) = ((t[min(level - 1, len(t) - 1)], t[min(level, len(t) - 1)]) for t in (tree_s, tree_p))
         final = level == depth
-        if not final:
-            sides = []
-            for up, down, at, tree in ((s_up, s, a, tree_s), (p_up, p, b, tree_p)):
-                if level < len(tree):
-                    first = np.searchsorted(down.parent, np.arange(len(up.centre)))
-                    sides.append((first[at], np.bincount(down.parent, minlength=len(up.centre))[at]))
-                else:
-                    sides.append((at, np.ones(len(at), np.int64)))
-            row, a_next = spread(*sides[0])
-            row2, b_next = spread(sides[1][0][row], sides[1][1][row])
-            a, b = a_next[row2], b_next
-        kept_a, kept_b = [], []
-        for i in range(0, len(a), 1 << 18):
-            x, y = a[i : i + (1 << 18)], b[i : i + (1 << 18)]
-            cs, cp = seekers[s.centre[x]], points[p.centre[y]]
-            dot = np.einsum("ij,ij->i", cs, cp)
-            if final:
-                hit = dot >= cosine
+        if final:
+            for i in range(0, len(a), 1 << 16):
+                x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+                hit = np.einsum("ij,ij->i", seekers[s.centre[x]], points[p.centre[y]]) >= cosine
                 yield s.begin[x[hit]], s.end[x[hit]], p.begin[y[hit]], p.end[y[hit]]
-                continue
+            return
+        sides = []
+        for up, down, at, tree in ((s_up, s, a, tree_s), (p_up, p, b, tree_p)):
+            if level < len(tree):
+                first = np.searchsorted(down.parent, np.arange(len(up.centre)))
+                sides.append((first[at], np.bincount(down.parent, minlength=len(up.centre))[at]))
+            else:
+                sides.append((at, np.ones(len(at), np.int64)))
+        kept_a, kept_b = [a[:0]], [b[:0]]
+        for x, y, dot in child_pairs(sides, seekers, s.centre, points, p.centre):
             gap, wide = np.sqrt(np.maximum(2 - 2 * dot, 0)), s.radius[x] + p.radius[y]
             whole = (gap + wide <= reach - DOUBT) & (wide > 0)
             yield s.begin[x[whole]], s.end[x[whole]], p.begin[y[whole]], p.end[y[whole]]
             open_ = ~whole & (gap - wide <= reach + DOUBT)
             kept_a.append(x[open_])
             kept_b.append(y[open_])
-        if not final:
-            a, b = np.concatenate(kept_a or [a[:0]]), np.concatenate(kept_b or [b[:0]])
+        a, b = np.concatenate(kept_a), np.concatenate(kept_b)
         if not len(a):
             return
 
