@@ -144,6 +144,9 @@ def probabilities(texts: pa.Array, model: Model) -> np.ndarray:
     """Mean label probabilities over all positions of each text; zeros without any."""
     found, n = [np.zeros((0, len(model.names)))], len(model.names)
     for data, offsets in byte_blocks(texts):
+        if not n:
+            found.append(np.zeros((len(offsets) - 1, 0)))
+            continue
         starts, ends, owner = word_spans(data, offsets)
         if len(starts) and int((ends - starts).max()) > LENGTH:
             parts = -(-(ends - starts) // LENGTH)

@@ -414,7 +414,7 @@ def test_archive_reader_and_zip64():
         warc.Archive(io.BytesIO(b"no archive here"))
     extra = b"\x01\x00\x18\x00" + b"".join(x.to_bytes(8, "little") for x in (1 << 33, 1 << 34, 1 << 35))
     assert warc.zip64_fields(extra, 0xFFFFFFFF, 0xFFFFFFFF, 0xFFFFFFFF) == (1 << 33, 1 << 34, 1 << 35)
-    assert warc.zip64_fields(extra[:4] + extra[12:], 5, 0xFFFFFFFF, 7) == (5, 1 << 34, 7)
+    assert warc.zip64_fields(b"\x01\x00\x10\x00" + extra[12:], 5, 0xFFFFFFFF, 7) == (5, 1 << 34, 7)
 
 
 def test_zip64_directory_with_many_members():
