@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from framewright import queries as engine
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows_of(frame):
     names = sorted(frame.columns)
-    return sorted(tuple("" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in frame[names].itertuples(index=False))
+    return sorted(tuple("" if pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in frame[names].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", ["alloc_neyman", "chance_pps_capped", "srswor_stratified", "systematic_serp", "pps_multinomial", "two_stage", "ht_mean_se_strat", "overlap_negative"])
