@@ -10,8 +10,9 @@ Documents with the same shingle set are one class and are compared once. In a ta
 bucket members are compared with one hub at a time, never all with all: the first hub
 is the member that shares most buckets (the text the others were derived from shares
 more of them than any of its copies); hubs leave the bucket once compared, and further
-rounds take HUBS others in buckets that still hold members of different components,
-until none is left or a round links nothing new.
+rounds take HUBS others in buckets that still hold members of different components.
+When a round links nothing new, or after ROUNDS, all pairs of different components that
+the buckets still hold are compared in tiles, so every candidate pair is settled.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ _PLACES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uin
 LEAST_EQUAL = 40
 #: Hubs of a bucket in each round after the first.
 HUBS = 16
+#: Rounds of hubs before the pairs that are left are compared in tiles.
+ROUNDS = 4
+#: Members of a bucket in one block; a tile compares two blocks.
+BLOCK = 2000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +140,81 @@ def linked_udf(words: int, percent: int):
     return F.arrow_udf(linked, "boolean")
 
 
+def close_pairs(percent: int):
+    """Pairs of a tile that may be linked: members of different components, by sizes and
+    minimum hashes. A pair counts in the first table that it shares only."""
+
+    def close(rows: pa.Table) -> pa.Table:
+        rep, component, n, block = (rows[c].to_numpy() for c in ("rep", "component", "n", "block"))
+        keys, short = (np.stack(rows[c].to_numpy()) for c in ("keys", "short"))
+        one, across = rows["x"][0].as_py(), rows["x"][0].as_py() != rows["y"][0].as_py()
+        left, right = divmod(rows["key"][0].as_py() & 0xFF, M)
+        found = []
+        for i in np.flatnonzero(block == one).tolist():
+            j = np.flatnonzero((block != one) if across else (np.arange(len(rep)) > i))
+            j = j[(component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            j = j[(short[j] == short[i]).sum(1) >= LEAST_EQUAL]
+            same = keys[j] == keys[i]
+            j = j[same[:, left] & same[:, M + right] & ~same[:, :left].any(1) & ~same[:, M : M + right].any(1)]
+            found.append(np.stack([np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i])]))
+        a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({c: pa.array(np.full(len(a), rows[c][0].as_py()), rows[c].type) for c in ("key", "x", "y")} | {"a": a, "b": b})
+
+    return close
+
+
+def linked_in_tile(words: int, percent: int):
+    """Links among the pairs of a tile on full shingle sets. A pair that links found
+    before in the tile connect already is passed over."""
+
+    def linked(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        blocks = [shingle_sets(data, offsets, words) for chunk in texts["text"].chunks for data, offsets in byte_blocks(chunk.cast(pa.large_string()))]
+        ends = np.cumsum(np.concatenate([np.diff(begins) for _, begins in blocks]))
+        begins = np.r_[0, ends[:-1]]
+        values, ids = np.unique(np.concatenate([s for s, _ in blocks]), return_inverse=True)
+        nodes, of = np.unique(texts["rep"].to_numpy(), return_inverse=True)
+        sets: list[list[np.ndarray]] = [[] for _ in nodes]
+        for node, s, e in zip(of.tolist(), begins.tolist(), ends.tolist(), strict=True):
+            if e > s:
+                sets[node].append(ids[s:e])
+        ends_of = [np.searchsorted(nodes, pairs[c].to_numpy()) for c in "ab"]
+        order = np.lexsort(ends_of[::-1])
+        a, b = (x[order] for x in ends_of)
+        group, has, out = np.arange(len(nodes)), np.zeros(len(values), np.int32), []
+        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        for start, stop in zip(starts, np.r_[starts[1:], len(a)], strict=True):
+            i, others = int(a[start]), b[start:stop]
+            for mine in sets[i]:
+                mates = [(j, s) for j in others[group[others] != group[i]].tolist() for s in sets[j]]
+                if not mates:
+                    continue
+                lengths = np.array([len(s) for _, s in mates])
+                has[mine] = 1
+                same = np.add.reduceat(has[np.concatenate([s for _, s in mates])], np.cumsum(lengths) - lengths)
+                has[mine] = 0
+                hits = np.array([j for j, _ in mates])[(same > 0) & (100 * same >= percent * (len(mine) + lengths - same))]
+                out += [(int(nodes[i]), int(nodes[j])) for j in np.unique(hits)]
+                group[np.isin(group, group[hits])] = group[i]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return linked
+
+
+def links_of_the_rest(buckets: DataFrame, light: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b``: links between members of different components in the same bucket. Large
+    buckets are cut into blocks, and each tile of two blocks is a group of its own."""
+    blocks = buckets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = buckets.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), "blocks").cast("int"))
+    rows = rows.select("key", "rep", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component").join(light.select("rep", "n", "keys", "short"), "rep")
+    pairs = saved(tiles.groupBy("key", "x", "y").applyInArrow(close_pairs(percent), "key long, x int, y int, a long, b long"), "rest")
+    # other names: the sides of a cogroup may not share columns
+    tile, same = ("key", "x", "y"), ("its_key", "its_x", "its_y")
+    members = pairs.select(*(F.col(c).alias(d) for c, d in zip(tile, same, strict=True)), F.explode(F.array("a", "b")).alias("rep")).distinct()
+    members = members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    return pairs.groupBy(*tile).cogroup(members.groupBy(*same)).applyInArrow(linked_in_tile(words, percent), "a long, b long")
+
+
 def shared_tables(classes: DataFrame) -> DataFrame:
     """``key, rep, members``: the buckets of the M*M tables that hold several classes.
 
@@ -146,20 +226,31 @@ def shared_tables(classes: DataFrame) -> DataFrame:
     shared = halves.join(often, ["place", "half"])
     sides = shared.groupBy("rep").agg(*(F.collect_list(F.when(on, F.struct("place", "half"))).alias(name) for name, on in (("left", F.col("place") < M), ("right", F.col("place") >= M))))
     tables = sides.select("rep", F.explode("left").alias("l"), "right").select("rep", "l", F.explode("right").alias("r"))
-    rows = compact(saved(tables.select("rep", F.xxhash64("l.place", "l.half", "r.place", "r.half").alias("key")), "tables"))
+    # the key's low byte is the table's number
+    number = F.col("l.place") * M + F.col("r.place") - M
+    key = F.shiftleft(F.xxhash64("l.place", "l.half", "r.place", "r.half"), 8).bitwiseOR(number.cast("long"))
+    rows = compact(saved(tables.select("rep", key.alias("key")), "tables"))
     return rows.join(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key")
 
 
+def joined(group: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``rep, component`` by new links and the components so far."""
+    if group is not None:
+        links = links.unionByName(group.where("rep != component").select(F.col("rep").alias("a"), F.col("component").alias("b")))
+    return compact(saved(components(links).select(F.col("node").alias("rep"), "component"), "groups"))
+
+
 def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """``rep, component``: components of the classes by confirmed links.
 
     A round compares the hubs of each bucket with its other members outside their
     component, and takes the hubs out: all their pairs there are settled. Buckets of
-    one component, or of one member, are done.
+    one component, or of one member, are done. The pairs of the others are compared at
+    the end, all of them.
     """
     buckets = compact(saved(shared_tables(classes), "buckets"))
     busy = compact(saved(buckets.groupBy("rep").agg(F.sum("members").alias("busy")), "busy"))
-    light = compact(saved(classes.select("rep", "n", "short").join(busy, "rep"), "light"))
+    light = compact(saved(classes.select("rep", "n", "keys", "short").join(busy, "rep"), "light"))
     texts = saved(docs.join(busy.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
     # the first round's order of a bucket: most shared buckets first
     buckets = buckets.join(light.select("rep", "busy").distinct(), "rep").select("key", "rep", "busy", F.col("rep").alias("component"))
@@ -184,11 +275,7 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -
             links = compact(saved(checked.where("linked").select("a", "b"), "links"))
             links = None if links.isEmpty() else links
         if links is not None:
-            if group is not None:
-                links = links.unionByName(group.where("rep != component").select(F.col("rep").alias("a"), F.col("component").alias("b")))
-            group = compact(saved(components(links).select(F.col("node").alias("rep"), "component"), "groups"))
-        elif turn:
-            break
+            group = joined(group, links)
         left = buckets.drop("component").join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
         left = left.join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep")) if group is not None else left.withColumn("component", F.col("rep"))
         left = compact(saved(left, "left"))
@@ -198,6 +285,11 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
         turn += 1
+        if turn > 1 and (links is None or turn == ROUNDS):
+            links = compact(saved(links_of_the_rest(buckets, light, texts, words, percent), "links"))
+            if not links.isEmpty():
+                group = joined(group, links)
+            break
     return group if group is not None else classes.select("rep", F.col("rep").alias("component")).limit(0)
 
 

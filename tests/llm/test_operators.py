@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, langid, mixing, nearest, quality, repair, token_count, warc
+from framewright.llm import bpe, langid, minhash, mixing, nearest, quality, repair, token_count, warc
 from framewright.llm.components import components
 from framewright.llm.cover_tree import near_vectors
 from framewright.llm.minhash import near_duplicates
@@ -89,6 +89,27 @@ def test_near_duplicates_in_a_star_of_copies(spark):
     assert [found[i] for i in range(len(texts))] == [root for _, root in brute_components(texts, 4)]
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, 60])
+def test_near_duplicates_in_a_family_of_unlike_variants(spark, monkeypatch, block):
+    # two wordings at each of 60 places, so that all shingles are common: pairs resemble
+    # each other at about 0.7, the planted ones (18 places apart) alone at 0.8 and more
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    kept = []
+    while len(kept) < 500:
+        v = rng.integers(0, 2, 60)
+        if all((v != u).sum() >= 20 for u in kept):
+            kept.append(v)
+    for i in (100, 200, 300):
+        v = kept[i].copy()
+        v[rng.choice(60, 18, replace=False)] ^= 1
+        kept.append(v)
+    texts = [" ".join(f"w{i}" if i % 12 else f"w{i}v{v[i // 12]}" for i in range(720)) for v in kept]
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(spark, texts), words=4).collect()}
+    assert [found[i] for i in range(len(texts))] == [root for _, root in brute_components(texts, 4)]
+
+
 def test_near_duplicates_of_nothing_and_repeated_ids(spark):
     assert near_duplicates(docs_of(spark, []), words=5).count() == 0
     twice = docs_of(spark, ["a b c d e f", "x y"]).union(docs_of(spark, ["a b c d e f"]))
