@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from ..errors import SelectionError
+
 TOL = 1e-9
 
 
@@ -182,19 +184,70 @@ def flight(pi: np.ndarray, balance: np.ndarray, rng: np.random.Generator) -> np.
     return x
 
 
+def whole_bounds(hard: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The whole numbers below and above the expected counts of 0/1 columns."""
+    expected = hard.T @ pi
+    slack = 1e-10 * (1 + np.abs(expected))
+    return np.floor(expected + slack), np.ceil(expected - slack)
+
+
+def settle(x: np.ndarray, hard: np.ndarray, lower: np.ndarray, upper: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Settle the open units with ``lower <= hard' x <= upper`` kept: walk on along null
+    vectors of the constraints that are tight, until a unit closes or another constraint
+    is tight. Chances are kept. With at most two crossed sets of levels every corner is
+    whole (a transport problem); with more, units may stay open."""
+    x, near = x.copy(), 1e-7
+    open_ = rng.permutation(np.flatnonzero((x > TOL) & (x < 1 - TOL)))
+    counts = hard.T @ x
+    tight = (counts - lower < near) | (upper - counts < near)
+    size = 2
+    while len(open_):
+        block = open_[:size]
+        a = hard[block][:, tight].T
+        a = a[np.abs(a).any(1)]
+        _, values, vectors = np.linalg.svd(a) if len(a) else (None, np.zeros(0), np.eye(len(block)))
+        if (values > near).sum() >= len(block):
+            if len(block) == len(open_):
+                break
+            size *= 2
+            continue
+        vector = np.where(np.abs(vectors[-1]) > near, vectors[-1], 0.0)
+        change = np.where(tight, 0.0, hard[block].T @ vector)
+        moves = []
+        for v, c in ((vector, change), (-vector, -change)):
+            units, more, less = v != 0, c > near, c < -near
+            room = np.where(v > 0, 1 - x[block], x[block])[units] / np.abs(v[units])
+            moves.append(min(np.concatenate([room, (upper - counts)[more] / c[more], (counts - lower)[less] / -c[less]])))
+        up, down = moves
+        move = up if rng.random() * (up + down) < down else -down
+        new = np.clip(x[block] + move * vector, 0.0, 1.0)
+        x[block] = np.where((new < near) | (new > 1 - near), np.round(new), new)
+        counts = hard.T @ x
+        tight |= (counts - lower < near) | (upper - counts < near)
+        open_ = open_[(x[open_] > 0) & (x[open_] < 1)]
+        size = 2
+    return x
+
+
 def cube(pi: np.ndarray, columns: np.ndarray, rng: np.random.Generator, fixed: int = 1) -> np.ndarray:
-    """Cube method: ``columns`` are balanced, the first ``fixed`` of them to the end. The
-    landing drops the last balancing columns one by one."""
+    """Cube method: ``columns`` are balanced, the first ``fixed`` of them, 0/1 columns of
+    size, strata and bounded levels, to the end. The landing drops the last balancing
+    columns one by one; then counts stay between the whole numbers around those expected,
+    or the draw is refused."""
     scaled = columns / np.where(np.abs(columns).max(0) > 0, np.abs(columns).max(0), 1)
     x = pi.astype(float)
     for p in range(scaled.shape[1], fixed - 1, -1):
         x = flight(x, scaled[:, :p], rng)
         if not ((x > TOL) & (x < 1 - TOL)).any():
             break
-    left = np.flatnonzero((x > TOL) & (x < 1 - TOL))
-    if len(left):  # whole sums leave nothing open; else the units decide singly
-        x[left] = (rng.random(len(left)) < x[left]).astype(float)
-    return np.round(x).astype(int)
+    hard = columns[:, :fixed]
+    lower, upper = whole_bounds(hard, pi)
+    x = settle(x, hard, lower, upper, rng)
+    hits = np.round(x).astype(int)
+    counts = hard.T @ hits
+    if np.abs(x - hits).max(initial=0) > 1e-6 or (counts < lower).any() or (counts > upper).any():
+        raise SelectionError("counts that are bounded or fixed could not all be met by a cube draw; use fewer bound() columns")
+    return hits
 
 
 def pivot(x: np.ndarray, i: int, j: int, rng: np.random.Generator) -> None:

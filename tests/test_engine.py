@@ -194,6 +194,24 @@ def test_cube_balances_and_bounds(spark, frame):
     assert all(r["satisfied"] and r["realized"] == 5 for r in report.bounds_diagnostics(b).collect())
 
 
+def test_cube_keeps_fractional_crossed_bounds(frame):
+    s = sampling_design().draw(n=30, method="cube", aux=["income", bound("region"), bound("y")]).execute(frame, "id", seed=5)
+    assert s.df.count() == 30 and all(r["satisfied"] for r in report.bounds_diagnostics(s).collect())
+    rng = np.random.default_rng(2)
+    pi = np.full(60, 11.0) / 60
+    levels = [np.arange(60) % 7, np.arange(60) // 9]
+    hard = np.stack([np.ones(60), *(np.equal(v, g).astype(float) for v in levels for g in range(7))], 1)
+    expected = hard.T @ pi
+    draws = np.array([algorithms.select_pool("cube", pi, rng, balance=np.c_[hard, rng.random(60)], fixed=15) for _ in range(1500)])
+    counts = draws @ hard
+    assert (counts[:, 0] == 11).all() and (np.abs(counts - expected) < 1).all()
+    assert np.abs(draws.mean(0) - pi).max() < 0.05
+    # each two of three units hold one: no draw does that
+    pairs = np.array([[1, 1, 0, 1], [1, 1, 1, 0], [1, 0, 1, 1]], float)
+    with pytest.raises(errors.SelectionError):
+        algorithms.select_pool("cube", np.full(3, 0.5), rng, balance=pairs, fixed=4)
+
+
 def test_registered_methods(frame):
     def first(pool, n, rng):
         return (np.arange(len(pool)) < n).astype(int)
