@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, text_or_empty
+from .common import fold, saved, text_or_empty
 from .words import byte_blocks
 
 CHUNK, STRIDE, WIDTH, FILTERS, HIDDEN = 256, 224, 6, 16, 16
 PAD = 256
-#: Bound of the labelled sample: documents of each label, chunks of each document.
+#: Bound of the labelled sample: documents of each label, chunks of each document that the
+#: filters are trained on. The combination is fitted on all chunks of these documents.
 SAMPLE_DOCS, SAMPLE_CHUNKS = 1200, 4
 
 
@@ -82,6 +83,13 @@ def combined(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(owner, logits, n) / counts, np.maximum.reduceat(logits, first), np.minimum.reduceat(logits, first), np.ones(n)], 1)
 
 
+def text_features(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
+    """What :func:`combined` says of every chunk of each text."""
+    owner, start = chunk_starts(np.diff(offsets))
+    logits = np.concatenate([chunk_logits(chunk_matrix(data, offsets, owner[i : i + 2048], start[i : i + 2048]), model) for i in range(0, len(owner), 2048)])
+    return combined(logits, owner, len(offsets) - 1)
+
+
 def scores(texts: pa.Array, model: Model) -> np.ndarray:
     """Probability of label 1 for each whole text; nulls count as empty."""
     found = []
@@ -90,17 +98,15 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
         if model.prior is not None:
             found.append(np.full(n, model.prior))
             continue
-        owner, start = chunk_starts(np.diff(offsets))
-        logits = np.concatenate([chunk_logits(chunk_matrix(data, offsets, owner[i : i + 2048], start[i : i + 2048]), model) for i in range(0, len(owner), 2048)])
-        found.append(sigmoid(combined(logits, owner, n) @ model.combine))
+        found.append(sigmoid(text_features(data, offsets, model) @ model.combine))
     return np.concatenate(found) if found else np.zeros(0)
 
 
 def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, epochs: int = 8, rate: float = 0.004, seed: int = 7) -> Model:
-    """Adam on the cross-entropy of chunks, then of documents for the combination.
+    """Adam on the cross-entropy of chunks; the combination is left at the mean.
 
     ``owner`` is the ascending document number of each chunk, ``labels`` are by
-    document. Both labels weigh the same in the chunk stage.
+    document. Both labels weigh the same.
     """
     rng = np.random.default_rng(seed)
     p = {"tables": rng.normal(0, 0.15, (WIDTH, 257, FILTERS)), "bias": np.zeros(FILTERS), "w1": rng.normal(0, 0.35, (FILTERS, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": rng.normal(0, 0.35, HIDDEN), "b2": np.zeros(1)}
@@ -134,14 +140,29 @@ def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, epochs: int
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 p[k] -= (rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
             model.b2 = float(p["b2"][0])
-    features = combined(chunk_logits(chunks, model), owner, len(labels))
+    return model
+
+
+def combination(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Weights of mean, highest, lowest chunk logit and 1 by the documents' cross-entropy."""
     scale = np.abs(features).mean(0) + 1e-6
     w = np.zeros(4)
     for _ in range(400):
         out = sigmoid((features / scale) @ w) - labels
         w -= 0.5 * ((features / scale).T @ out / len(labels) + 1e-3 * w)
-    model.combine = w / scale
-    return model
+    return w / scale
+
+
+def document_features(model: Model):
+    """Mean, highest and lowest logit over all chunks of each labelled text."""
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.concatenate([text_features(data, offsets, model) for data, offsets in byte_blocks(batch["text"])] or [np.zeros((0, 4))])
+            columns = [pa.array(found[:, i], pa.float64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["label"], *columns], ["row", "label", "mean", "high", "low"])
+
+    return features
 
 
 def spread_chunks(most: int):
@@ -171,9 +192,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, k: int, remainder: int,
 
 
 def fit(docs: DataFrame, labels: DataFrame, k: int = 5, remainder: int = 0, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Train on a bounded sample: at most ``sample_docs`` documents of each label and
-    SAMPLE_CHUNKS chunks of each (``sample_docs`` is the documented bound)."""
-    rows = labelled_sample(docs, labels, k, remainder, sample_docs).mapInArrow(spread_chunks(SAMPLE_CHUNKS), "row long, label int, chunk binary").toPandas()
+    """Train on a bounded sample: at most ``sample_docs`` documents of each label
+    (``sample_docs`` is the documented bound), the filters on SAMPLE_CHUNKS chunks of
+    each, the combination on all."""
+    sample = saved(labelled_sample(docs, labels, k, remainder, sample_docs), "labelled")
+    rows = sample.mapInArrow(spread_chunks(SAMPLE_CHUNKS), "row long, label int, chunk binary").toPandas()
     rows = rows.sort_values(["row", "label"], kind="stable")
     key = rows["row"].astype(str) + " " + rows["label"].astype(str)
     owner = (key != key.shift()).cumsum().to_numpy() - 1
@@ -181,7 +204,12 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 5, remainder: int = 0, samp
     matrix = np.full((len(rows), CHUNK), PAD, np.int16)
     for i, part in enumerate(rows["chunk"]):
         matrix[i, : len(part)] = np.frombuffer(part, np.uint8)
-    return train(matrix, owner, labels_by)
+    model = train(matrix, owner, labels_by)
+    if model.prior is None:
+        whole = sample.mapInArrow(document_features(model), "row long, label int, mean double, high double, low double").toPandas()
+        whole = whole.sort_values(["row", "label", "mean"], kind="stable")
+        model.combine = combination(whole[["mean", "high", "low"]].assign(one=1.0).to_numpy(), whole["label"].to_numpy())
+    return model
 
 
 def quality_column(docs: DataFrame, model: Model, text_col: str = "text"):

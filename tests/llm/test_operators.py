@@ -364,6 +364,26 @@ def test_quality_is_learned_over_the_whole_text(spark):
     assert quality.score_quality(docs_of(spark, []), model).count() == 0
 
 
+def test_quality_of_long_texts_is_fitted_on_all_chunks(spark):
+    # a fifth of a good text's chunks is bad and the other way round
+    rng = np.random.default_rng(4)
+    good, bad = (["".join(rng.choice(list(letters), 5)) for _ in range(50)] for letters in ("abcdefghij", "ghijklmnop"))
+    labels, texts = [i % 2 for i in range(60)], []
+    for label in labels:
+        mostly, other = (good, bad) if label else (bad, good)
+        texts.append(" ".join(" ".join(rng.choice(other if rng.random() < 0.2 else mostly, 40)) for _ in range(60)))
+    model = quality.fit(docs_of(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int"), k=10**6, remainder=-1)
+    import pyarrow as pa
+
+    (data, offsets), = byte_blocks(pa.array(texts))
+    owner, start = quality.chunk_starts(np.diff(offsets))
+    features = quality.combined(quality.chunk_logits(quality.chunk_matrix(data, offsets, owner, start), model), owner, len(texts))
+    scale = np.abs(features).mean(0) + 1e-6
+    # at the optimum over all chunks the slope is nearly zero
+    slope = (features / scale).T @ (quality.sigmoid(features @ model.combine) - labels) / len(labels) + 1e-3 * model.combine * scale
+    assert np.abs(slope).max() < 0.004
+
+
 def test_chunks_cover_everything():
     lengths = np.array([0, 1, 256, 257, 480, 481, 100_000])
     owner, start = quality.chunk_starts(lengths)
