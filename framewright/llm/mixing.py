@@ -109,10 +109,13 @@ def mix(docs: DataFrame, evenness: float = 0.95, repeat: float = 4.0, budget: fl
     return whole.unionByName(cut).select("doc_id", "source", "pass", "n_tokens", "weight")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mixture reads them, with their columns."""
-    times = mix(docs, **options).groupBy("doc_id").agg(F.count("*").alias("_times"))
-    return docs.join(times, "doc_id").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(docs.columns)
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mixture reads them, with their columns. Rows
+    with a null id count as documents too, known by their text's hash."""
+    own = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("string"), own))
+    times = mix(keyed, id_col="_key", text_col=text_col, **options).groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_times"))
+    return keyed.join(times, "_key").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(docs.columns)
 
 
 def oracle_sql(evenness: float = 0.95, repeat: float = 4.0, budget: float = 1.0) -> str:

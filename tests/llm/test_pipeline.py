@@ -46,3 +46,12 @@ def test_stages(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_mixing_keeps_documents_without_an_id(spark):
+    from framewright.llm import mixing
+
+    rows = [(None, "a b c", "s"), (None, "d e", "s"), (1, "f g h", "s"), (None, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = sorted(mixing.mixed_documents(docs).collect(), key=lambda r: r["text"])
+    assert [(r["doc_id"], r["text"]) for r in found] == [(None, "a b c"), (None, "d e"), (1, "f g h")]
