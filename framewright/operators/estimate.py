@@ -129,8 +129,11 @@ def replicate_weights(sample: Sample, kind: str = "auto", replicates: int = 50,
     ``JK1`` drops one primary unit in turn, ``JKn`` one within its stratum, ``bootstrap``
     draws n - 1 of n units of each stratum by hashed numbers (Rao and Wu), ``BRR`` and
     ``Fay`` take half of each stratum of two units by a Hadamard matrix. ``auto`` is JKn
-    with strata, else JK1. For JKn each row also has ``_rep_scale``.
+    with strata, else JK1. For JKn each row also has ``_rep_scale``. ``subbootstrap`` is
+    the bootstrap; ``mrbbootstrap``, which resamples later stages too, is refused.
     """
+    if kind == "mrbbootstrap":
+        raise ExportError("the multistage rescaled bootstrap is missing: bootstrap resamples primary units only")
     d = as_survey_design(sample)
     strata = sample.design.stages[0].strata
     kind = ("JKn" if strata else "JK1") if kind == "auto" else kind
@@ -147,7 +150,7 @@ def replicate_weights(sample: Sample, kind: str = "auto", replicates: int = 50,
         weight = F.when(F.col("id_1") == F.col("_d"), 0.0).when(inside, F.col("_weight") * n / (n - 1)).otherwise(F.col("_weight"))
         return rows.withColumn("_rep_weight", weight).withColumn("_rep_scale", (n - 1) / n).drop("_s", "_d", "_of"), (total - 1) / total if kind == "JK1" else 1.0
     many = d.df.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("_rep"))
-    if kind in ("bootstrap", "subbootstrap", "mrbbootstrap"):
+    if kind in ("bootstrap", "subbootstrap"):
         draws = units.where("_i = 1").select("stratum_1", "_n").crossJoin(F.broadcast(many)).withColumn("_draw", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_n") - 1, F.lit(1)).cast("int"))))
         u = uniform_of(F.concat_ws(":", F.lit(f"{seed}:bootstrap"), F.col("_rep").cast("string"), F.col("stratum_1"), F.col("_draw").cast("string")))
         hits = draws.withColumn("_i", (F.floor(u * F.col("_n")) + 1).cast("int")).groupBy("stratum_1", "_rep", "_i").agg(F.count("*").alias("_hits"))

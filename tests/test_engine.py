@@ -369,6 +369,12 @@ def test_totals_and_domains(frame):
     assert math.isclose(brr, estimate.replicate_total(two, "y", "JKn").first()["se"], rel_tol=1e-9)
 
 
+def test_multistage_bootstrap_is_refused(frame):
+    s = sampling_design().draw(n=20).execute(frame, "id", seed=1)
+    with pytest.raises(errors.ExportError):
+        estimate.replicate_weights(s, "mrbbootstrap")
+
+
 def test_design_effects(frame):
     s = sampling_design().stratify_by("region").draw(n={"A": 5, "B": 10, "C": 20, "D": 25}).execute(frame, "id", seed=1)
     w = np.array([r["_weight"] for r in s.df.collect()])
