@@ -16,13 +16,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors, as named by ``spark.checkpoint.dir``.
 
     Only where the session leaves it unset (tests, notebooks) a temporary folder is
-    made and set, which is right for local mode alone.
+    made and set, in local mode alone: elsewhere the executors could not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="framewright-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -58,10 +60,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 4000, size: int = 16 << 20) -> None:
-    """Bound what one Arrow batch to a Python worker may hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def arrow_batches(spark: SparkSession, rows: int = 4000, size: int = 4 << 20) -> None:
+    """Bound what one Arrow batch to a Python worker may hold. Tighter bounds that the
+    session has already stay; wider ones are lowered for it, as plans run after this."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,13 +6,16 @@ second, so 2*M*ROWS minimum hashes serve where M*M*2*ROWS would be computed. Two
 documents meet in a table when they share a key on both sides. Candidates are
 confirmed on their full shingle sets.
 
-Documents with the same shingle set are one class and are compared once. In a table's
-bucket members are compared with one hub at a time, never all with all: the first hub
-is the member that shares most buckets (the text the others were derived from shares
-more of them than any of its copies); hubs leave the bucket once compared, and further
-rounds take HUBS others in buckets that still hold members of different components.
-When a round links nothing new, or after ROUNDS, all pairs of different components that
-the buckets still hold are compared in tiles, so every candidate pair is settled.
+Documents with the same shingle set are one class and are compared once. The tables
+are never spelled out: a bucket holds the classes that share a key of the first
+collection, at most M for a class, and its members are compared if they share a key of
+the second. In a round every bucket has one hub, chosen by an aggregate, and all its
+other members outside the hub's component are compared with it; the hub then leaves.
+The first hub is the member that shares most buckets, for a text that others were
+derived from shares more of them than any of its copies. Rounds go on while a bucket
+has over BLOCK members outside its largest component. Then all pairs of different
+components that the buckets still hold are compared, in tiles of two blocks, the
+largest component of a bucket only with the rest: every candidate pair is settled.
 """
 
 from __future__ import annotations
@@ -39,12 +42,16 @@ _PLACES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uin
 #: Least equal minimum hashes of HASHES for a pair to be compared in full: a pair of
 #: similarity 0.8 has fewer with probability below 1e-6.
 LEAST_EQUAL = 40
-#: Hubs of a bucket in each round after the first.
-HUBS = 16
+#: Least shingles of a set kept as its sample. A set of no more is its sample; of larger
+#: ones, the SAMPLE least of both hold the shared ones in the share of all, and a pair
+#: of similarity 0.8 has under LEAST_SAMPLED with probability below 1e-8.
+SAMPLE, LEAST_SAMPLED = 256, 166
 #: Rounds of hubs before the pairs that are left are compared in tiles.
-ROUNDS = 4
+ROUNDS = 6
 #: Members of a bucket in one block; a tile compares two blocks.
 BLOCK = 2000
+#: Pairs of a hub that one task confirms.
+SHARE = 1000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,116 +128,187 @@ def features_udf(words: int):
     return F.arrow_udf(features, _FEATURES)
 
 
-def linked_udf(words: int, percent: int):
-    def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
-            both = pa.concat_arrays([x.cast(pa.large_string()) for x in (a, b)]).dictionary_encode()
-            sets: list[np.ndarray] = []
-            for data, offsets in byte_blocks(both.dictionary):
+def samples_udf(words: int):
+    """Digests and the SAMPLE least shingles of the set of each text."""
+
+    def samples(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            h1, h2, lists = [], [], []
+            for data, offsets in byte_blocks(texts):
                 shingles, begins = shingle_sets(data, offsets, words)
-                sets += [shingles[s:e] for s, e in zip(begins[:-1], begins[1:], strict=True)]
-            which = both.indices.to_numpy()
-            out = []
-            for i, j in zip(which[: len(a)].tolist(), which[len(a) :].tolist(), strict=True):
-                x, y = sets[i], sets[j]
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * same >= percent * (len(x) + len(y) - same) and same > 0)
-            yield pa.array(out, pa.bool_())
-
-    return F.arrow_udf(linked, "boolean")
-
-
-def close_pairs(percent: int):
-    """Pairs of a tile that may be linked: members of different components, by sizes and
-    minimum hashes. A pair counts in the first table that it shares only."""
-
-    def close(rows: pa.Table) -> pa.Table:
-        rep, component, n, block = (rows[c].to_numpy() for c in ("rep", "component", "n", "block"))
-        keys, short = (np.stack(rows[c].to_numpy()) for c in ("keys", "short"))
-        one, across = rows["x"][0].as_py(), rows["x"][0].as_py() != rows["y"][0].as_py()
-        left, right = divmod(rows["key"][0].as_py() & 0xFF, M)
-        found = []
-        for i in np.flatnonzero(block == one).tolist():
-            j = np.flatnonzero((block != one) if across else (np.arange(len(rep)) > i))
-            j = j[(component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-            j = j[(short[j] == short[i]).sum(1) >= LEAST_EQUAL]
-            same = keys[j] == keys[i]
-            j = j[same[:, left] & same[:, M + right] & ~same[:, :left].any(1) & ~same[:, M : M + right].any(1)]
-            found.append(np.stack([np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i])]))
-        a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({c: pa.array(np.full(len(a), rows[c][0].as_py()), rows[c].type) for c in ("key", "x", "y")} | {"a": a, "b": b})
+                one, two = set_digests(shingles, begins)
+                h1 += one.tolist()
+                h2 += two.tolist()
+                lists += [shingles[s : min(e, s + SAMPLE)].view(np.int64) for s, e in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+            yield pa.StructArray.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["h1", "h2", "sample"])
 
-    return close
+    return F.arrow_udf(samples, "h1 long, h2 long, sample array<long>")
 
 
-def linked_in_tile(words: int, percent: int):
-    """Links among the pairs of a tile on full shingle sets. A pair that links found
-    before in the tile connect already is passed over."""
+def confirm(words: int, percent: int):
+    """Links of runs of rows ``hub, salt, rep, text``: a run begins with the hub's own
+    texts, whose ``rep`` is null, and its other rows are compared with those."""
 
-    def linked(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        blocks = [shingle_sets(data, offsets, words) for chunk in texts["text"].chunks for data, offsets in byte_blocks(chunk.cast(pa.large_string()))]
-        ends = np.cumsum(np.concatenate([np.diff(begins) for _, begins in blocks]))
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, mine = None, []
+        for batch in batches:
+            sets: list[np.ndarray] = []
+            for data, offsets in byte_blocks(batch["text"]):
+                shingles, begins = shingle_sets(data, offsets, words)
+                sets += [shingles[s:e] for s, e in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+            a, b = [], []
+            for hub, salt, rep, other in zip(batch["hub"].to_pylist(), batch["salt"].to_pylist(), batch["rep"].to_pylist(), sets, strict=True):
+                if (hub, salt) != run:
+                    run, mine = (hub, salt), []
+                if rep is None:
+                    mine.append(other.copy())
+                elif any(linked(x, other, percent) for x in mine):
+                    a.append(hub)
+                    b.append(rep)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return links
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same > 0 and 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b``: the pairs ``hub, rep`` that are linked on their full sets. A hub's text
+    is sent once for SHARE pairs, and a task holds one hub and a batch of others."""
+    shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    salted = pairs.join(shares, "hub").select("hub", "rep", F.pmod(F.xxhash64("rep"), "shares").cast("int").alias("salt"))
+    others = salted.join(texts, "rep").select("hub", "salt", "rep", "text")
+    hubs = salted.select("hub", "salt").distinct().join(texts.withColumnRenamed("rep", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("rep"), "text")
+    runs = others.unionByName(hubs).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("rep").asc_nulls_first())
+    return runs.mapInArrow(confirm(words, percent), "a long, b long")
+
+
+class Tile:
+    """Rows of one tile, or of several one after another."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        number = lambda c: rows[c].to_numpy()
+        flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
+        self.tile = np.stack([number(c) for c in ("key", "x", "y")], 1)
+        self.rep, self.component, self.n, self.block = (number(c) for c in ("rep", "component", "n", "block"))
+        self.keys, self.short = flat("keys").reshape(len(rows), 2 * M), flat("short").reshape(len(rows), HASHES)
+        self.ends = np.cumsum(rows["sample"].combine_chunks().value_lengths().to_numpy())
+        self.sample = flat("sample").view(np.uint64)
+        self.whole = self.n <= SAMPLE
+
+    def samples(self, i: int) -> np.ndarray:
+        return self.sample[self.ends[i - 1] if i else 0 : self.ends[i]]
+
+    def settle(self, begin: int, end: int, percent: int, links: list, likely: list) -> None:
+        """Compare the pairs of rows begin..end. Pairs of sets that are whole in their
+        samples are settled, and those that links of the tile connect already are passed
+        over; others that may be linked by sizes and samples are ``likely``."""
+        key, one, two = self.tile[begin].tolist()
+        n, short, whole = self.n[begin:end], self.short[begin:end], self.whole[begin:end]
+        left, right = self.keys[begin:end, :M], self.keys[begin:end, M:]
+        place = int(np.flatnonzero(left[0] == key)[0])
+        _, group = np.unique(self.component[begin:end], return_inverse=True)
+        block = self.block[begin:end]
+        firsts, seconds = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        ids = has = None
+        base = self.ends[begin - 1] if begin else 0
+        ends = self.ends[begin:end] - base
         begins = np.r_[0, ends[:-1]]
-        values, ids = np.unique(np.concatenate([s for s, _ in blocks]), return_inverse=True)
-        nodes, of = np.unique(texts["rep"].to_numpy(), return_inverse=True)
-        sets: list[list[np.ndarray]] = [[] for _ in nodes]
-        for node, s, e in zip(of.tolist(), begins.tolist(), ends.tolist(), strict=True):
-            if e > s:
-                sets[node].append(ids[s:e])
-        ends_of = [np.searchsorted(nodes, pairs[c].to_numpy()) for c in "ab"]
-        order = np.lexsort(ends_of[::-1])
-        a, b = (x[order] for x in ends_of)
-        group, has, out = np.arange(len(nodes)), np.zeros(len(values), np.int32), []
-        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        for start, stop in zip(starts, np.r_[starts[1:], len(a)], strict=True):
-            i, others = int(a[start]), b[start:stop]
-            for mine in sets[i]:
-                mates = [(j, s) for j in others[group[others] != group[i]].tolist() for s in sets[j]]
-                if not mates:
-                    continue
-                lengths = np.array([len(s) for _, s in mates])
-                has[mine] = 1
-                same = np.add.reduceat(has[np.concatenate([s for _, s in mates])], np.cumsum(lengths) - lengths)
-                has[mine] = 0
-                hits = np.array([j for j, _ in mates])[(same > 0) & (100 * same >= percent * (len(mine) + lengths - same))]
-                out += [(int(nodes[i]), int(nodes[j])) for j in np.unique(hits)]
-                group[np.isin(group, group[hits])] = group[i]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    return linked
-
-
-def links_of_the_rest(buckets: DataFrame, light: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b``: links between members of different components in the same bucket. Large
-    buckets are cut into blocks, and each tile of two blocks is a group of its own."""
-    blocks = buckets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = buckets.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), "blocks").cast("int"))
-    rows = rows.select("key", "rep", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component").join(light.select("rep", "n", "keys", "short"), "rep")
-    pairs = saved(tiles.groupBy("key", "x", "y").applyInArrow(close_pairs(percent), "key long, x int, y int, a long, b long"), "rest")
-    # other names: the sides of a cogroup may not share columns
-    tile, same = ("key", "x", "y"), ("its_key", "its_x", "its_y")
-    members = pairs.select(*(F.col(c).alias(d) for c, d in zip(tile, same, strict=True)), F.explode(F.array("a", "b")).alias("rep")).distinct()
-    members = members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    return pairs.groupBy(*tile).cogroup(members.groupBy(*same)).applyInArrow(linked_in_tile(words, percent), "a long, b long")
-
-
-def shared_tables(classes: DataFrame) -> DataFrame:
-    """``key, rep, members``: the buckets of the M*M tables that hold several classes.
-
-    A class can meet another in table (i, j) only if it shares key i and key j, so
-    keys that no other class has are dropped before pairs of keys are formed.
-    """
-    halves = classes.select("rep", F.posexplode("keys").alias("place", "half"))
-    often = halves.groupBy("place", "half").agg(F.count("*").alias("members")).where("members > 1").drop("members")
-    shared = halves.join(often, ["place", "half"])
-    sides = shared.groupBy("rep").agg(*(F.collect_list(F.when(on, F.struct("place", "half"))).alias(name) for name, on in (("left", F.col("place") < M), ("right", F.col("place") >= M))))
-    tables = sides.select("rep", F.explode("left").alias("l"), "right").select("rep", "l", F.explode("right").alias("r"))
-    # the key's low byte is the table's number
-    number = F.col("l.place") * M + F.col("r.place") - M
-    key = F.shiftleft(F.xxhash64("l.place", "l.half", "r.place", "r.half"), 8).bitwiseOR(number.cast("long"))
-    rows = compact(saved(tables.select("rep", key.alias("key")), "tables"))
-    return rows.join(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key")
+        for i in firsts.tolist():
+            j = seconds[group[seconds] != group[i]]
+            if one == two:
+                j = j[j > i]
+            if not len(j):
+                continue
+            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+            # a pair counts in the first bucket that it shares
+            j = j[(right[j] == right[i]).any(1) & ~(left[j, :place] == left[i, :place]).any(1)]
+            j = j[(short[j] == short[i]).sum(1) >= LEAST_EQUAL]
+            if not len(j):
+                continue
+            exact = j[whole[j]] if whole[i] else j[:0]
+            if len(exact):
+                if ids is None:
+                    values, ids = np.unique(self.sample[base : base + ends[-1]], return_inverse=True)
+                    has = np.zeros(len(values), np.int32)
+                has[ids[begins[i] : ends[i]]] = 1
+                sizes = n[exact]
+                at = np.repeat(begins[exact] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                same = np.add.reduceat(has[ids[at]], np.cumsum(sizes) - sizes)
+                has[ids[begins[i] : ends[i]]] = 0
+                hits = exact[(same > 0) & (100 * same >= percent * (sizes + n[i] - same))]
+                for h in hits.tolist():
+                    if group[h] != group[i]:
+                        links.append((int(self.rep[begin + i]), int(self.rep[begin + h])))
+                        group[group == group[h]] = group[i]
+            mine = self.samples(begin + i)
+            for k in (j[~whole[j]] if whole[i] else j).tolist():
+                if group[k] != group[i]:
+                    other = self.samples(begin + k)
+                    least = np.union1d(mine, other)[:SAMPLE]
+                    same = len(np.intersect1d(mine[mine <= least[-1]], other[other <= least[-1]], assume_unique=True))
+                    if same * SAMPLE >= LEAST_SAMPLED * len(least):
+                        likely.append((int(self.rep[begin + i]), int(self.rep[begin + k])))
+
+
+def settle_tiles(percent: int):
+    """Links and likely pairs of tiles whose rows come one tile after another."""
+
+    def told(rows: pa.Table) -> pa.RecordBatch:
+        links: list[tuple[int, int]] = []
+        likely: list[tuple[int, int]] = []
+        tiles = Tile(rows)
+        cuts = np.flatnonzero((tiles.tile[1:] != tiles.tile[:-1]).any(1)) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
+            tiles.settle(begin, end, percent, links, likely)
+        pairs = links + likely
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64()), pa.array([True] * len(links) + [False] * len(likely), pa.bool_())], ["hub", "rep", "sure"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            last = [held[c][-1] for c in ("key", "x", "y")]
+            same = np.logical_and.reduce([held[c].to_numpy() == v.as_py() for c, v in zip(("key", "x", "y"), last, strict=True)])
+            cut = len(held) - int(same.sum())
+            if cut:
+                yield told(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield told(held)
+
+    return settle
+
+
+def pairs_of_the_rest(members: DataFrame, mixed_keys: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """``hub, rep, sure``: links and likely pairs between members of different components
+    in the same bucket. ``mixed_keys`` has each bucket's largest component, its members
+    there and its others."""
+    blocks = [F.ceil(F.col(c) / BLOCK).cast("int").alias(f"{c}_blocks") for c in ("others", "top")]
+    rows = members.join(mixed_keys.select("key", "major", *blocks), "key").join(light, "rep").where(F.array_contains(F.slice("keys", 1, M), F.col("key")))
+    major = F.col("component") == F.col("major")
+    place = lambda n: F.pmod(F.xxhash64("rep", F.lit("block")), n).cast("int")
+    rows = rows.withColumn("block", F.when(major, F.col("others_blocks") + place(F.col("top_blocks"))).otherwise(place(F.col("others_blocks"))))
+    # blocks of the largest component meet those of the others only
+    with_all = F.sequence(F.lit(0), F.col("others_blocks") + F.col("top_blocks") - 1)
+    rows = rows.withColumn("other", F.explode(F.when(major, F.sequence(F.lit(0), F.col("others_blocks") - 1)).otherwise(with_all)))
+    tiles = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component", "n", "keys", "short", "sample")
+    return tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(settle_tiles(percent), "hub long, rep long, sure boolean")
+
+
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """``key, rep, size``: keys of the first collection that several classes have. Those
+    of the second need no rows: they are compared where two classes meet."""
+    halves = classes.select("rep", F.explode(F.slice("keys", 1, M)).alias("key")).distinct()
+    often = halves.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return halves.join(often, "key")
 
 
 def joined(group: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -241,55 +319,49 @@ def joined(group: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """``rep, component``: components of the classes by confirmed links.
-
-    A round compares the hubs of each bucket with its other members outside their
-    component, and takes the hubs out: all their pairs there are settled. Buckets of
-    one component, or of one member, are done. The pairs of the others are compared at
-    the end, all of them.
-    """
-    buckets = compact(saved(shared_tables(classes), "buckets"))
-    busy = compact(saved(buckets.groupBy("rep").agg(F.sum("members").alias("busy")), "busy"))
-    light = compact(saved(classes.select("rep", "n", "keys", "short").join(busy, "rep"), "light"))
-    texts = saved(docs.join(busy.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
-    # the first round's order of a bucket: most shared buckets first
-    buckets = buckets.join(light.select("rep", "busy").distinct(), "rep").select("key", "rep", "busy", F.col("rep").alias("component"))
-    sides = [light.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("short").alias(f"short{s}")) for s in "ab"]
-    full = [texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text{s}")) for s in "ab"]
-    equal = F.aggregate(F.zip_with("shorta", "shortb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
-    tested = group = None
-    turn = 0
+    """``rep, component``: components of the classes by confirmed links."""
+    buckets = compact(saved(shared_buckets(classes), "buckets"))
+    busy = compact(saved(buckets.groupBy("rep").agg(F.sum("size").alias("busy")), "busy"))
+    light = compact(saved(classes.select("rep", "n", "keys", "short", "h1", "h2").join(busy, "rep"), "light"))
+    texts = saved(docs.select(F.col("doc_id").alias("rep"), "text").join(busy.select("rep"), "rep", "left_semi"), "texts")
+    sides = [light.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("short").alias(f"short_{s}"), F.slice("keys", M + 1, M).alias(f"right_{s}")) for s in ("hub", "rep")]
+    equal = F.aggregate(F.zip_with("short_hub", "short_rep", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
+    members = buckets.select("key", "rep", F.col("rep").alias("component"))
+    group, turn = None, 0
     while True:
-        score = F.col("busy") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-        place = F.row_number().over(Window.partitionBy("key").orderBy(score.desc(), "rep"))
-        hubs = buckets.select("key", "component", "rep", place.alias("place")).where(F.col("place") <= (1 if turn == 0 else HUBS)).select("key", F.col("rep").alias("hub"), F.col("component").alias("its"))
-        hubs = compact(saved(hubs, "hubs"))
-        found = buckets.join(hubs, "key").where("component != its").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        likely = found.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(equal >= LEAST_EQUAL)
-        pairs = compact(saved(likely.select("a", "b"), "pairs"))
-        links = None
-        if not pairs.isEmpty():
-            checked = pairs.join(full[0], "a").join(full[1], "b").select("a", "b", linked_udf(words, percent)("texta", "textb").alias("linked"))
-            links = compact(saved(checked.where("linked").select("a", "b"), "links"))
-            links = None if links.isEmpty() else links
-        if links is not None:
+        if turn == 0:
+            ranked = members.join(busy, "rep").withColumn("order", F.struct("busy", "rep", "component"))
+        else:
+            outside = members.join(mixed_keys.select("key", "major"), "key").where("component != major")
+            ranked = outside.withColumn("order", F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "component"))
+        hubs = compact(saved(ranked.groupBy("key").agg(F.max("order").alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.component").alias("its")), "hubs"))
+        met = members.join(hubs, "key").where("component != its").select("hub", "rep").distinct()
+        likely = met.join(sides[0], "hub").join(sides[1], "rep").where(100 * F.least("n_hub", "n_rep") >= percent * F.greatest("n_hub", "n_rep"))
+        likely = likely.where(F.arrays_overlap("right_hub", "right_rep") & (equal >= LEAST_EQUAL))
+        pairs = compact(saved(likely.select("hub", "rep").distinct(), "pairs"))
+        links = compact(saved(confirmed(pairs, texts, words, percent), "links"))
+        if not links.isEmpty():
             group = joined(group, links)
-        left = buckets.drop("component").join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
+        left = members.select("key", "rep").join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
         left = left.join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep")) if group is not None else left.withColumn("component", F.col("rep"))
-        left = compact(saved(left, "left"))
-        mixed_keys = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        buckets = compact(saved(left.join(mixed_keys, "key", "left_semi"), "buckets"))
-        if buckets.isEmpty():
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        members = compact(saved(left, "left"))
+        counts = members.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+        counts = counts.agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size")).select("key", F.col("most.component").alias("major"), F.col("most.n").alias("top"), (F.col("size") - F.col("most.n")).alias("others"))
+        mixed_keys = compact(saved(counts.where("others > 0"), "mixed"))
         turn += 1
-        if turn > 1 and (links is None or turn == ROUNDS):
-            links = compact(saved(links_of_the_rest(buckets, light, texts, words, percent), "links"))
-            if not links.isEmpty():
-                group = joined(group, links)
+        if turn >= ROUNDS or mixed_keys.where(F.col("others") > BLOCK).isEmpty():
             break
+    if not mixed_keys.isEmpty():
+        members = compact(saved(members.join(mixed_keys.select("key"), "key", "left_semi"), "rest"))
+        rest = light.join(members.select("rep").distinct(), "rep", "left_semi")
+        read = texts.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", samples_udf(words)("text").alias("s")).select("rep", "s.*").dropDuplicates(["rep", "h1", "h2"])
+        full = saved(rest.join(read, ["rep", "h1", "h2"]).select("rep", "n", "keys", "short", "sample"), "sampled")
+        found = compact(saved(pairs_of_the_rest(members, mixed_keys, full, percent), "rest-pairs"))
+        links = found.where("sure").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        likely = found.where("not sure").select("hub", "rep").distinct()
+        links = compact(saved(links.unionByName(confirmed(likely, texts, words, percent)), "links"))
+        if not links.isEmpty():
+            group = joined(group, links)
     return group if group is not None else classes.select("rep", F.col("rep").alias("component")).limit(0)
 
 
@@ -319,7 +391,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 def keep_first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each near-duplicate group: that with the
-    smallest id. Of rows that share an id one stays; rows with a null id all stay."""
-    chosen = near_duplicates(docs, words, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    one = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
+    smallest id. Of rows that share an id the one with the smallest text stays (nulls
+    first; equal texts by a hash of the row); rows with a null id all stay. Columns of
+    any name are kept as they are; an empty table gives an empty one."""
+    chosen = near_duplicates(docs, words, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("_chosen")).distinct()
+    kept = docs.join(chosen, F.col(id_col) == F.col("_chosen"), "left_semi")
+    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first(), F.xxhash64(*docs.columns))
+    one = kept.withColumn("_place", F.row_number().over(order)).where("_place = 1").select(docs.columns)
     return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from . import files
 from .common import arrow_batches, saved, scratch
 
-#: Bytes of records after which a writer starts the next archive, and of one read.
-ARCHIVE_BYTES, READ_BYTES = 128 << 20, 4 << 20
+#: Bytes and records after which a writer starts the next archive; bytes of one read and
+#: records of one batch of a reader.
+ARCHIVE_BYTES, ARCHIVE_RECORDS, READ_BYTES, READ_RECORDS = 128 << 20, 1 << 17, 4 << 20, 4096
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 DATE = "2024-01-01T00:00:00Z"
 TAIL = 22 + 0xFFFF
@@ -42,11 +43,15 @@ def clean(uri: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in uri)
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def page_name(page_id: int | None) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
     """One WARC record: a response with its payload, or a revisit without."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head + payload if refers_to is None else head
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", DATE), ("WARC-Target-URI", clean(url) if url else f"urn:page:{page_id}"), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{page_name(page_id)}>"), ("WARC-Date", DATE), ("WARC-Target-URI", clean(url) if url else page_name(page_id)), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is not None:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
@@ -197,14 +202,13 @@ def archive_writer(folder: str, archive_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out.close()], pa.int64())], ["path", "records"])
 
         for batch in batches:
-            for page, url, html, first in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "response")), strict=True):
+            for page, url, html, sha1, size, first in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "sha1", "size", "response")), strict=True):
                 if out is None:
                     name = f"{folder}/pages-{uuid.uuid4().hex}.zip"
                     out = Writer(name)
-                payload = html.encode()
-                digest = payload_digest(payload)
-                out.add(url or f"urn:page:{page}", digest, record(page, url, payload, digest, None if first is None or first == page else first))
-                if out.size >= archive_bytes:
+                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                out.add(url or page_name(page), digest, record(page, url, None if html is None else html.encode(), size, digest, first))
+                if out.size >= archive_bytes or len(out.lines) >= ARCHIVE_RECORDS:
                     yield done()
                     out = None
         if out is not None:
@@ -218,24 +222,44 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, archive_bytes:
 
     Of pages with equal payloads of at least ``least`` bytes, that with the smallest id
     is the response and the others revisit it. A null payload is empty. Pages that share
-    an id and a payload are written as often as they stand; those with a null id are
-    left out. An empty table writes no archive.
+    an id and a payload are written as often as they stand. A page with a null id has a
+    record without a number: it revisits an equal page that has an id, and where none
+    has, it is a response. Other columns are ignored; an empty table writes no archive.
+
+    A revisit holds no payload, so copies are matched by digest and size alone and only
+    responses carry their payload on, each found by its own id: the copies of one page
+    never meet with their payloads in one task.
     """
     arrow_batches(pages.sparkSession)
     files.make_folder(folder)
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
-    payload = F.struct(F.sha1("html").alias("sha1"), F.octet_length("html").alias("size"))
-    firsts = rows.select("page_id", payload.alias("payload")).where(F.col("payload.size") >= least).groupBy("payload").agg(F.min("page_id").alias("response"))
-    known = rows.withColumn("payload", payload).join(firsts, "payload", "left").drop("payload")
-    return saved(known.mapInArrow(archive_writer(folder, archive_bytes), "path string, records long"), "archives")
+    html = F.coalesce(html_col, F.lit(""))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("size"))
+    firsts = rows.select("page_id", "sha1", "size").where(F.col("size") >= least).groupBy("sha1", "size").agg(F.min("page_id").alias("first"))
+    known = [F.col("sha1") == F.col("sha1_"), F.col("size") == F.col("size_")]
+    named = firsts.select("first", F.col("sha1").alias("sha1_"), F.col("size").alias("size_"))
+    whole = rows.where(F.col("size") >= least).join(named, [*known, F.col("page_id").eqNullSafe(F.col("first"))], "left_semi")
+    again = rows.where(F.col("size") >= least).select("page_id", "url", "sha1", "size").join(named, known).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    columns = ["page_id", "url", "html", "sha1", "size"]
+    if least > 0:
+        whole = whole.unionByName(rows.where(F.col("size") < least))
+    responses = whole.select(*columns, F.lit(None).cast("long").alias("response"))
+    records = responses.unionByName(again.select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha1", "size", F.col("first").alias("response")))
+    return saved(records.mapInArrow(archive_writer(folder, archive_bytes), "path string, records long"), "archives")
 
 
 def read_archives(listed: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record,
     read from the archives by their indexes."""
 
-    def number(uri: str) -> int:
-        return int(uri.strip("<>").rpartition(":")[2])
+    def number(uri: str) -> int | None:
+        digits = uri.strip("<>").rpartition(":")[2]
+        return int(digits) if digits else None
+
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,8 +272,11 @@ def read_archives(listed: DataFrame) -> DataFrame:
                         if kind == "response" and payload_digest(payload) != digest:
                             raise ValueError(f"a damaged payload in {path}")
                         rows.append((number(named["warc-record-id"]), int(http["content-length"]), digest, kind, number(named["warc-refers-to"]) if kind == "revisit" else None))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                        if len(rows) >= READ_RECORDS:
+                            yield told(rows)
+                            rows = []
+                if rows:
+                    yield told(rows)
 
     tasks = max(1, int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return listed.repartition(tasks, "path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
@@ -262,12 +289,12 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
 
 #: DuckDB has sha1 in hexadecimal; base32 is spelled from the bits of 5 at a time.
 ORACLE_SQL = """
-WITH pages_ AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages WHERE page_id IS NOT NULL),
+WITH pages_ AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 firsts AS (SELECT h, min(page_id) AS response FROM pages_ GROUP BY h)
 SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
   list_aggregate(list_transform(range(0, 4), lambda q: list_aggregate(list_transform(range(0, 8), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((('0x' || substr(h, 1 + q * 10, 10))::BIGINT >> (35 - 5 * i)) & 31)::INT, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
-  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> response THEN response END AS refers_to
+  CASE WHEN page_id IS NOT DISTINCT FROM response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to
 FROM pages_ JOIN firsts USING (h)
 """

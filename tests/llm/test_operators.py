@@ -89,12 +89,14 @@ def test_near_duplicates_in_a_star_of_copies(spark):
     assert [found[i] for i in range(len(texts))] == [root for _, root in brute_components(texts, 4)]
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK, 60])
-def test_near_duplicates_in_a_family_of_unlike_variants(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "sample"), [(minhash.BLOCK, minhash.SAMPLE), (60, minhash.SAMPLE), (60, 2000)])
+def test_near_duplicates_in_a_family_of_unlike_variants(spark, monkeypatch, block, sample):
     # two wordings at each of 60 places, so that all shingles are common: pairs resemble
     # each other at about 0.7, the planted ones (18 places apart) alone at 0.8 and more
-    monkeypatch.setattr(minhash, "HUBS", 1)
+    monkeypatch.setattr(minhash, "ROUNDS", 2)
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SAMPLE", sample)
+    monkeypatch.setattr(minhash, "LEAST_SAMPLED", int(0.65 * sample))
     rng = np.random.default_rng(7)
     kept = []
     while len(kept) < 500:
@@ -426,8 +428,12 @@ def test_safe_parts_add_up():
 def test_archives_round_trip(spark):
     htmls = ["<p>a</p>", None, "", "<p>a</p>", "é" * 5000, "<p>a</p>", "x\r\n\r\ny"]
     pages = spark.createDataFrame([(i, f"http://h/{i} \n", h, 0) for i, h in enumerate(htmls)] + [(None, "u", "z", 0)], "page_id long, url string, html string, payload int")
-    found = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
-    assert len(found) == len(htmls)
+    rows = warc.round_trip(pages).collect()
+    found = {r["page_id"]: r for r in rows}
+    assert len(rows) == len(found) == len(htmls) + 1
+    assert (found[None]["record_type"], found[None]["refers_to"], found[None]["payload_bytes"]) == ("response", None, 1)
+    again = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages.union(spark.createDataFrame([(None, "u", "<p>a</p>", 0), (0, "u", "<p>a</p>", 0)], pages.schema))).collect()}
+    assert {(None, "revisit", 0), (None, "response", None), (0, "response", None)} <= again
     for i, h in enumerate(htmls):
         data = (h or "").encode()
         first = next(j for j, x in enumerate(htmls) if (x or "") == (h or ""))
