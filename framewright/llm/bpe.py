@@ -4,7 +4,11 @@ Greedy longest match proposes the tokens of each distinct word. A proposal is th
 encoding exactly when every adjacent pair of its tokens is compatible, that is, when
 no merge would have joined across their border before the tokens themselves were
 made. Those checks run over all distinct adjacent pairs of a batch at once in numpy;
-only the words with an incompatible pair are merged step by step.
+only the words with an incompatible pair are encoded step by step: short ones by exact
+merging, runs of letters over LONG by the same checks, token by token: each time the
+longest token that is compatible with the one before, stepping back where none is. A
+sequence whose pairs are all compatible is the encoding, so both give the same, and
+the second takes time in proportion to the length.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, tokenizer_path
 
 CACHE_WORDS = 150_000
+#: Letters from which a failing word is not merged but stepped through.
+LONG = 64
 NEVER = np.int64(1) << 40
 SPACES = "[\t-\r \x85\xa0  -     　]+"
 _loaded: dict[str, Vocabulary] = {}
@@ -47,6 +54,7 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        check_spec(spec)
         model = spec["model"]
         self.mark = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
@@ -54,6 +62,7 @@ class Vocabulary:
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.letters = byte_letters()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.white = re.compile(SPACES)
         self.words = regex.compile(pattern.replace(r"\s", SPACES[1:-2]), regex.V0)
         # the same pattern over the characters below 256, for Python's faster engine
         below = {k: "".join(re.escape(c) for c in map(chr, range(256)) if unicodedata.category(c)[0] == k) for k in "LN"}
@@ -76,12 +85,19 @@ class Vocabulary:
             body = name.removesuffix(self.mark)
             if body and self.merged(self.symbols(body, name != body)) == [i]:
                 (self.last if name != body else self.mid)[body] = i
-        self.longest = max(map(len, self.mid), default=1)
+        self.longest, self.longest_last = (max(map(len, names), default=1) for names in (self.mid, self.last))
         self.border = [self.chains(side, size) for side in (1, 0)]
         self.sure: dict[int, bool] = {}
-        self.spelled = Spelled(self, str), Spelled(self, self.names.__getitem__)
+        self.chained: tuple[dict, dict] = {}, {}
+        #: Letters of the longest token that begins with these two.
+        self.reach: dict[str, int] = {}
+        for name in chain(self.mid, self.last):
+            self.reach[name[:2]] = max(self.reach.get(name[:2], 0), len(name))
+        self.numbers = [str(i) for i in range(size)]
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        #: Ids of pieces between white space, by the words in them.
+        self.pieces: dict[str | int, tuple[int, ...]] = {}
 
     def symbols(self, word: str, marked: bool = True) -> list[int]:
         """The single-letter tokens of a word, the last with the word-end mark."""
@@ -188,7 +204,7 @@ class Vocabulary:
         found, at, n = [], 0, len(word)
         mid, last = self.mid, self.last
         while True:
-            end = last.get(word[at:])
+            end = last.get(word[at:]) if n - at <= self.longest_last else None
             if end is not None:
                 found.append(end)
                 return found
@@ -201,6 +217,48 @@ class Vocabulary:
             else:
                 return None
 
+    def fits(self, left: int, right: int) -> bool:
+        """Whether one pair of tokens is compatible, as :meth:`compatible` has it."""
+        pair = left << 32 | right
+        found = self.sure.get(pair)
+        if found is None:
+            (lx, le), (ry, re_) = self.border
+            sides = []
+            for token, parts, ends, known in ((left, lx, le, self.chained[0]), (right, ry, re_, self.chained[1])):
+                if token not in known:
+                    known[token] = [(x, e) for x, e in zip(parts[token].tolist(), ends[token].tolist(), strict=True) if x >= 0]
+                sides.append(known[token])
+            found = True
+            for x, ends_x in sides[0]:
+                for y, ends_y in sides[1]:
+                    merge = self.ranks.get((x, y))
+                    if merge is not None and merge[0] < ends_x and merge[0] <= ends_y:
+                        found = False
+            self.sure[pair] = found
+        return found
+
+    def stepped(self, word: str) -> list[int] | None:
+        """The encoding by longest compatible tokens, stepping back where none is. A place
+        that was stepped back from is never tried again."""
+        found, sizes, at, n = [], [], 0, len(word)
+        closed, most, mid, last, fits = set(), n, self.mid, self.last, self.fits
+        while at < n:
+            for size in range(min(most, self.reach.get(word[at : at + 2], 1), n - at), 0, -1):
+                token = (last if at + size == n else mid).get(word[at : at + size])
+                if token is not None and at + size not in closed and (not found or fits(found[-1], token)):
+                    found.append(token)
+                    sizes.append(size)
+                    at, most = at + size, n
+                    break
+            else:
+                if not found:
+                    return None
+                closed.add(at)
+                found.pop()
+                most = sizes.pop() - 1
+                at -= most + 1
+        return found
+
     def encode_new(self, words: list[str]) -> None:
         """Encode distinct words and keep them in the cache."""
         proposals = [self.greedy(w) for w in words]
@@ -222,13 +280,18 @@ class Vocabulary:
         if len(at):
             bad[owner[at[~holds[where]]]] = True
         failing = [i for i, (p, wrong) in enumerate(zip(proposals, bad.tolist(), strict=True)) if wrong or p is None]
+        for i in failing:
+            if len(words[i]) > LONG:
+                proposals[i] = self.stepped(words[i])
+        failing = [i for i in failing if len(words[i]) <= LONG or proposals[i] is None]
         for i, ids in zip(failing, self.merged_many([words[i] for i in failing]), strict=True):
             proposals[i] = ids
         self.cache.update(zip(words, map(tuple, proposals), strict=True))
 
-    def pretokens(self, text: str) -> list[str | int]:
-        """The words of a text after normalisation, and special ids where their strings
-        stand. White space never is part of a word, so it need not be made uniform."""
+    def split(self, text: str) -> list[str | int]:
+        """The pieces between white space of a text after normalisation, and special ids
+        where their strings stand. No word reaches across white space, so it need not be
+        made uniform, and a piece has the same words wherever it stands."""
         found: list[str | int] = []
         for piece in self.specials.split(text) if self.specials and "<" in text else (text,):
             if piece in self.special:
@@ -237,9 +300,14 @@ class Vocabulary:
             if not piece.isascii():
                 piece = unicodedata.normalize("NFC", piece)
             piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
-            found += (self.latin if latin(piece) else self.words).findall(piece)
+            # Python also splits at four control characters, which are no white space here
+            odd = any(c in piece for c in "\x1c\x1d\x1e\x1f")
+            found += filter(None, self.white.split(piece)) if odd else piece.split()
         return found
 
+    def words_of(self, piece: str) -> list[str]:
+        return (self.latin if latin(piece) else self.words).findall(piece)
+
     def lettered(self, word: str) -> str:
         """A word in byte letters; visible ASCII stands for itself."""
         return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
@@ -266,20 +334,43 @@ class Vocabulary:
                     self.cache[word] = self.cache[letters]
         return self.cache
 
-    def encode(self, texts: list[str]) -> list[tuple[list, dict]]:
-        """For each text, its words and the lookup of their ids."""
-        split = [self.pretokens(t) for t in texts]
-        cache = self.known({w for words in split for w in words if type(w) is str})
-        return [(words, cache) for words in split]
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        split = [self.split(t) for t in texts]
+        if len(self.pieces) > 2 * CACHE_WORDS:
+            self.pieces = {}
+        pieces = self.pieces
+        new = {p: (p,) if type(p) is int else self.words_of(p) for p in set().union(*split) if p not in pieces}
+        cache = self.known({w for p, words in new.items() if type(p) is str for w in words})
+        for p, words in new.items():
+            pieces[p] = words if type(p) is int else cache[words[0]] if len(words) == 1 else tuple(chain.from_iterable(cache[w] for w in words))
+        for found in split:
+            yield list(chain.from_iterable(map(pieces.__getitem__, found)))
 
     def ids_of(self, text: str) -> list[int]:
-        (words, cache), = self.encode([text])
-        return [i for w in words for i in (cache[w] if type(w) is str else (w,))]
+        return next(self.encode([text]))
 
     def decode(self, ids: list[int]) -> str:
         """Token names joined by spaces, special ones kept: what a tokenizer file
         without a decoder gives. Unknown ids are left out."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.names[i] for i in ids if i in self.names)
+
+
+def check_spec(spec: dict) -> None:
+    """Refuse a tokenizer file that asks for anything else than what is done here."""
+    normal = [{k: v for k, v in n.items() if k != "pattern"} | {"pattern": n.get("pattern", {}).get("Regex")} for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    expected = [{"type": "NFC", "pattern": None}, {"type": "Replace", "content": " ", "pattern": r"\s+"}, {"type": "Lowercase", "pattern": None}]
+    kinds = [p["type"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    model = spec["model"]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    added = all(not t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    split = kinds == ["Split", "ByteLevel"] and spec["pre_tokenizer"]["pretokenizers"][0]["invert"] and not spec["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"]
+    starts = all(t["content"].startswith("<") for t in spec["added_tokens"])
+    if normal != expected or not split or spec["decoder"] or spec["post_processor"] or model["type"] != "BPE" or not model["end_of_word_suffix"] or not plain or not added or not starts:
+        raise ValueError("the tokenizer file has a normalizer, splitter, model or decoder of another kind")
 
 
 def latin(text: str) -> bool:
@@ -312,44 +403,28 @@ def digests(texts: list[str], path: str) -> tuple[list[int], list[str], list[str
     """Number of ids, digest of the ids and digest of the text decoded from them."""
     vocab = vocabulary(path)
     counts, of_ids, of_text = [], [], []
-    ids_by, text_by = vocab.spelled
     for group in groups(texts):
-        if len(ids_by) > CACHE_WORDS:
-            ids_by.clear()
-            text_by.clear()
-        for words, _ in vocab.encode(group):
-            ids = " ".join([ids_by[w] for w in words])
-            counts.append(ids.count(" ") + 1 if ids else 0)
-            of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-            of_text.append(hashlib.sha256(" ".join([text_by[w] for w in words]).encode()).hexdigest())
+        for ids in vocab.encode(group):
+            counts.append(len(ids))
+            of_ids.append(hashlib.sha256(" ".join(map(vocab.numbers.__getitem__, ids)).encode()).hexdigest())
+            of_text.append(hashlib.sha256(vocab.decode(ids).encode()).hexdigest())
     return counts, of_ids, of_text
 
 
-class Spelled(dict):
-    """The ids of a word, each written by ``spell`` and joined by spaces."""
-
-    def __init__(self, vocab: Vocabulary, spell) -> None:
-        self.vocab, self.spell = vocab, spell
-
-    def __missing__(self, word) -> str:
-        ids = self.vocab.cache[word] if type(word) is str else (word,)
-        found = self[word] = " ".join(map(self.spell, ids))
-        return found
-
-
 def encode_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids``: the token ids of each whole text, one row for each input row.
 
     A null or empty text has no ids; strings of special tokens in a text become their
-    ids. Texts of any length are encoded whole; other columns are ignored, whatever
-    their names.
+    ids. Texts of any length, and words of any length in them, are encoded whole.
+    Repeated rows give repeated results, an empty table an empty one; other columns are
+    ignored, whatever their names.
     """
     path = tokenizer_path(tokenizer)
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(path)
         for texts in batches:
-            yield pa.array([[i for w in words for i in (cache[w] if type(w) is str else (w,))] for group in groups([t or "" for t in texts.to_pylist()]) for words, cache in vocab.encode(group)], pa.list_(pa.int32()))
+            yield pa.array([ids for group in groups([t or "" for t in texts.to_pylist()]) for ids in vocab.encode(group)], pa.list_(pa.int32()))
 
     return docs.select(F.col(id_col).alias("doc_id"), F.arrow_udf(encode, "array<int>")(text_or_empty(text_col)).alias("ids"))
 
@@ -369,7 +444,9 @@ def decode_documents(encoded: DataFrame, tokenizer: str = "word_bpe_49k.json", i
 def encode_digests(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``, one row for each input row:
     what :func:`encode_documents` and :func:`decode_documents` give, digested where it
-    is made. A null or empty text has no ids and an empty decoded text."""
+    is made: the decoded text is made from the ids. A null or empty text has no ids and
+    an empty decoded text; repeated rows, an empty table and other columns are treated
+    as there."""
     path = tokenizer_path(tokenizer)
 
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -1,15 +1,17 @@
 """Token-id files compressed by Re-Pair grammars.
 
 A shard's ids are rewritten by rules: a frequent pair of neighbours becomes a
-nonterminal, again and again, never across the end of a document. The file holds the
-rules, how many ids every nonterminal expands to, the rewritten sequence, and where
-each document starts in it and in the ids, so a document is read and expanded alone.
-
-File layout (little-endian): MAGIC; five uint32: documents, rules, symbols, first
-nonterminal, crc32 of all that follows; then int64 document ids; uint32 first symbol
-and uint32 first id of each document, with a closing entry each; uint32 left and right
-of each rule; uint32 expansion length of each rule; the sequence, its symbols in as
-few bytes each (2 or 4) as hold them.
+nonterminal, again and again until no pair stands often enough to pay for its rule,
+never across the end of a document. Where two frequent pairs overlap, the one that
+stands more often is replaced first. The file holds the rules, how many ids every
+nonterminal expands to, the rewritten sequence, and where each document starts in it
+and in the ids, so a document is read and expanded alone.
+
+File layout (little-endian): MAGIC; six uint32: documents, those of them without an id
+(they come first), rules, symbols, first nonterminal, crc32 of all that follows; then
+int64 document ids; uint32 first symbol and uint32 first id of each document, with a
+closing entry each; uint32 left and right of each rule; uint32 expansion length of each
+rule; the sequence, its symbols in as few bytes each (2, 3 or 4) as hold them.
 """
 
 from __future__ import annotations
@@ -31,14 +33,14 @@ from . import files
 from .bpe import CACHE_WORDS, groups, vocabulary
 from .common import saved, scratch, text_or_empty, tokenizer_path
 
-MAGIC = b"RPIDS001"
-#: Ids in a shard at least (a document is never split), rounds of rewriting, rules in a
-#: round, and occurrences that a rule needs.
-SHARD_IDS, ROUNDS, RULES, LEAST = 1 << 20, 5, 4096, 24
-#: Rounds end when one leaves more than this part of the symbols.
-GAIN = 0.985
-_BUCKETS = 18
-_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+MAGIC = b"RPIDS002"
+#: Ids in a shard at least (a document is never split), and replacements from which a
+#: rule of 12 bytes pays with symbols of 3 bytes.
+SHARD_IDS, LEAST = 1 << 20, 5
+#: Symbols that one call of a reader expands at most, but for a longer document.
+READ_SYMBOLS = 1 << 16
+_BUCKETS = 20
+_MIX = np.int64(0x1E3779B97F4A7C15)
 _models: dict[str, object] = {}
 
 
@@ -51,144 +53,213 @@ class Grammar:
     sequence: np.ndarray
     starts: np.ndarray  # first symbol of each document, and the end
 
+    def sizes(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids that each symbol expands to."""
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.first
+        out[rule] = self.length[symbols[rule] - self.first]
+        return out
 
-def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, most: int = RULES, least: int = LEAST) -> Grammar:
-    """Re-Pair in rounds: each takes the ``most`` pairs that stand ``least`` times or
-    more, and replaces them from the left, none that overlaps one replaced before."""
-    first = int(ids.max()) + 1 if len(ids) else 0
-    sequence = ids.astype(np.uint32)
-    is_last = np.zeros(len(ids), bool)
-    ends = starts[1:][np.diff(starts) > 0]
-    is_last[ends - 1] = True
-    owner_starts = starts.astype(np.int64)
-    lefts, rights, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    made = 0
-    for _ in range(rounds):
-        if len(sequence) < 2:
-            break
-        # a pair can stand often enough only if its bucket does
-        bucket = (sequence[:-1] * _MIX[0] + sequence[1:] * _MIX[1]) >> np.uint32(32 - _BUCKETS)
-        often = np.flatnonzero((np.bincount(bucket, minlength=1 << _BUCKETS) >= least)[bucket] & ~is_last[:-1])
-        if not len(often):
+
+def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> Grammar:
+    """Re-Pair in rounds over a linked list of the symbols.
+
+    A round counts the pairs that may stand ``least`` times: all at first, then those
+    that did in the round before and those beside a replacement, for other pairs can
+    only have become fewer. It replaces each pair where no neighbour that overlaps it
+    stands more often (in a run of equally frequent ones, every other), unless that
+    makes fewer than ``least`` replacements. Rounds end when none replaces anything.
+    """
+    n = len(ids)
+    first = int(ids.max()) + 1 if n else 0
+    sequence = ids.astype(np.int64)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    after[starts[1:][np.diff(starts) > 0] - 1] = n  # no pair begins at a document's end
+    before[starts[:-1][np.diff(starts) > 0]] = -1
+    lefts, rights, made = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    dead, on = np.zeros(n, bool), np.zeros(n, bool)
+    live = np.flatnonzero(after < n).astype(np.int32)
+    while len(live):
+        pair = sequence[live] << 32 | sequence[after[live]]
+        if len(live) > 1 << 16:  # a pair can stand often enough only if its bucket does
+            bucket = (pair * _MIX).view(np.uint64) >> np.uint64(64 - _BUCKETS)
+            often = (np.bincount(bucket.view(np.int64), minlength=1 << _BUCKETS) >= least)[bucket]
+            live, pair = live[often], pair[often]
+        which, pairs = pd.factorize(pair)
+        count = np.bincount(which)[which]
+        often = count >= least
+        live, which, count = live[often], which[often], count[often]
+        if not len(live):
             break
-        where, pairs = pd.factorize(sequence[often].astype(np.int64) << 32 | sequence[often + 1])
-        counts = np.bincount(where)
-        top = np.lexsort((pairs, -counts))[:most]
-        top = top[counts[top] >= least]
-        if not len(top):
+        # plateaus: neighbours that overlap and stand equally often
+        linked = after[live[:-1]] == live[1:]
+        flat = linked & (count[:-1] == count[1:])
+        begins = np.flatnonzero(np.r_[True, ~flat])
+        ends = np.r_[begins[1:], len(live)] - 1
+        rise = np.zeros(len(begins), bool)  # the pair before a plateau stands more often
+        rise[1:] = linked[begins[1:] - 1] & (count[begins[1:] - 1] > count[begins[1:]])
+        fall = np.zeros(len(begins), bool)
+        fall[:-1] = linked[ends[:-1]] & (count[ends[:-1] + 1] > count[ends[:-1]])
+        sizes = ends - begins + 1
+        hit = np.repeat(~rise & ~fall, sizes) & ((np.arange(len(live)) - np.repeat(begins, sizes)) % 2 == 0)
+        used = np.bincount(which[hit], minlength=len(pairs))
+        pays = used >= least
+        hit &= pays[which]
+        spot = live[hit]
+        if not len(spot):
             break
-        number = np.full(len(pairs), -1, np.int64)
-        number[top] = np.arange(len(top))
-        rule = np.full(len(sequence), -1, np.int64)
-        rule[often] = number[where]
-        hit = rule >= 0
-        position = np.arange(len(hit))
-        begins = hit & ~np.concatenate([[False], hit[:-1]])
-        run = position - np.maximum.accumulate(np.where(begins, position, 0))
-        hit &= run % 2 == 0
-        used = np.bincount(rule[hit], minlength=len(top))
-        keep = used >= max(4, least // 4)
-        renumber = np.where(keep, np.cumsum(keep) - 1, -1)
-        hit &= np.where(rule >= 0, renumber[rule], -1) >= 0
-        chosen = pairs[top[keep]]
-        spot = np.flatnonzero(hit)
-        sequence[spot] = first + made + renumber[rule[spot]]
-        is_last[spot] = is_last[spot + 1]
-        stays = np.ones(len(sequence), bool)
-        stays[spot + 1] = False
-        owner_starts = np.concatenate([[0], np.cumsum(stays)])[owner_starts]
-        before = len(sequence)
-        sequence, is_last = sequence[stays], is_last[stays]
-        a, b = chosen >> 32, chosen & 0xFFFFFFFF
-        so_far = np.concatenate([np.ones(first, np.int64), *lengths])
-        lefts.append(a)
-        rights.append(b)
-        lengths.append(so_far[a] + so_far[b])
+        number = np.cumsum(pays) - 1
+        chosen = pairs[pays]
+        lefts.append(chosen >> 32)
+        rights.append(chosen & 0xFFFFFFFF)
+        gone = after[spot]
+        sequence[spot] = first + made + number[which[hit]]
         made += len(chosen)
-        if len(sequence) > GAIN * before:
-            break
-    return Grammar(np.concatenate(lefts), np.concatenate(rights), np.concatenate(lengths), first, sequence, owner_starts)
+        dead[gone] = True
+        after[spot] = after[gone]
+        inner = spot[after[spot] < n]
+        before[after[inner]] = inner
+        near = before[spot]
+        for part in (live, near[near >= 0]):  # the rows hit stand in live
+            on[part] = True
+        on[gone] = False
+        live = np.flatnonzero(on).astype(np.int32)
+        on[live] = False
+        live = live[after[live] < n]
+    left, right = np.concatenate(lefts), np.concatenate(rights)
+    stays = np.flatnonzero(~dead)
+    return Grammar(left, right, lengths_of(left, right, first), first, sequence[stays].astype(np.uint32), np.searchsorted(stays, starts))
+
+
+def lengths_of(left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
+    """Ids that each rule expands to; a rule's parts are made before it."""
+    length, known = np.zeros(len(left), np.int64), np.zeros(len(left), bool)
+    todo = np.arange(len(left))
+    while len(todo):
+        sizes = []
+        for part in (left[todo], right[todo]):
+            inner = part >= first
+            at = np.where(inner, part - first, 0)
+            sizes.append((np.where(inner, length[at], 1), ~inner | known[at]))
+        ready = sizes[0][1] & sizes[1][1]
+        length[todo[ready]] = (sizes[0][0] + sizes[1][0])[ready]
+        known[todo[ready]] = True
+        todo = todo[~ready]
+    return length
 
 
 def expand(sequence: np.ndarray, g: Grammar) -> np.ndarray:
-    """The ids that these symbols stand for."""
-    sequence = sequence.astype(np.int64)
-    while len(sequence) and int(sequence.max()) >= g.first:
-        rule = sequence - g.first
-        sizes = np.where(rule >= 0, 2, 1)
-        at = np.cumsum(sizes) - sizes
-        out = np.empty(int(sizes.sum()), np.int64)
-        made = rule >= 0
-        out[at[~made]] = sequence[~made]
-        out[at[made]] = g.left[rule[made]]
-        out[at[made] + 1] = g.right[rule[made]]
-        sequence = out
-    return sequence
-
-
-def to_bytes(doc_ids: np.ndarray, id_starts: np.ndarray, g: Grammar) -> bytes:
-    wide = len(g.left) + g.first > 0xFFFF
-    body = b"".join([doc_ids.astype("<i8").tobytes(), g.starts.astype("<u4").tobytes(), id_starts.astype("<u4").tobytes(), g.left.astype("<u4").tobytes(), g.right.astype("<u4").tobytes(), g.length.astype("<u4").tobytes(), g.sequence.astype("<u4" if wide else "<u2").tobytes()])
-    head = np.array([len(doc_ids), len(g.left), len(g.sequence), g.first, zlib.crc32(body)], "<u4").tobytes()
+    """The ids that these symbols stand for. Every symbol knows how many ids it becomes,
+    so each part goes to its place at once and ids are never moved again."""
+    symbols = sequence.astype(np.int64)
+    sizes = g.sizes(symbols)
+    at = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint32)
+    while len(symbols):
+        plain = symbols < g.first
+        out[at[plain]] = symbols[plain]
+        rule, at = symbols[~plain] - g.first, at[~plain]
+        left = g.left[rule]
+        symbols, at = np.concatenate([left, g.right[rule]]), np.concatenate([at, at + g.sizes(left)])
+    return out
+
+
+def symbol_bytes(most: int) -> int:
+    return 2 if most <= 0xFFFF else 3 if most <= 0xFFFFFF else 4
+
+
+def to_bytes(doc_ids: np.ndarray, unnamed: int, id_starts: np.ndarray, g: Grammar) -> bytes:
+    """The file of a shard; its first ``unnamed`` documents have no id."""
+    wide = symbol_bytes(len(g.left) + g.first)
+    symbols = g.sequence.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide]
+    body = b"".join([doc_ids.astype("<i8").tobytes(), g.starts.astype("<u4").tobytes(), id_starts.astype("<u4").tobytes(), g.left.astype("<u4").tobytes(), g.right.astype("<u4").tobytes(), g.length.astype("<u4").tobytes(), symbols.tobytes()])
+    head = np.array([len(doc_ids), unnamed, len(g.left), len(g.sequence), g.first, zlib.crc32(body)], "<u4").tobytes()
     return MAGIC + head + body
 
 
 class Shard:
-    """A shard read from its file; documents expand one by one or all together."""
+    """A shard read from its file; documents are expanded by themselves or in runs."""
 
     def __init__(self, data: bytes) -> None:
         if data[:8] != MAGIC:
             raise ValueError("not a token-id file")
-        docs, rules, symbols, first, check = (int(x) for x in np.frombuffer(data, "<u4", 5, 8))
-        if zlib.crc32(memoryview(data)[28:]) != check:
+        docs, self.unnamed, rules, symbols, first, check = (int(x) for x in np.frombuffer(data, "<u4", 6, 8))
+        if zlib.crc32(memoryview(data)[32:]) != check:
             raise ValueError("the token-id file is damaged")
-        at = 28
+        at = 32
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
             found = np.frombuffer(data, kind, n, at)
             at += found.nbytes
-            return found.astype(np.int64)
+            return found
 
-        self.doc_ids, starts, self.id_starts = take("<i8", docs), take("<u4", docs + 1), take("<u4", docs + 1)
-        left, right, length = take("<u4", rules), take("<u4", rules), take("<u4", rules)
-        self.grammar = Grammar(left, right, length, first, take("<u4" if rules + first > 0xFFFF else "<u2", symbols), starts)
+        self.doc_ids, starts, self.id_starts = take("<i8", docs), take("<u4", docs + 1).astype(np.int64), take("<u4", docs + 1).astype(np.int64)
+        left, right, length = (take("<u4", rules).astype(np.int64) for _ in range(3))
+        wide = symbol_bytes(rules + first)
+        sequence = np.zeros((symbols, 4), np.uint8)
+        sequence[:, :wide] = take("u1", symbols * wide).reshape(-1, wide)
+        self.grammar = Grammar(left, right, length, first, sequence.view("<u4").ravel(), starts)
 
-    def document(self, i: int) -> np.ndarray:
+    def documents(self, i: int, j: int) -> np.ndarray:
+        """Ids of the documents i..j, one after another."""
         g = self.grammar
-        return expand(g.sequence[g.starts[i] : g.starts[i + 1]], g)
+        return expand(g.sequence[g.starts[i] : g.starts[j]], g)
+
+    def document(self, i: int) -> np.ndarray:
+        return self.documents(i, i + 1)
 
     def ids(self, i: int, begin: int, end: int) -> np.ndarray:
         """Ids begin..end of document ``i``: only symbols that reach into them expand."""
         g = self.grammar
         part = g.sequence[g.starts[i] : g.starts[i + 1]]
-        ends = np.cumsum(np.concatenate([np.ones(g.first, np.int64), g.length])[part])
+        ends = np.cumsum(g.sizes(part))
         a, b = np.searchsorted(ends, begin, "right"), np.searchsorted(ends, end, "left") + 1
         skipped = int(ends[a - 1]) if a else 0
         return expand(part[a:b], g)[begin - skipped : end - skipped]
 
-    def all(self) -> np.ndarray:
-        return expand(self.grammar.sequence, self.grammar)
+    def runs(self, most: int = READ_SYMBOLS) -> Iterator[tuple[int, int]]:
+        """Ranges of documents of about ``most`` symbols."""
+        starts, i = self.grammar.starts, 0
+        while i < len(self.doc_ids):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + most, "right")) - 1)
+            yield i, j
+            i = j
 
 
 class LibraryWords(dict):
-    """The ids of a word as the library's model gives them, as little-endian bytes."""
+    """The ids of each piece between white space, as the library's model gives them for
+    its words, as little-endian bytes. Pieces seen lately stay when the rest goes."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
         self.vocab = vocabulary(path)
+        self.older: dict = {}
+        self.words: dict[str, bytes] = {}
 
-    def __missing__(self, word) -> bytes:
-        if len(self) > 3 * CACHE_WORDS:
+    def __missing__(self, piece) -> bytes:
+        if len(self) > 2 * CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        ids = [t.id for t in self.model.tokenize(self.vocab.lettered(word))] if type(word) is str else [word]
-        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        found = self.older.get(piece)
+        if found is None:
+            found = struct.pack("<I", piece) if type(piece) is int else b"".join([self.word(w) for w in self.vocab.words_of(piece)])
+        self[piece] = found
+        return found
+
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > 2 * CACHE_WORDS:
+                self.words.clear()
+            ids = [t.id for t in self.model.tokenize(self.vocab.lettered(word))]
+            found = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def ids(self, text: str) -> bytes:
-        return b"".join([self[w] for w in self.vocab.pretokens(text)])
+        return b"".join(map(self.__getitem__, self.vocab.split(text)))
 
 
 def library_words(path: str) -> LibraryWords:
@@ -213,7 +284,7 @@ def shard_writer(folder: str, path: str, end_id: int):
             grammar = compress(np.frombuffer(b"".join(pending), "<u4"), starts)
             name = f"{folder}/ids-{part:05d}-{uuid.uuid4().hex}.rp"
             with files.writer(name) as out:
-                out.write(to_bytes(np.array(names, np.int64), starts, grammar))
+                out.write(to_bytes(np.array([i or 0 for i in names], np.int64), names.count(None), starts, grammar))
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([begun], pa.int64()), pa.array([int(starts[-1])], pa.int64())], ["part", "path", "begun", "n_ids"])
             begun += int(starts[-1])
             names, pending, size = [], [], 0
@@ -241,16 +312,19 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
 
     Returns the saved list of files: ``part, path, begun`` (ids of the part before the
     file) and ``n_ids``. A null text is empty, its ids are the end id alone; rows with
-    a null id come first under id -1. An empty table writes no file.
+    a null id come first and have none in the files. Rows that share an id follow each
+    other by text, repeated ones as often as they stand. Texts of any length are encoded
+    whole. Other columns are ignored, whatever their names; an empty table writes no file.
     """
     files.make_folder(folder)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return saved(ordered.mapInArrow(shard_writer(folder, tokenizer_path(tokenizer), end_id), "part int, path string, begun long, n_ids long"), "files")
 
 
 def read_token_files(listed: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document in the listed files."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every document in the listed files. Runs
+    of documents are expanded by themselves, from where they start in the sequence."""
     # a row for each part: as many as tasks wrote
     parts = sorted((r["part"], r["n"]) for r in listed.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     base, before = {}, 0
@@ -263,9 +337,12 @@ def read_token_files(listed: DataFrame) -> DataFrame:
             for part, path, begun in zip(batch["part"].to_pylist(), batch["path"].to_pylist(), batch["begun"].to_pylist(), strict=True):
                 with files.reader(path) as file:
                     shard = Shard(file.read())
-                ids = shard.all().astype("<u4")
-                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(shard.id_starts[:-1].tolist(), shard.id_starts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(shard.id_starts[:-1] + (base[part] + begun)), pa.array(np.diff(shard.id_starts)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for i, j in shard.runs():
+                    ids, starts = shard.documents(i, j).astype("<u4", copy=False), shard.id_starts[i : j + 1]
+                    ends = (starts - starts[0]).tolist()
+                    crcs = [zlib.crc32(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                    names = pa.array(shard.doc_ids[i:j], mask=np.arange(i, j) < shard.unnamed)
+                    yield pa.RecordBatch.from_arrays([names, pa.array(starts[:-1] + (base[part] + begun)), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     tasks = max(1, int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return listed.repartition(tasks, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
