@@ -13,17 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, saved, text_or_empty
+from .common import fold, text_or_empty
 from .words import byte_blocks
 
 CHUNK, STRIDE, WIDTH, FILTERS, HIDDEN = 256, 224, 6, 16, 16
 PAD = 256
-#: Bound of the labelled sample: documents of each label, chunks of each document that the
-#: filters are trained on. The combination is fitted on all chunks of these documents.
-SAMPLE_DOCS, SAMPLE_CHUNKS = 1200, 4
+#: Bound of the labelled sample: documents of each label, all of their text. Filters and
+#: combination are fitted on all chunks of these documents.
+SAMPLE_DOCS = 500
 
 
 @dataclass
@@ -102,45 +102,62 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0)
 
 
-def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, epochs: int = 8, rate: float = 0.004, seed: int = 7) -> Model:
+def initial(rng: np.random.Generator, kind=np.float32) -> dict[str, np.ndarray]:
+    p = {"tables": rng.normal(0, 0.15, (WIDTH, 257, FILTERS)), "bias": np.zeros(FILTERS), "w1": rng.normal(0, 0.35, (FILTERS, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": rng.normal(0, 0.35, HIDDEN), "b2": np.zeros(1)}
+    return {k: v.astype(kind) for k, v in p.items()}
+
+
+def model_of(p: dict) -> Model:
+    return Model(p["tables"], p["bias"], p["w1"], p["b1"], p["w2"], float(p["b2"][0]), np.array([1.0, 0, 0, 0]))
+
+
+def gradients(chunks: np.ndarray, target: np.ndarray, weight: np.ndarray, p: dict) -> tuple[float, dict]:
+    """Weighted mean cross-entropy of these chunks, and its slopes."""
+    raw, at = pooled(chunks, model_of(p), positions=True)
+    top = np.maximum(raw, 0)
+    inner = top @ p["w1"] + p["b1"]
+    dense = np.maximum(inner, 0)
+    out = sigmoid(dense @ p["w2"] + p["b2"][0])
+    loss = float(-(weight * np.log(np.maximum(np.where(target == 1, out, 1 - out), 1e-30))).mean())
+    out = (out - target) * weight / len(chunks)
+    back = np.outer(out, p["w2"]) * (inner > 0)
+    into = (back @ p["w1"].T) * (raw > 0)
+    grads = {"w2": dense.T @ out, "b2": out.sum(keepdims=True), "w1": top.T @ back, "b1": back.sum(0), "bias": into.sum(0), "tables": np.zeros_like(p["tables"])}
+    for j in range(WIDTH):
+        seen = np.take_along_axis(chunks, at + j, 1)
+        np.add.at(grads["tables"][j], (seen, np.arange(FILTERS)[None, :]), into)
+    return loss, grads
+
+
+def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, epochs: int = 6, rate: float = 0.004, seed: int = 7) -> Model:
     """Adam on the cross-entropy of chunks; the combination is left at the mean.
 
     ``owner`` is the ascending document number of each chunk, ``labels`` are by
-    document. Both labels weigh the same.
+    document. Both labels weigh the same, and the chunks of a document together as the
+    square root of their number, so that long texts do not outweigh the others.
     """
     rng = np.random.default_rng(seed)
-    p = {"tables": rng.normal(0, 0.15, (WIDTH, 257, FILTERS)), "bias": np.zeros(FILTERS), "w1": rng.normal(0, 0.35, (FILTERS, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": rng.normal(0, 0.35, HIDDEN), "b2": np.zeros(1)}
-    p = {k: v.astype(np.float32) for k, v in p.items()}
-    model = Model(p["tables"], p["bias"], p["w1"], p["b1"], p["w2"], 0.0, np.array([1.0, 0, 0, 0]))
+    p = initial(rng)
+    model = model_of(p)
     if len(labels) == 0 or labels.min() == labels.max():
         model.prior = float(labels[0]) if len(labels) else 0.5
         return model
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     target = labels[owner].astype(np.float32)
-    weight = np.where(target == 1, 0.5 / target.mean(), 0.5 / (1 - target.mean())).astype(np.float32)
-    filters = np.arange(FILTERS)
+    weight = 1 / np.sqrt(np.bincount(owner))[owner]
+    sides = np.bincount(labels[owner], weight, 2)
+    weight = (weight * len(weight) / 2 / sides[labels[owner]]).astype(np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(chunks))
         for i in range(0, len(order), 64):
             rows = order[i : i + 64]
-            raw, at = pooled(chunks[rows], model, positions=True)
-            top = np.maximum(raw, 0)
-            inner = top @ p["w1"] + p["b1"]
-            dense = np.maximum(inner, 0)
-            out = (sigmoid(dense @ p["w2"] + p["b2"][0]) - target[rows]) * weight[rows] / len(rows)
-            back = np.outer(out, p["w2"]) * (inner > 0)
-            into = (back @ p["w1"].T) * (raw > 0)
-            grads = {"w2": dense.T @ out, "b2": out.sum(keepdims=True), "w1": top.T @ back, "b1": back.sum(0), "bias": into.sum(0), "tables": np.zeros_like(p["tables"])}
-            for j in range(WIDTH):
-                seen = np.take_along_axis(chunks[rows], at + j, 1)
-                np.add.at(grads["tables"][j], (seen, filters[None, :]), into)
+            _, grads = gradients(chunks[rows], target[rows], weight[rows], p)
             step += 1
             for k, g in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 p[k] -= (rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-            model.b2 = float(p["b2"][0])
-    return model
+    return model_of(p)
 
 
 def combination(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -153,62 +170,26 @@ def combination(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return w / scale
 
 
-def document_features(model: Model):
-    """Mean, highest and lowest logit over all chunks of each labelled text."""
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.concatenate([text_features(data, offsets, model) for data, offsets in byte_blocks(batch["text"])] or [np.zeros((0, 4))])
-            columns = [pa.array(found[:, i], pa.float64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["label"], *columns], ["row", "label", "mean", "high", "low"])
-
-    return features
-
-
-def spread_chunks(most: int):
-    """Up to ``most`` chunks of a text, spread evenly over it."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, labels, parts = [], [], []
-            for row, label, text in zip(batch["row"].to_pylist(), batch["label"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                data = text.encode()
-                _, start = chunk_starts(np.array([len(data)]))
-                for s in dict.fromkeys(start[np.linspace(0, len(start) - 1, most).astype(int)].tolist()):
-                    ids.append(row)
-                    labels.append(label)
-                    parts.append(data[s : s + CHUNK])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(parts, pa.binary())], ["row", "label", "chunk"])
-
-    return pick
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, k: int, remainder: int, most: int = SAMPLE_DOCS) -> DataFrame:
     """``row, label, text`` of at most ``most`` documents of each label, those whose
     hashed id comes first, outside the held-out fold."""
     usable = labels.select(F.col("doc_id").alias("row"), F.col("quality").cast("int").alias("label")).where("row is not null and label in (0, 1)").where(fold(F.col("row"), k) != remainder)
-    chosen = usable.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("row"), "row"))).where(F.col("place") <= most).drop("place")
+    # two labels: the first of each by hash, kept so by every task
+    sides = [usable.where(F.col("label") == label).orderBy(F.xxhash64("row"), "row").limit(most) for label in (0, 1)]
+    chosen = sides[0].unionByName(sides[1]).distinct()
     return docs.select(F.col("doc_id").alias("row"), text_or_empty().alias("text")).join(F.broadcast(chosen), "row").select("row", "label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, k: int = 5, remainder: int = 0, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Train on a bounded sample: at most ``sample_docs`` documents of each label
-    (``sample_docs`` is the documented bound), the filters on SAMPLE_CHUNKS chunks of
-    each, the combination on all."""
-    sample = saved(labelled_sample(docs, labels, k, remainder, sample_docs), "labelled")
-    rows = sample.mapInArrow(spread_chunks(SAMPLE_CHUNKS), "row long, label int, chunk binary").toPandas()
-    rows = rows.sort_values(["row", "label"], kind="stable")
-    key = rows["row"].astype(str) + " " + rows["label"].astype(str)
-    owner = (key != key.shift()).cumsum().to_numpy() - 1
-    labels_by = rows["label"].to_numpy()[np.searchsorted(owner, np.arange(owner.max() + 1))] if len(rows) else np.zeros(0, int)
-    matrix = np.full((len(rows), CHUNK), PAD, np.int16)
-    for i, part in enumerate(rows["chunk"]):
-        matrix[i, : len(part)] = np.frombuffer(part, np.uint8)
-    model = train(matrix, owner, labels_by)
+    (``sample_docs`` is the documented bound), on all chunks of each."""
+    rows = labelled_sample(docs, labels, k, remainder, sample_docs).toPandas().sort_values(["row", "label", "text"], kind="stable")
+    by = rows["label"].to_numpy(np.int64)
+    data, offsets = next(byte_blocks(pa.array(rows["text"], pa.large_string()), most=1 << 62), (np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+    owner, start = chunk_starts(np.diff(offsets))
+    model = train(chunk_matrix(data, offsets, owner, start), owner, by)
     if model.prior is None:
-        whole = sample.mapInArrow(document_features(model), "row long, label int, mean double, high double, low double").toPandas()
-        whole = whole.sort_values(["row", "label", "mean"], kind="stable")
-        model.combine = combination(whole[["mean", "high", "low"]].assign(one=1.0).to_numpy(), whole["label"].to_numpy())
+        model.combine = combination(text_features(data, offsets, model), by)
     return model
 
 
@@ -227,13 +208,17 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     """``doc_id, score, predicted``, one row for each input row.
 
     Null and empty texts are one chunk of padding and get that chunk's score; every
-    chunk of a long text counts. Other columns are ignored, whatever their names.
+    chunk of a long text counts. Repeated rows give repeated results, an empty table an
+    empty one, a null id stays null; other columns are ignored, whatever their names. A
+    score equal to the threshold is predicted 1.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), quality_column(docs, model, text_col).alias("score"))
     return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def keep_quality(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is ``threshold`` or more."""
+    """The rows of ``docs`` whose score is ``threshold`` or more. Each row is judged by
+    its text alone, so repeated rows and those with a null id stay or go alike; columns
+    of any name are kept."""
     columns = docs.columns
     return docs.withColumn("_quality", quality_column(docs, model, text_col)).where(F.col("_quality") >= threshold).select(columns)
