@@ -71,7 +71,7 @@ def safe_parts(text: str, most: int = PART_CHARS) -> list[str]:
 
 
 def lengths(texts: list[str], path: str, batch_bytes: int = BATCH_BYTES) -> list[int]:
-    """Token counts of ``texts``."""
+    """Token counts of ``texts``, encoded in batches of about ``batch_bytes`` bytes."""
     count, cuts = counter(path)
     totals = [0] * len(texts)
     owners: list[int] = []
@@ -88,7 +88,7 @@ def lengths(texts: list[str], path: str, batch_bytes: int = BATCH_BYTES) -> list
                 continue
             owners.append(i)
             batch.append(part)
-            size += len(part)
+            size += len(part) if part.isascii() else len(part.encode())
             if size >= batch_bytes:
                 flush()
                 owners, batch, size = [], [], 0

@@ -178,6 +178,39 @@ def test_bpe_is_the_library_s():
         ids = library.encode(t, add_special_tokens=False).ids
         assert vocab.ids_of(t) == ids, t
         assert vocab.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        assert np.frombuffer(repair.library_words(path).ids(t), "<u4").tolist() == ids
+
+
+def test_bpe_of_long_words_takes_time_in_proportion():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    vocab, library = bpe.vocabulary(path), Tokenizer.from_file(path)
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list(letters), n)) for n in (65, 300, 3000) for letters in ("abcdefghijklmnopqrstuvwxyz", "aeinst", "éaßt", "日本語")] + ["ab" * 500, "a" * 1001]
+    for w in words:
+        assert vocab.ids_of(w) == library.encode(w, add_special_tokens=False).ids
+        if len(w) > bpe.LONG and w.isascii():
+            assert vocab.stepped(w) == vocab.merged_many([w])[0]
+    took = []
+    for n in (20_000, 200_000):
+        w = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+        began = time.process_time()
+        assert vocab.ids_of(w) == library.encode(w, add_special_tokens=False).ids
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0]  # a square would be 100
+
+
+def test_bpe_refuses_other_tokenizer_files(tmp_path):
+    import json
+
+    spec = json.load(open(P.path("word_bpe_49k.json")))
+    for key, value in (("decoder", {"type": "ByteLevel"}), ("normalizer", {"type": "Sequence", "normalizers": [{"type": "NFKC"}]})):
+        (tmp_path / "other.json").write_text(json.dumps(spec | {key: value}))
+        with pytest.raises(ValueError, match="tokenizer file"):
+            bpe.Vocabulary(str(tmp_path / "other.json"))
 
 
 def test_compatibility_is_exact_merging():
@@ -213,17 +246,49 @@ def test_grammar_round_trip():
     flat = np.concatenate(docs)
     g = repair.compress(flat, starts, least=8)
     assert len(g.left) and len(g.sequence) < len(flat)
-    shard = repair.Shard(repair.to_bytes(np.arange(len(docs)), starts, g))
-    assert (shard.all() == flat).all()
+    # no pair is left that stands often enough, and every rule was used as often
+    inner = np.ones(len(g.sequence), bool)
+    inner[g.starts[1:][np.diff(g.starts) > 0] - 1] = False
+    seq = g.sequence.astype(np.int64)
+    at = np.flatnonzero(inner)
+    left = np.unique(seq[at] << 32 | seq[at + 1], return_counts=True)[1]
+    assert left.max() < 16  # pairs that overlap others, as in a a a
+    shard = repair.Shard(repair.to_bytes(np.arange(len(docs)), 1, starts, g))
+    assert (shard.documents(0, len(docs)) == flat).all() and shard.unnamed == 1
+    assert [i for a, b in shard.runs(500) for i in range(a, b)] == [*range(len(docs))]
+    assert all((shard.documents(a, b) == flat[starts[a] : starts[b]]).all() for a, b in shard.runs(500))
     for i, d in enumerate(docs):
         assert (shard.document(i) == d).all()
     assert (shard.ids(4, 777, 7777) == docs[4][777:7777]).all()
-    damaged = bytearray(repair.to_bytes(np.arange(len(docs)), starts, g))
+    damaged = bytearray(repair.to_bytes(np.arange(len(docs)), 0, starts, g))
     damaged[60] ^= 1
     with pytest.raises(ValueError):
         repair.Shard(bytes(damaged))
 
 
+def test_grammar_goes_on_until_no_rule_pays():
+    rng = np.random.default_rng(3)
+    text = rng.integers(0, 40_000, 700)
+    docs = [text] * 40 + [rng.integers(0, 40_000, 700) for _ in range(20)]
+    starts = np.arange(0, 700 * 61, 700)
+    flat = np.concatenate(docs)
+    g = repair.compress(flat, starts)
+    assert g.length.max() > 300  # rules span copies of a text, not 32 ids
+    assert np.diff(g.starts)[:40].max() <= 4
+    assert (repair.expand(g.sequence, g) == flat).all()
+    assert (g.length == [len(repair.expand(np.array([g.first + i]), g)) for i in range(len(g.left))]).all()
+    for empty in (np.zeros(0, np.uint32), np.array([5], np.uint32)):
+        h = repair.compress(empty, np.array([0, len(empty)]))
+        assert (repair.expand(h.sequence, h) == empty).all()
+
+
+def test_token_files_of_null_and_repeated_ids(spark):
+    rows = [(None, "b b"), (-1, "c"), (2, "x y z"), (2, "a"), (2, "a"), (None, None)]
+    docs = spark.createDataFrame([(i, t, 1, 1) for i, t in rows], "doc_id long, text string, start int, n_tokens int")
+    found = sorted(((r["doc_id"] if r["doc_id"] is not None else -9, r["start"], r["n_tokens"]) for r in repair.round_trip(docs).collect()), key=lambda r: r[1])
+    assert found == [(-9, 0, 1), (-9, 1, 3), (-1, 4, 2), (2, 6, 2), (2, 8, 2), (2, 10, 4)]
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -337,17 +402,110 @@ def test_language_is_learned_and_odd_texts_are_undetermined(spark):
     assert langid.keep_languages(docs, model).columns == docs.columns
 
 
+def differences(gradients, weights, picks):
+    """Largest gap between slopes and differences of the loss."""
+    _, slopes = gradients(weights)
+    worst = 0
+    for key, i in picks:
+        old, e = weights[key][i], 1e-6
+        weights[key][i] = old + e
+        above = gradients(weights)[0]
+        weights[key][i] = old - e
+        below = gradients(weights)[0]
+        weights[key][i] = old
+        worst = max(worst, abs((above - below) / (2 * e) - slopes[key][i]))
+    return worst
+
+
 def test_language_gradient():
     """Backpropagation through time against differences."""
     rng = np.random.default_rng(0)
-    rows = rng.integers(97, 110, (40, langid.LENGTH + 1)).astype(np.uint8)
-    lengths = rng.integers(2, 9, 40)
-    labels = (rows[:, 0] > 103).astype(int)
-    model = langid.train(rows, lengths, labels, ["a", "b"], epochs=30)
-    p = langid.label_positions(rows, lengths, model.weights)
-    assert (p.argmax(1) == labels).mean() > 0.9
-    alone = langid.label_positions(rows[:1], lengths[:1], model.weights)
-    assert np.allclose(alone, p[:1], atol=1e-4)  # the batch does not matter
+    w = langid.initial(3, rng, np.float64)
+    x = rng.integers(97, 110, (9, 5)).astype(np.intp)
+    x[7:, 2] = langid.PAD
+    mask = (x < langid.PAD) * 1.0
+    mask[:2, 0] = 0
+    picks = [(k, (int(rng.integers(v.shape[0])), int(x[rng.integers(7), 0])) if k[0] == "x" else tuple(rng.integers(0, s) for s in v.shape)) for k, v in w.items() for _ in range(12)]
+    assert differences(lambda w: langid.gradients(x, np.array([0, 1, 2, 1, 0]), mask, w), w, picks) < 1e-7
+
+
+def plain_language(text, model):
+    """Mean label probabilities by plain loops, one position at a time."""
+    w, data = model.weights, text.encode()
+    bend = lambda x: x / (1 + np.abs(x))
+    k, total = langid.UNITS, np.zeros(len(model.names))
+    whole = len(data) <= langid.CORE + 2 * langid.MARGIN
+    cuts = [0, len(data)] if whole else [*range(0, len(data), langid.CORE), len(data)]
+    while any(0 < c < len(data) and data[c] & 0xC0 == 0x80 for c in cuts):
+        cuts = [c - (0 < c < len(data) and data[c] & 0xC0 == 0x80) for c in cuts]
+    for begin, end in zip(cuts, cuts[1:]):
+        lo, hi = max(0, begin - langid.MARGIN), min(len(data), end + langid.MARGIN)
+        states = {}
+        for side, order in (("f", range(lo, hi)), ("b", range(hi - 1, lo - 1, -1))):
+            h = np.zeros(k)
+            for i in order:
+                a, u = w[f"x{side}"][:, data[i]], w[f"u{side}"] @ h
+                gates = 0.5 + 0.5 * bend(a[: 2 * k] + u[: 2 * k])
+                new = bend(a[2 * k :] + gates[:k] * u[2 * k :])
+                h = new + gates[k:] * (h - new)
+                states[side, i] = h
+        for i in range(begin, end):
+            e = np.exp(w["vf"] @ states["f", i] + w["vb"] @ states["b", i] + w["b"])
+            total += e / e.sum()
+    return total / max(1, len(data))
+
+
+def test_language_of_every_position_by_plain_loops():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    model = langid.Model(["aa", "bb", "cc"], langid.initial(3, rng))
+    texts = ["", "a", "né" * 300, "one two  three " * 60, "日本語" * 200, "x" * (langid.CORE + 2 * langid.MARGIN), "y" * 700]
+    found = langid.probabilities(pa.array(texts), model)
+    for t, p in zip(texts, found):
+        assert np.allclose(p, plain_language(t, model), atol=1e-4)
+    assert np.allclose(found[[3]], langid.probabilities(pa.array(texts[3:4]), model), atol=1e-5)  # the batch does not matter
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    w = langid.initial(2, np.random.default_rng(0))
+    even = langid.Model(["aa", "bb"], {k: v * 0 for k, v in w.items()})
+    assert {r["lang_pred"] for r in langid.predict_language(docs_of(spark, ["abc", "abc", "é"]), even).collect()} == {"aa"}
+
+
+def test_quality_gradient_and_plain_loops():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    p = quality.initial(rng, np.float64)
+    chunks = rng.integers(97, 110, (7, quality.CHUNK)).astype(np.int16)
+    picks = [(k, (int(rng.integers(quality.WIDTH)), int(rng.integers(97, 110)), int(rng.integers(quality.FILTERS))) if k == "tables" else tuple(rng.integers(0, s) for s in v.shape)) for k, v in p.items() for _ in range(10)]
+    target = np.array([0, 1, 1, 0, 1, 0, 1.0])
+    assert differences(lambda p: quality.gradients(chunks, target, np.ones(7), p), p, picks) < 1e-6
+    model = quality.model_of({k: v.astype(np.float32) for k, v in p.items()})
+    model.combine = np.array([0.5, 0.3, -0.2, 0.1])
+    texts = ["", "short", "é" * 400, "".join(rng.choice(list("abc def\n"), 1500))]
+    for text, score in zip(texts, quality.scores(pa.array(texts), model)):
+        data, logits, start = text.encode(), [], 0
+        while True:
+            padded = [*data[start : start + quality.CHUNK]]
+            padded += [quality.PAD] * (quality.CHUNK - len(padded))
+            top = [max(sum(model.tables[j, padded[i + j], f] for j in range(quality.WIDTH)) for i in range(quality.CHUNK - quality.WIDTH + 1)) for f in range(quality.FILTERS)]
+            dense = np.maximum(np.maximum(np.array(top) + model.bias, 0) @ model.w1 + model.b1, 0)
+            logits.append(float(dense @ model.w2 + model.b2))
+            if start + quality.CHUNK >= len(data):
+                break
+            start += quality.STRIDE
+        logit = np.dot([np.mean(logits), max(logits), min(logits), 1], model.combine)
+        assert abs(score - 1 / (1 + np.exp(-logit))) < 1e-4
+
+
+def test_quality_threshold_and_repeated_rows(spark):
+    model = quality.model_of(quality.initial(np.random.default_rng(1)))
+    model.prior = 0.3
+    docs = docs_of(spark, ["a", "a"]).union(spark.createDataFrame([(None, "a", None, None, 1, 1)], DOCS))
+    assert [(r["score"], r["predicted"]) for r in quality.score_quality(docs, model).collect()] == [(0.3, 1)] * 3
+    assert quality.keep_quality(docs, model).count() == 3
 
 
 def test_quality_is_learned_over_the_whole_text(spark):
@@ -377,7 +535,7 @@ def test_quality_of_long_texts_is_fitted_on_all_chunks(spark):
     model = quality.fit(docs_of(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int"), k=10**6, remainder=-1)
     import pyarrow as pa
 
-    (data, offsets), = byte_blocks(pa.array(texts))
+    (data, offsets), = byte_blocks(pa.array(texts), most=1 << 30)
     owner, start = quality.chunk_starts(np.diff(offsets))
     features = quality.combined(quality.chunk_logits(quality.chunk_matrix(data, offsets, owner, start), model), owner, len(texts))
     scale = np.abs(features).mean(0) + 1e-6
@@ -412,6 +570,15 @@ def test_token_counts_are_the_library_s(spark):
     assert token_count.count_tokens(docs_of(spark, [])).count() == 0
 
 
+def test_token_batches_are_even_in_bytes(monkeypatch):
+    path, sizes = P.path("piece_bpe_32k.model"), []
+    count = token_count.counter(path)[0]
+    monkeypatch.setitem(token_count._loaded, path, (lambda texts: sizes.append(sum(len(t.encode()) for t in texts)) or count(texts), True))
+    texts = ["日本語" * 40, "abc" * 40] * 60
+    assert token_count.lengths(texts, path, 4000) == [count([t])[0] for t in texts]
+    assert len(sizes) > 3 and all(4000 <= n < 4000 + 360 for n in sizes[:-1])
+
+
 def test_safe_parts_add_up():
     count, cuts = token_count.counter(P.path("piece_bpe_32k.model"))
     assert cuts
