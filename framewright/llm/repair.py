@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .bpe import CACHE_WORDS, groups, vocabulary
+from .bpe import groups, vocabulary
 from .common import saved, scratch, text_or_empty, tokenizer_path
 
 MAGIC = b"RPIDS002"
@@ -39,6 +39,8 @@ MAGIC = b"RPIDS002"
 SHARD_IDS, LEAST = 1 << 20, 5
 #: Symbols that one call of a reader expands at most, but for a longer document.
 READ_SYMBOLS = 1 << 16
+#: Pieces in each of two generations of a worker's cache, and words: about 200 bytes each.
+CACHE = 400_000
 _BUCKETS = 20
 _MIX = np.int64(0x1E3779B97F4A7C15)
 _models: dict[str, object] = {}
@@ -85,7 +87,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> Grammar
             bucket = (pair * _MIX).view(np.uint64) >> np.uint64(64 - _BUCKETS)
             often = (np.bincount(bucket.view(np.int64), minlength=1 << _BUCKETS) >= least)[bucket]
             live, pair = live[often], pair[often]
-        which, pairs = pd.factorize(pair)
+        which, pairs = pd.factorize(pair, size_hint=len(pair) // 8)
         count = np.bincount(which)[which]
         often = count >= least
         live, which, count = live[often], which[often], count[often]
@@ -240,7 +242,7 @@ class LibraryWords(dict):
         self.words: dict[str, bytes] = {}
 
     def __missing__(self, piece) -> bytes:
-        if len(self) > 2 * CACHE_WORDS:
+        if len(self) > CACHE:
             self.older = dict(self)
             self.clear()
         found = self.older.get(piece)
@@ -252,7 +254,7 @@ class LibraryWords(dict):
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > 2 * CACHE_WORDS:
+            if len(self.words) > CACHE:
                 self.words.clear()
             ids = [t.id for t in self.model.tokenize(self.vocab.lettered(word))]
             found = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
