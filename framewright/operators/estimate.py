@@ -17,15 +17,21 @@ from .stages import distinct
 
 @dataclass(frozen=True)
 class SurveyDesign:
-    """A sample's rows with ``id_1, stratum_1, fpc_1`` and what its variance is by.
+    """A sample's rows with ``id_k, stratum_k, fpc_k`` of each stage k and what the
+    variance of each stage is by.
 
-    ``kind``: ``wr`` (with replacement, or ultimate clusters), ``equal`` (equal chances
-    without replacement), ``pps`` (unequal chances without replacement) or ``poisson``.
+    ``kinds``: ``wr`` (with replacement), ``equal`` (equal chances without replacement),
+    ``pps`` (unequal chances without replacement) or ``poisson``. Ids name a unit within
+    its parent, strata a pool within its parent. Stages below one with replacement are
+    left out: their variance is in that of the units above.
     """
 
     df: DataFrame
-    kind: str
-    stages: int
+    kinds: tuple[str, ...]
+
+    @property
+    def kind(self) -> str:
+        return self.kinds[0]
 
 
 def stage_kind(name: str, certainty: bool = False) -> str:
@@ -37,54 +43,79 @@ def stage_kind(name: str, certainty: bool = False) -> str:
 
 
 def as_survey_design(sample: Sample) -> SurveyDesign:
-    """Ids, strata and population sizes of the first stage; later stages count through
-    the ultimate clusters."""
+    """Ids, strata and population sizes of every stage that ran."""
     sample.check()
     sample.check_single()
     plan = sample.design.plan
-    s = plan.stages[0]
     for k in sample.stages[:-1]:
-        if k > 1 and not plan.stages[k - 1].clusters:
+        if not plan.stages[k - 1].clusters:
             raise ExportError(f"stage {k} selects elements and is not the last")
-    df = sample.df
-    kind = stage_kind(s.draw.method)
-    m = method(s.draw.method)
-    ids = ["_draw_1"] if m.multi_hit else list(s.clusters.columns) if s.clusters else [*sample.unit_key]
-    strata = [c for c in (s.strata.columns if s.strata else ()) if c in df.columns]
-    text = text_key([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*strata, *ids]])
-    stratum = text_key([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata]) if strata else F.lit("")
-    if "_certainty_1" in df.columns:
-        stratum = F.when(F.col("_certainty_1"), F.concat(stratum, F.lit("|certain"))).otherwise(stratum)
-    return SurveyDesign(df.withColumns({"id_1": text, "stratum_1": stratum, "fpc_1": F.col("_fpc_1")}), kind, len(sample.stages))
-
-
-def _totals(d: SurveyDesign, z: Column) -> DataFrame:
-    """``stratum_1, id_1, z, fpc_1, w_1`` summed over primary units."""
-    return d.df.groupBy("stratum_1", "id_1").agg(F.sum(F.col("_weight") * z).alias("z"), F.first("fpc_1").alias("fpc"), F.first("_weight_1").alias("w1"), F.first(F.col("_certainty_1") if "_certainty_1" in d.df.columns else F.lit(False)).alias("certain"))
+    df, kinds, added = sample.df, [], {}
+    named = lambda columns: text_key([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]) if columns else F.lit("")
+    for k in sample.stages:
+        s = plan.stages[k - 1]
+        m = method(s.draw.method)
+        ids = [f"_draw_{k}"] if m.multi_hit else list(s.clusters.columns) if s.clusters else [*sample.unit_key]
+        strata = [c for c in (s.strata.columns if s.strata else ()) if c in df.columns]
+        stratum = named(strata)
+        if f"_certainty_{k}" in df.columns:
+            stratum = F.when(F.col(f"_certainty_{k}"), F.concat(stratum, F.lit("|certain"))).otherwise(stratum)
+        added |= {f"id_{k}": named([*strata, *ids]), f"stratum_{k}": stratum, f"fpc_{k}": F.col(f"_fpc_{k}")}
+        kinds.append(stage_kind(s.draw.method))
+        if kinds[-1] == "wr":
+            break
+    return SurveyDesign(df.withColumns(added), tuple(kinds))
+
+
+def _totals(d: SurveyDesign, z: Column, k: int = 1) -> DataFrame:
+    """Expanded totals ``z`` of the units of stage k with ``stratum``, the group of the
+    stage's pool; its size ``fpc``; their weight ``w`` in the stage; and ``above``, the
+    weights of the stages before multiplied."""
+    parents = [f"id_{j}" for j in range(1, k)]
+    above = F.lit(1.0)
+    for j in range(1, k):
+        above = above * F.first(f"_weight_{j}")
+    figures = [F.sum(F.col("_weight") * z).alias("z"), F.first(f"fpc_{k}").alias("fpc"), F.first(f"_weight_{k}").alias("w"), above.alias("above")]
+    units = d.df.groupBy(*parents, f"stratum_{k}", f"id_{k}").agg(*figures)
+    return units.withColumn("stratum", F.struct(*parents, f"stratum_{k}"))
+
+
+def stage_variance(d: SurveyDesign, z: Column, k: int) -> DataFrame:
+    """``variance``: the term of stage k, one row."""
+    units = _totals(d, z, k)
+    if d.kinds[k - 1] == "poisson":
+        return units.agg(F.sum((1 - 1 / F.col("w")) * F.col("z") * F.col("z") / F.col("above")).alias("variance"))
+    n, above = F.count("*"), F.first("above").alias("above")
+    if d.kinds[k - 1] == "pps":
+        q = 1 - 1 / F.col("w")
+        part = Window.partitionBy("stratum")
+        mean = F.sum(q * F.col("z")).over(part) / F.nullif(F.sum(q).over(part), F.lit(0.0))
+        dev = units.withColumn("_d", F.coalesce(q * F.pow(F.col("z") - mean, F.lit(2.0)), F.lit(0.0)))
+        by = dev.groupBy("stratum").agg(n.alias("n"), F.sum("_d").alias("s"), above)
+        term = F.col("n") / F.nullif(F.col("n") - 1, F.lit(0)) * F.col("s")
+    else:
+        by = units.groupBy("stratum").agg(n.alias("n"), F.var_samp("z").alias("s2"), F.first("fpc").alias("pop"), above)
+        factor = F.lit(1.0) if d.kinds[k - 1] == "wr" else F.when(F.col("pop") == float("inf"), 1.0).otherwise(1 - F.col("n") / F.col("pop"))
+        term = factor * F.col("n") * F.col("s2")
+    return by.agg(F.sum(F.when(F.col("n") > 1, term / F.col("above")).otherwise(0.0)).alias("variance"))
 
 
 def variance_of_total(d: SurveyDesign, z: Column) -> DataFrame:
-    """``variance`` of the weighted total of ``z`` by primary units.
+    """``variance`` of the weighted total of ``z``: a term for each stage.
 
     Equal chances: stratified with finite population factors. With replacement:
     Hansen and Hurwitz. Poisson: sum of (1 - pi) times the squared expanded totals.
     Unequal without replacement: Brewer's approximation, n/(n-1) sum of (1 - pi)
     squared deviations from the mean weighted by (1 - pi) (Brewer and Donadio 2003).
+    A later stage's term is that of its units' expanded totals within each parent, times
+    the chances of all parents above: the sum over units of their own variance over
+    their chance (Saerndal, Swensson and Wretman 1992, result 4.3.1). A pool of one unit
+    gives 0.
     """
-    units = _totals(d, z)
-    if d.kind == "poisson":
-        return units.agg(F.sum((1 - 1 / F.col("w1")) * F.col("z") * F.col("z")).alias("variance"))
-    n = F.count("*")
-    if d.kind == "pps":
-        q = 1 - 1 / F.col("w1")
-        part = Window.partitionBy("stratum_1")
-        mean = F.sum(q * F.col("z")).over(part) / F.nullif(F.sum(q).over(part), F.lit(0.0))
-        dev = units.withColumn("_d", F.coalesce(q * F.pow(F.col("z") - mean, F.lit(2.0)), F.lit(0.0)))
-        by = dev.groupBy("stratum_1").agg(n.alias("n"), F.sum("_d").alias("s"))
-        return by.agg(F.sum(F.when(F.col("n") > 1, F.col("n") / (F.col("n") - 1) * F.col("s")).otherwise(0.0)).alias("variance"))
-    by = units.groupBy("stratum_1").agg(n.alias("n"), F.var_samp("z").alias("s2"), F.first("fpc").alias("pop"))
-    factor = F.lit(1.0) if d.kind == "wr" else F.when(F.col("pop") == float("inf"), 1.0).otherwise(1 - F.col("n") / F.col("pop"))
-    return by.agg(F.sum(F.when(F.col("n") > 1, factor * F.col("n") * F.col("s2")).otherwise(0.0)).alias("variance"))
+    terms = stage_variance(d, z, 1)
+    for k in range(2, len(d.kinds) + 1):
+        terms = terms.unionByName(stage_variance(d, z, k))
+    return terms.agg(F.sum("variance").alias("variance"))
 
 
 def svytotal(sample: Sample, y: str, domain: Column | None = None) -> DataFrame:
@@ -101,7 +132,7 @@ def svymean(sample: Sample, y: str, domain: Column | None = None) -> DataFrame:
     on = F.lit(True) if domain is None else domain
     one, v = F.when(on, 1.0).otherwise(0.0), F.when(on, F.col(y).cast("double")).otherwise(0.0)
     top = d.df.agg((F.sum(F.col("_weight") * v) / F.sum(F.col("_weight") * one)).alias("_mean"), F.sum(F.col("_weight") * one).alias("_size"))
-    joined = SurveyDesign(d.df.crossJoin(F.broadcast(top)), d.kind, d.stages)
+    joined = SurveyDesign(d.df.crossJoin(F.broadcast(top)), d.kinds)
     variance = variance_of_total(joined, F.when(on, (F.col(y).cast("double") - F.col("_mean")) / F.col("_size")).otherwise(0.0))
     return top.crossJoin(F.broadcast(variance)).select(F.col("_mean").alias("estimate"), F.sqrt("variance").alias("se"))
 
@@ -173,14 +204,28 @@ def replicate_weights(sample: Sample, kind: str = "auto", replicates: int = 50,
     raise ExportError(f"no replicate weights {kind!r}")
 
 
+def jackknife_total(d: SurveyDesign, y: str, kind: str) -> DataFrame:
+    """``estimate, se``: the total without a unit follows from the totals of all, of its
+    stratum and of itself, so no unit's rows are copied for another's replicate."""
+    units = d.df.groupBy("stratum_1", "id_1").agg(F.sum(F.col("_weight") * F.col(y)).alias("z"))
+    if kind == "JK1":
+        units = units.withColumn("stratum_1", F.lit(""))
+    by = units.groupBy("stratum_1").agg(F.count("*").cast("double").alias("n"), F.sum("z").alias("t"), F.var_pop("z").alias("v"))
+    # a replicate is off by (t - z) n / (n - 1) - t = (t - n z) / (n - 1)
+    spread = F.when(F.col("n") > 1, F.pow(F.col("n"), F.lit(2.0)) / (F.col("n") - 1) * F.col("v")).otherwise(0.0)
+    return by.agg(F.sum("t").alias("estimate"), F.sqrt(F.sum(spread)).alias("se"))
+
+
 def replicate_total(sample: Sample, y: str, kind: str = "auto", **options) -> DataFrame:
     """``estimate, se`` of a total by replicate weights."""
+    if kind == "auto":
+        kind = "JKn" if sample.design.stages[0].strata else "JK1"
+    if kind in ("JK1", "JKn"):
+        return jackknife_total(as_survey_design(sample), y, kind)
     rows, scale = replicate_weights(sample, kind, **options)
     base = sample.df.agg(F.sum(F.col("_weight") * F.col(y)).alias("estimate"))
-    figures = [F.sum(F.col("_rep_weight") * F.col(y)).alias("t")] + ([F.first("_rep_scale").alias("c")] if "_rep_scale" in rows.columns else [])
-    reps = rows.groupBy("_rep").agg(*figures).crossJoin(F.broadcast(base))
-    each = F.col("c") if "_rep_scale" in rows.columns else F.lit(scale)
-    return reps.agg(F.first("estimate").alias("estimate"), F.sqrt(F.sum(each * F.pow(F.col("t") - F.col("estimate"), F.lit(2.0)))).alias("se"))
+    reps = rows.groupBy("_rep").agg(F.sum(F.col("_rep_weight") * F.col(y)).alias("t")).crossJoin(F.broadcast(base))
+    return reps.agg(F.first("estimate").alias("estimate"), F.sqrt(F.sum(F.lit(scale) * F.pow(F.col("t") - F.col("estimate"), F.lit(2.0)))).alias("se"))
 
 
 def design_effect(sample: Sample, y: str | None = None, method: str = "kish", size: str | None = None, cluster: str | None = None) -> DataFrame:
