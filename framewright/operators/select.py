@@ -26,6 +26,9 @@ from .pools import as_double, exact
 
 #: Units that a pool of a sequential method may hold: such a pool is one Python task.
 POOL_LIMIT = 5_000_000
+#: Draws of a pool above which a cut of the random numbers goes before the ranks: there
+#: the planner no longer prunes by rank in each task.
+CUT = 1000
 
 
 def pool_window(keys: list[str]):
@@ -37,13 +40,26 @@ def pool_text(keys: list[str]) -> Column:
 
 
 def first_n(units: DataFrame, pools: DataFrame, keys: list[str], by: list[Column], n: str = "_n") -> DataFrame:
-    """The first ``n`` of each pool. A literal bound on the rank lets each task keep that
-    many rows of a pool only, before any shuffle; the exact size filters after."""
+    """The first ``n`` of each pool. Up to the planner's threshold a literal bound on the
+    rank lets each task keep that many rows of a pool only, before any shuffle; the exact
+    size filters after."""
     bound = largest_n(pools, n)
     ranked = units.withColumn("_rank", F.row_number().over(pool_window(keys).orderBy(*by))).where(F.col("_rank") <= bound)
     return ranked.where(F.col("_rank") <= F.col(n)).drop("_rank")
 
 
+def below_cut(units: DataFrame, pools: DataFrame, keys: list[str], u: str, n: str = "_n", pop: str = "_pop") -> DataFrame:
+    """The units that may be among the ``n`` smallest numbers ``u`` of their pool: those
+    below (n + 8 sqrt(n) + 40) / pop, a few more than n, so that neither a shuffle nor a
+    sort holds the rest. Should a pool have fewer than n there (of uniform numbers one in
+    10^12 has), all units stay; one count over the frame, without a shuffle of it, says."""
+    few = units.where(F.col(u) * F.col(pop) < F.col(n) + 8 * F.sqrt(F.col(n).cast("double")) + 40)
+    had = few.groupBy(*keys).agg(F.count("*").alias("had")) if keys else few.agg(F.count("*").alias("had"))
+    wanted = pools.select(*keys, F.least(F.col(n), F.col(pop)).alias("size"))
+    tested = wanted.join(had, keys, "left") if keys else wanted.crossJoin(F.broadcast(had))
+    return few if tested.where(F.coalesce("had", F.lit(0)) < F.col("size")).isEmpty() else units
+
+
 def running(units: DataFrame, keys: list[str], by: list[Column], value: Column, name: str) -> DataFrame:
     """Running sum of ``value`` in the order ``by`` within each pool."""
     return units.withColumn(name, F.sum(value).over(pool_window(keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)))
@@ -80,7 +96,10 @@ def select(units: DataFrame, pools: DataFrame, keys: list[str], draw: Draw, unit
     units, by, helpers = ordered(units, draw.control, keys, key)
     free = (F.col("_pi") < 1) & ~F.col("_certain")
     if m.name == "srswor":
-        out = first_n(units.withColumn("_u", u), pools, keys, [F.col("_u"), *(F.col(k) for k in key)])
+        units = units.withColumn("_u", u)
+        if not draw.prn and ("_replicate" in keys or largest_n(pools) > CUT):
+            units = below_cut(units, pools, keys, "_u")
+        out = first_n(units, pools, keys, [F.col("_u"), *(F.col(k) for k in key)])
     elif m.name in ("bernoulli", "pps_poisson"):
         out = units.where(F.col("_certain") | (u < F.col("_pi")))
     elif m.name in ("pps_sps", "pps_pareto"):
@@ -146,7 +165,11 @@ def in_pools(units: DataFrame, keys: list[str], by: list[Column], draw: Draw, un
         if len(rows) > POOL_LIMIT:
             raise SelectionError(f"{name} draws a pool in one task and takes {POOL_LIMIT} units at most; this one has {len(rows)}; add strata")
         rows = rows.sort_values([*(keys if joint_strata else []), "_order"], kind="stable")
-        text = f"{int(rows['_start'].iloc[0])}:{stage}:pool:" + ":".join(str(rows[k].iloc[0]) for k in keys if not joint_strata)
+        if rows[list(unit_key)].duplicated().any():
+            raise SelectionError(f"the unit key {unit_key} does not tell the units of a pool apart")
+        values = [str(rows[k].iloc[0]) for k in keys if not joint_strata]
+        # each with its length, so that no two pools have the same text
+        text = f"{int(rows['_start'].iloc[0])}:{stage}:pool:" + (values[0] if len(values) == 1 else "".join(f"{len(v.encode())}.{v}" for v in values))
         rng = np.random.default_rng(int(hashlib.md5(text.encode()).hexdigest()[:16], 16))
         pi = rows["_pi"].to_numpy(float)
         if registered is not None:
