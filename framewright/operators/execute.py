@@ -72,11 +72,9 @@ def _run(design, wanted, frames, key, seed, before, panels, reps, validate) -> S
             if "_replicate" in frame.columns:
                 raise FrameError("the frame already holds replicates")
             frame = frame.crossJoin(F.broadcast(frame.sparkSession.range(1, reps + 1).select(F.col("id").cast("int").alias("_replicate"))))
-        clustered = design.stages[stage - 1].clusters is not None
         drawn = run_stage(design.plan, stage, frame, drawn, key, seed, i == len(wanted) - 1)
         if method(design.stages[stage - 1].draw.method).fixed_size is False:
             empty_pools(drawn, design.stages[stage - 1].draw.on_empty, stage)
-        del clustered
     if panels:
         drawn = deal_panels(drawn, design.plan, wanted[-1], key, panels)
     return Sample(drawn.withColumn("_stage", F.lit(wanted[-1])), design, list(wanted), seed, key, meta, frames)

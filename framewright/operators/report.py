@@ -184,7 +184,8 @@ def pool_drift(design: Design, old: DataFrame, new: DataFrame, stage: int = 1) -
 
 
 def chance_drift(design: Design, old: DataFrame, new: DataFrame, stage: int = 1, tolerance: float = 1e-9) -> DataFrame:
-    """Pools whose sorted chances differ by more than the tolerance, and by how much."""
+    """Pools whose sorted chances differ by more than the tolerance, and by how much;
+    pools and units on one side only count with their whole chance."""
 
     def ranked(frame: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
         units, _, keys, _ = stage_units(design, stage, frame)
@@ -192,8 +193,9 @@ def chance_drift(design: Design, old: DataFrame, new: DataFrame, stage: int = 1,
         return units.select(*keys, i.alias("_i"), F.col("_pi").alias(name)), keys
 
     (a, keys), (b, _) = ranked(old, "_a"), ranked(new, "_b")
-    gap = F.max(F.abs(F.col("_a") - F.col("_b"))).alias("largest_change")
-    joined = a.join(b, [*keys, "_i"])
+    # a chance without a counterpart differs by itself
+    gap = F.max(F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)))).alias("largest_change")
+    joined = a.join(b, [*keys, "_i"], "full")
     return (joined.groupBy(*keys).agg(gap) if keys else joined.agg(gap)).where(F.col("largest_change") > tolerance)
 
 

@@ -41,9 +41,11 @@ class Sample:
         roles = {c for c, role, _ in self.design.plan.requirements() if role in ("strata", "clusters")}
         return sorted(c for c in self.df.columns if c in roles or INTERNAL.fullmatch(c))
 
-    def integrity(self) -> tuple[int, int]:
-        """Row count and an order-free hash of the protected columns."""
-        return tuple(self.df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*self.protected)), F.lit(0)) + 0).first())
+    def integrity(self) -> tuple[int, int, int]:
+        """Row count and order-free hashes of the protected columns: one by exclusive or,
+        and a sum, for equal rows cancel out in the first."""
+        h = F.xxhash64(*self.protected)
+        return tuple(self.df.agg(F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0)) + 0, F.coalesce(F.sum(F.pmod(h, F.lit(1 << 32))), F.lit(0))).first())
 
     def _changed(self, df: DataFrame, mark: str) -> Sample | DataFrame:
         if "_weight" not in df.columns:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import FrameError, SamplingWarning, SelectionError
 from ..functions.ordering import term_columns
+from ..functions.prn import text_key
 from ..plans.methods import method
 from ..plans.spec import Plan
 from .chances import chances
@@ -97,7 +98,7 @@ def run_stage(plan: Plan, stage: int, frame: DataFrame, before: DataFrame | None
         key = distinct([*(c for c in plan.ancestors(stage) if c in frame.columns), *s.clusters.columns])
         units = check_clusters(collapse(frame, plan, stage, distinct([*parents, *key])), plan, stage, [*parents, *key])
     if m.name == "cube" and s.strata:
-        units = units.withColumn("_cube_pool", F.concat_ws("|", F.lit("all"), *(F.col(p).cast("string") for p in parents)))
+        units = units.withColumn("_cube_pool", text_key([F.lit("all"), *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parents)]))
     units, pools, keys = chances(units, parents, s.strata, s.draw)
     drawn = select(units, pools, keys, s.draw, key, seed, stage)
     names = {"_weight_now": f"_weight_{stage}", "_fpc_now": f"_fpc_{stage}", "_draw": f"_draw_{stage}"}

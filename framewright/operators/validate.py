@@ -55,8 +55,9 @@ def figures(frame: DataFrame, design: Design, stage: int) -> tuple[list[str], li
     return issues, tests
 
 
-def issues_of(design: Design, frame: DataFrame, stage: int) -> list[str]:
+def issues_of(design: Design, frame: DataFrame, stage: int, key: list[str] | None = None) -> list[str]:
     issues, tests = figures(frame, design, stage)
+    tests += [(f"unit key column {c!r} has nulls", F.count_if(F.col(c).isNull()), lambda n: n > 0) for c in key or ()]
     row = frame.agg(F.count("*"), *(t[1].alias(f"t{i}") for i, t in enumerate(tests))).first()
     if row[0] == 0:
         return [*issues, "the frame is empty"]
@@ -71,7 +72,7 @@ def check_frame(design: Design, frame: DataFrame, stage: int, key: list[str]) ->
     clusters = [c for c in design.plan.ancestors(stage) if c not in frame.columns]
     if clusters:
         raise FrameError(f"ancestor cluster columns {clusters} are missing")
-    issues = issues_of(design, frame, stage)
+    issues = issues_of(design, frame, stage, key)
     if issues:
         raise FrameError(f"stage {stage}: " + "; ".join(issues), issues)
 
