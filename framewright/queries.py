@@ -326,6 +326,36 @@ for _name in ("pps_brewer", "pps_cps", "pps_sampford", "pps_chromy"):
     query()(pooled(_name))
 
 
+def invariants(name: str, n: int, **options):
+    """Sizes and weights by stratum of a method whose units no SQL can name."""
+
+    def run(spark, d):
+        rows = sampling_design().stratify_by("p_brand").draw(n=n, method=name, **options).execute(part(spark, d), "p_partkey", seed=SEED).df
+        by = rows.groupBy("p_brand").agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("units"), F.max("_fpc_1").alias("pop"))
+        return by.select("p_brand", "n", "units", F.round("pop", 0).cast("long").alias("pop"))
+
+    run.__name__ = f"{name}_sizes"
+    return run
+
+
+for _name in ("pps_brewer", "pps_cps", "pps_sampford"):
+    query("SELECT p_brand, least(20, count(*) FILTER (p_size > 0))::BIGINT AS n, least(20, count(*) FILTER (p_size > 0))::BIGINT AS units, count(*) AS pop FROM part GROUP BY 1")(invariants(_name, 20, mos="p_size"))
+for _name, _options in (("cube", {"aux": "p_retailprice"}), ("lpm2", {"spread": ["p_size", "p_retailprice"]}), ("scps", {"spread": ["p_size", "p_retailprice"]})):
+    query("SELECT p_brand, least(10, count(*))::BIGINT AS n, least(10, count(*))::BIGINT AS units, count(*) AS pop FROM part GROUP BY 1")(invariants(_name, 10, **_options))
+
+
+@query("SELECT p_brand, count(*) AS pop, true AS within_bounds, 60 AS n FROM part GROUP BY 1")
+def cube_bounds_sizes(spark, d):
+    """Every brand's count is the whole number below or above what it expects."""
+    parts = part(spark, d)
+    rows = sampling_design().draw(n=60, method="cube", aux=["p_retailprice", bound("p_brand")]).execute(parts, "p_partkey", seed=SEED).df
+    taken = rows.groupBy("p_brand").agg(F.count("*").alias("got"))
+    by = parts.groupBy("p_brand").agg(F.count("*").alias("pop")).join(taken, "p_brand", "left").crossJoin(F.broadcast(parts.agg(F.count("*").alias("all")))).crossJoin(F.broadcast(rows.agg(F.count("*").cast("int").alias("n"))))
+    expected = F.col("pop") * 60 / F.col("all")
+    got = F.coalesce("got", F.lit(0))
+    return by.select("p_brand", "pop", ((got >= F.floor(expected + 1e-9)) & (got <= F.ceil(expected - 1e-9))).alias("within_bounds"), "n")
+
+
 @query()
 def cube(spark, d):
     return drawn(sampling_design().draw(n=60, method="cube", aux=["p_size", "p_retailprice"]).execute(part(spark, d), "p_partkey", seed=SEED), "p_partkey", "p_size", "p_retailprice")
@@ -394,7 +424,13 @@ def three_stage(spark, d):
     return design.execute(frame, "o_orderkey", seed=SEED).df.select("c_nationkey", "c_custkey", "o_orderkey", F.round("_weight", 6).alias("weight"))
 
 
-@query()
+_WR_PARENT = f"""cl AS (SELECT DISTINCT o_custkey FROM orders), k AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) AS rn, count(*) OVER () AS clusters FROM cl),
+dr AS (SELECT i, floor({draws_sql("''", 40)} * clusters)::BIGINT + 1 AS rn FROM (SELECT DISTINCT clusters FROM k), range(1, 41) t(i)),
+h AS (SELECT o_custkey, i, clusters / 40.0 AS w1 FROM k JOIN dr USING (rn)),
+ts AS (SELECT o.*, i, w1, row_number() OVER (PARTITION BY o_custkey, i ORDER BY {u('o_orderkey', 2)}, o_orderkey) AS rn2, count(*) OVER (PARTITION BY o_custkey, i) AS p2 FROM orders o JOIN h USING (o_custkey))"""
+
+
+@query(f"WITH {_WR_PARENT} SELECT o_custkey, o_orderkey, i::INT AS draw, round(w1 * p2 / least(3, p2)::DOUBLE, 6) AS weight FROM ts WHERE rn2 <= 3")
 def two_stage_wr_parent(spark, d):
     design = sampling_design().add_stage().cluster_by("o_custkey").draw(n=40, method="srswr").add_stage().draw(n=3)
     return design.execute(orders(spark, d), "o_orderkey", seed=SEED).df.select("o_custkey", "o_orderkey", F.col("_draw_1").alias("draw"), F.round("_weight", 6).alias("weight"))
@@ -539,6 +575,30 @@ def cluster_se(spark, d):
     return est(estimate.svytotal(sampling_design().cluster_by("o_custkey").draw(n=40).execute(orders(spark, d), "o_orderkey", seed=SEED), "o_totalprice"))
 
 
+@query(f"""WITH {TWO_STAGE}, v AS (SELECT ts.*, w1 * w2 * o_totalprice AS z FROM ts),
+c AS (SELECT o_custkey, any_value(w1) AS w1, sum(z) AS z, count(*) AS n2, any_value(w2) AS w2, coalesce(var_samp(z), 0) AS s2 FROM v GROUP BY 1)
+SELECT round(sum(z), 1) AS estimate, round(sqrt((1 - 1 / any_value(w1)) * count(*) * var_samp(z) + sum((1 - 1 / w2) * n2 * s2 / w1)), 1) AS se FROM c""")
+def two_stage_se(spark, d):
+    return est(estimate.svytotal(two_stage_sample(spark, d), "o_totalprice"))
+
+
+@query(f"WITH {_WR_PARENT}, c AS (SELECT i, sum(w1 * p2 / least(3, p2) * o_totalprice) AS z FROM ts WHERE rn2 <= 3 GROUP BY 1) SELECT round(sum(z), 1) AS estimate, round(sqrt(40 * var_samp(z)), 1) AS se FROM c")
+def two_stage_wr_se(spark, d):
+    design = sampling_design().add_stage().cluster_by("o_custkey").draw(n=40, method="srswr").add_stage().draw(n=3)
+    return est(estimate.svytotal(design.execute(orders(spark, d), "o_orderkey", seed=SEED), "o_totalprice"))
+
+
+@query(f"""WITH b AS (SELECT p_brand, sum(p_size) AS size FROM part GROUP BY 1), c AS (SELECT p_brand, least(0.6 * count(*) OVER () * size::DOUBLE / sum(size) OVER (), 1.0) AS pi FROM b),
+s AS (SELECT * FROM c WHERE {u('p_brand')} < pi), r AS (SELECT p.*, pi, row_number() OVER (PARTITION BY p_brand ORDER BY {u('p_partkey', 2)}, p_partkey) AS rn, count(*) OVER (PARTITION BY p_brand) AS pop FROM part p JOIN s USING (p_brand)),
+v AS (SELECT *, pop / least(6, pop)::DOUBLE AS w2, p_retailprice / pi * (pop / least(6, pop)::DOUBLE) AS z FROM r WHERE rn <= 6),
+g AS (SELECT p_brand, any_value(pi) AS pi, sum(z) AS z, count(*) AS n, any_value(w2) AS w2, coalesce(var_samp(z), 0) AS s2 FROM v GROUP BY 1)
+SELECT round(sum(z), 1) AS estimate, round(sqrt(sum((1 - pi) * z * z) + sum(pi * (1 - 1 / w2) * n * s2)), 1) AS se FROM g""")
+def pps_two_stage_se(spark, d):
+    sized = part(spark, d).join(part(spark, d).groupBy("p_brand").agg(F.sum("p_size").alias("size")), "p_brand")
+    design = sampling_design().add_stage().cluster_by("p_brand").draw(frac=0.6, method="pps_poisson", mos="size").add_stage().draw(n=6)
+    return est(estimate.svytotal(design.execute(sized, "p_partkey", seed=SEED), "p_retailprice"))
+
+
 @query(f"""WITH a AS (SELECT *, row_number() OVER (ORDER BY {u('o_orderkey')}, o_orderkey) AS rn FROM orders), f AS (SELECT * FROM a WHERE rn <= 400),
 b AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {u('o_orderkey', 1, SEED + 1)}, o_orderkey) AS rn2, count(*) OVER (PARTITION BY o_orderstatus) AS p2 FROM f)
 SELECT o_orderkey, rn2 <= 10 AS phase2, CASE WHEN rn2 <= 10 THEN round(p2 / least(10, p2)::DOUBLE, 6) END AS conditional FROM b""")

@@ -369,6 +369,69 @@ def test_totals_and_domains(frame):
     assert math.isclose(brr, estimate.replicate_total(two, "y", "JKn").first()["se"], rel_tol=1e-9)
 
 
+def test_standard_errors_count_every_stage(frame):
+    # all clusters, 5 of 10 in each: the first stage adds nothing, the second all
+    design = sampling_design().add_stage().cluster_by("ea").draw(n=20).add_stage().draw(n=5)
+    s = design.execute(frame, "id", seed=3)
+    rows = s.df.select("ea", "y").toPandas()
+    within = sum(10 * 10 * (1 - 0.5) / 5 * part["y"].var() for _, part in rows.groupby("ea"))
+    assert math.isclose(estimate.svytotal(s, "y").first()["se"], math.sqrt(within), rel_tol=1e-9)
+    # three stages by hand: n1 of N1, then n2 of N2, then n3 of N3
+    parts = frame.withColumn("area", F.floor(F.col("ea") / 5))
+    design = sampling_design().add_stage().cluster_by("area").draw(n=3).add_stage().cluster_by("ea").draw(n=2).add_stage().draw(n=4)
+    rows = design.execute(parts, "id", seed=3).df.select("area", "ea", "y").toPandas()
+    w = 4 / 3 * 5 / 2 * 10 / 4
+    v1 = (1 - 3 / 4) * 3 * (w * rows.groupby("area")["y"].sum()).var()
+    v2 = sum((1 - 2 / 5) * 2 * (w * g.groupby("ea")["y"].sum()).var() for _, g in rows.groupby("area")) * 3 / 4
+    v3 = sum((1 - 4 / 10) * 4 * (w * g["y"]).var() for _, g in rows.groupby("ea")) * 3 / 4 * 2 / 5
+    assert math.isclose(estimate.svytotal(design.execute(parts, "id", seed=3), "y").first()["se"], math.sqrt(v1 + v2 + v3), rel_tol=1e-9)
+
+
+def test_jackknife_by_totals_is_that_by_weights(frame):
+    for kind, design in (("JK1", sampling_design().draw(n=12)), ("JKn", sampling_design().stratify_by("region").draw(n=4)), ("JK1", sampling_design().cluster_by("ea").draw(n=5))):
+        s = design.execute(frame, "id", seed=2)
+        rows, scale = estimate.replicate_weights(s, kind)
+        whole = s.df.agg(F.sum(F.col("_weight") * F.col("y"))).first()[0]
+        reps = rows.groupBy("_rep").agg(F.sum(F.col("_rep_weight") * F.col("y")).alias("t"), F.first("_rep_scale").alias("c")).collect()
+        assert math.isclose(estimate.replicate_total(s, "y", kind).first()["se"], math.sqrt(sum(r["c"] * (r["t"] - whole) ** 2 for r in reps)), rel_tol=1e-9)
+
+
+def test_a_cut_of_the_numbers_changes_no_sample(spark, frame, monkeypatch):
+    from framewright.operators import select
+
+    design = sampling_design().stratify_by("region").draw(n=7)
+    many = spark.range(20_000).withColumn("region", F.when(F.col("id") < 60, "small").otherwise("large"))
+    for rows, d in ((frame, design), (many, sampling_design().stratify_by("region").draw(n=45))):
+        plain = d.execute(rows, "id", seed=8)
+        monkeypatch.setattr(select, "CUT", 0)
+        assert sorted(r["id"] for r in d.execute(rows, "id", seed=8).df.collect()) == sorted(r["id"] for r in plain.df.collect())
+        monkeypatch.setattr(select, "CUT", 1000)
+    # a pool short of numbers below the cut keeps all its units
+    units = spark.createDataFrame([(i, 0.9 + i / 10_000, 50, 900) for i in range(900)], "id long, _u double, _n long, _pop long")
+    pools = spark.createDataFrame([(50, 900)], "_n long, _pop long")
+    assert select.below_cut(units, pools, [], "_u").count() == 900
+    assert select.below_cut(units.withColumn("_u", F.col("id") / 900), pools, [], "_u").count() < 200
+
+
+def test_unit_keys_are_checked(spark, frame):
+    with pytest.raises(errors.FrameError, match="unit key"):
+        sampling_design().draw(n=3).execute(frame.withColumn("id", F.when(F.col("id") > 3, F.col("id"))), "id")
+    with pytest.raises(Exception, match="tell the units"):
+        sampling_design().draw(n=3, method="pps_brewer", mos="mos").execute(frame.withColumn("k", F.lit(1)), "k").df.count()
+
+
+def test_equal_rows_do_not_cancel_out_and_drift_has_both_sides(spark, frame):
+    s = sampling_design().draw(n=4).execute(frame, "id", seed=1)
+    one, two = (s.df.limit(1) for _ in range(2))
+    other = s.df.orderBy(F.col("id").desc()).limit(1)
+    assert s.__class__(one.union(two), s.design, [1], 1, ["id"]).integrity()[0] == 2
+    pair = lambda df: s.__class__(df.union(df).withColumn("_weight", F.col("id") * 1.0), s.design, [1], 1, ["id"]).integrity()
+    assert pair(s.df.orderBy("id").limit(1)) != pair(other)
+    design = sampling_design().stratify_by("region").draw(n=2, method="pps_brewer", mos="mos")
+    gone = {r["region"] for r in report.chance_drift(design, frame, frame.where("region != 'A'")).collect()}
+    assert gone == {"A"}
+
+
 def test_multistage_bootstrap_is_refused(frame):
     s = sampling_design().draw(n=20).execute(frame, "id", seed=1)
     with pytest.raises(errors.ExportError):
