@@ -20,7 +20,7 @@ def text_key(columns: list[str | Column]) -> Column:
 
 def uniform_of(text: Column) -> Column:
     """A number in (0, 1), never an end, from the MD5 of ``text``."""
-    number = F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("double")
+    number = F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("long").cast("double")
     return (number + 0.5) / float(1 << (4 * DIGITS))
 
 

@@ -68,11 +68,9 @@ def _run(design, wanted, frames, key, seed, before, panels, reps, validate) -> S
             meta["previous_phase"] = phase
         if validate:
             check_frame(design, frame, stage, key)
-        if reps:
-            if "_replicate" in frame.columns:
-                raise FrameError("the frame already holds replicates")
-            frame = frame.crossJoin(F.broadcast(frame.sparkSession.range(1, reps + 1).select(F.col("id").cast("int").alias("_replicate"))))
-        drawn = run_stage(design.plan, stage, frame, drawn, key, seed, i == len(wanted) - 1)
+        if reps and "_replicate" in frame.columns:
+            raise FrameError("the frame already holds replicates")
+        drawn = run_stage(design.plan, stage, frame, drawn, key, seed, i == len(wanted) - 1, reps if i == 0 else None)
         if method(design.stages[stage - 1].draw.method).fixed_size is False:
             empty_pools(drawn, design.stages[stage - 1].draw.on_empty, stage)
     if panels:

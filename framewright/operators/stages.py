@@ -80,9 +80,12 @@ def check_clusters(units: DataFrame, plan: Plan, stage: int, keys: list[str]) ->
     return units.drop(*flags, "_size")
 
 
-def run_stage(plan: Plan, stage: int, frame: DataFrame, before: DataFrame | None, unit_key: list[str], seed: int, last: bool) -> DataFrame:
+def run_stage(plan: Plan, stage: int, frame: DataFrame, before: DataFrame | None, unit_key: list[str], seed: int, last: bool, reps: int | None = None) -> DataFrame:
     """Draw stage ``stage`` from ``frame`` under the units selected in ``before``.
 
+    With ``reps`` the first stage is drawn that often: sizes and chances are those of any
+    one draw, so units are multiplied after them.
+
     Adds ``_weight_k``, ``_fpc_k``, ``_draw_k`` for multi-hit methods and ``_certainty_k``
     for methods by size, brings the earlier stages' along, and multiplies ``_weight``.
     """
@@ -97,9 +100,16 @@ def run_stage(plan: Plan, stage: int, frame: DataFrame, before: DataFrame | None
     if s.clusters:
         key = distinct([*(c for c in plan.ancestors(stage) if c in frame.columns), *s.clusters.columns])
         units = check_clusters(collapse(frame, plan, stage, distinct([*parents, *key])), plan, stage, [*parents, *key])
+    units, pools, keys = chances(units, parents, s.strata, s.draw)
+    if reps:
+        # the rows to multiply are spread first: a file of few blocks is few tasks
+        session = frame.sparkSession
+        units = units.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+        many = F.broadcast(frame.sparkSession.range(1, reps + 1).select(F.col("id").cast("int").alias("_replicate")))
+        units, pools = units.crossJoin(many), pools.crossJoin(many)
+        keys, parents = ["_replicate", *keys], ["_replicate"]
     if m.name == "cube" and s.strata:
         units = units.withColumn("_cube_pool", text_key([F.lit("all"), *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parents)]))
-    units, pools, keys = chances(units, parents, s.strata, s.draw)
     drawn = select(units, pools, keys, s.draw, key, seed, stage)
     names = {"_weight_now": f"_weight_{stage}", "_fpc_now": f"_fpc_{stage}", "_draw": f"_draw_{stage}"}
     if m.family == "pps":
@@ -109,8 +119,10 @@ def run_stage(plan: Plan, stage: int, frame: DataFrame, before: DataFrame | None
         drawn = drawn.drop(f"_draw_{stage}")
     drawn = drawn.drop(*HELPERS)
     new = [c for c in names.values() if c in drawn.columns]
+    if reps:
+        parents = []
     if s.clusters:
-        found = drawn.select(*distinct([*parents, *key]), *new)
+        found = drawn.select(*(["_replicate"] if reps else []), *distinct([*parents, *key]), *new)
         # only the last stage that runs needs the clusters' rows
         drawn = frame.join(found, distinct([*parents, *key])) if last else found.join(_constant(frame, plan, stage, [*parents, *key]), distinct([*parents, *key]), "left") if s.strata else found
     if before is None:
