@@ -247,7 +247,12 @@ class LibraryWords(dict):
             self.clear()
         found = self.older.get(piece)
         if found is None:
-            found = struct.pack("<I", piece) if type(piece) is int else b"".join([self.word(w) for w in self.vocab.words_of(piece)])
+            if type(piece) is int:
+                found = struct.pack("<I", piece)
+            elif piece.isascii() and piece.isalpha():  # one word, kept once
+                found = self.words.get(piece) or self.encoded(piece)
+            else:
+                found = b"".join([self.word(w) for w in self.vocab.words_of(piece)])
         self[piece] = found
         return found
 
@@ -256,10 +261,13 @@ class LibraryWords(dict):
         if found is None:
             if len(self.words) > CACHE:
                 self.words.clear()
-            ids = [t.id for t in self.model.tokenize(self.vocab.lettered(word))]
-            found = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+            found = self.words[word] = self.encoded(self.vocab.lettered(word))
         return found
 
+    def encoded(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.vocab.split(text)))
 
