@@ -42,6 +42,10 @@ def stage_kind(name: str, certainty: bool = False) -> str:
     return kind
 
 
+def _named(columns: list[str]) -> Column:
+    return text_key([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]) if columns else F.lit("")
+
+
 def as_survey_design(sample: Sample) -> SurveyDesign:
     """Ids, strata and population sizes of every stage that ran."""
     sample.check()
@@ -51,16 +55,15 @@ def as_survey_design(sample: Sample) -> SurveyDesign:
         if not plan.stages[k - 1].clusters:
             raise ExportError(f"stage {k} selects elements and is not the last")
     df, kinds, added = sample.df, [], {}
-    named = lambda columns: text_key([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]) if columns else F.lit("")
     for k in sample.stages:
         s = plan.stages[k - 1]
         m = method(s.draw.method)
         ids = [f"_draw_{k}"] if m.multi_hit else list(s.clusters.columns) if s.clusters else [*sample.unit_key]
         strata = [c for c in (s.strata.columns if s.strata else ()) if c in df.columns]
-        stratum = named(strata)
+        stratum = _named(strata)
         if f"_certainty_{k}" in df.columns:
             stratum = F.when(F.col(f"_certainty_{k}"), F.concat(stratum, F.lit("|certain"))).otherwise(stratum)
-        added |= {f"id_{k}": named([*strata, *ids]), f"stratum_{k}": stratum, f"fpc_{k}": F.col(f"_fpc_{k}")}
+        added |= {f"id_{k}": _named([*strata, *ids]), f"stratum_{k}": stratum, f"fpc_{k}": F.col(f"_fpc_{k}")}
         kinds.append(stage_kind(s.draw.method))
         if kinds[-1] == "wr":
             break
@@ -153,6 +156,63 @@ def two_phase(second: Sample) -> DataFrame:
     return out.withColumn("_weight_conditional", F.col("_weight_both") / F.col("_weight")).drop("_weight_both")
 
 
+def _phase(sample: Sample, name: str) -> tuple[str, list[str]]:
+    """What the variance of a phase is by, and its strata; phases of one stage of
+    elements with equal chances or by Poisson's rule have an estimator."""
+    sample.check()
+    sample.check_single()
+    s = sample.design.stages[0]
+    if len(sample.stages) > 1 or s.clusters:
+        raise ExportError(f"the {name} phase has clusters or stages: no two-phase variance here")
+    kind = stage_kind(s.draw.method)
+    if kind not in ("equal", "poisson"):
+        raise ExportError(f"the {name} phase by {s.draw.method} has no two-phase variance here")
+    return kind, list(s.strata.columns) if s.strata else []
+
+
+def two_phase_total(second: Sample, y: str) -> DataFrame:
+    """``estimate, se`` of a total from the second of two phases.
+
+    The variance is that of the first phase, had all of it been observed, plus that of
+    the second given the first (Saerndal, Swensson and Wretman 1992, result 9.3.1). The
+    first term needs the variance of ``y`` within the first phase's strata: sums of
+    squares come from conditional weights, squares of totals are those of the estimated
+    totals less their own conditional variance. A pool of one unit gives 0, a negative
+    first term counts as 0.
+    """
+    first = second.meta.get("previous_phase")
+    if first is None or first.meta.get("previous_phase") is not None:
+        raise ExportError("a two-phase variance needs exactly two phases")
+    (kind1, strata1), (kind2, strata2) = _phase(first, "first"), _phase(second, "second")
+    v = F.col(y).cast("double")
+    w1, w2 = F.col("_weight") / F.col("_weight_1"), F.col("_weight_1")
+    rows = second.df.select(_named(strata1).alias("h"), _named(strata2).alias("g"), w1.alias("w1"), w2.alias("w2"), v.alias("y"), F.col("_fpc_1").alias("pop2"))
+    z, both = F.col("w2") * F.col("y"), F.col("w1") * F.col("w2") * F.col("y")
+    if kind2 == "poisson":
+        given = rows.agg(F.sum((1 - 1 / F.col("w2")) * both * both).alias("v2"))
+        inside = rows.groupBy("h").agg(F.sum((1 - 1 / F.col("w2")) * z * z).alias("v"))
+    else:
+        left = lambda n: (1 - n / F.col("pop2")) * n
+        pools = rows.groupBy("g").agg(F.count("*").alias("n2"), F.first("pop2").alias("pop2"), F.var_samp(both).alias("s2"))
+        given = pools.agg(F.sum(F.when(F.col("n2") > 1, left(F.col("n2")) * F.col("s2")).otherwise(0.0)).alias("v2"))
+        # units of a pool outside a stratum count as 0 in its total
+        cells = rows.groupBy("h", "g").agg(F.sum(z).alias("z"), F.sum(z * z).alias("zz")).join(pools.select("g", "n2", "pop2"), "g")
+        s2 = (F.col("zz") - F.col("z") * F.col("z") / F.col("n2")) / F.nullif(F.col("n2") - 1, F.lit(0))
+        inside = cells.groupBy("h").agg(F.sum(F.coalesce(left(F.col("n2")) * s2, F.lit(0.0))).alias("v"))
+    total = rows.agg(F.sum(both).alias("estimate"))
+    if kind1 == "poisson":
+        before = rows.agg(F.sum(F.col("w2") * F.col("w1") * (F.col("w1") - 1) * F.col("y") * F.col("y")).alias("v1"))
+    else:
+        sizes = first.df.groupBy(_named(strata1).alias("h")).agg(F.count("*").alias("n"), F.first("_fpc_1").alias("pop"))
+        sums = rows.groupBy("h").agg(F.sum(z).alias("t"), F.sum(z * F.col("y")).alias("q"))
+        by = sizes.join(sums, "h").join(inside, "h")
+        s2 = (F.col("q") - (F.col("t") * F.col("t") - F.col("v")) / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
+        term = F.col("pop") * F.col("pop") * (1 - F.col("n") / F.col("pop")) / F.col("n") * s2
+        before = by.agg(F.sum(F.coalesce(term, F.lit(0.0))).alias("v1"))
+    parts = total.crossJoin(F.broadcast(given)).crossJoin(F.broadcast(before))
+    return parts.select("estimate", F.sqrt(F.col("v2") + F.greatest("v1", F.lit(0.0))).alias("se"))
+
+
 def replicate_weights(sample: Sample, kind: str = "auto", replicates: int = 50, seed: int = 1, rho: float = 0.5) -> tuple[DataFrame, float]:
     """Rows with ``_rep`` and ``_rep_weight`` for each replicate, and the scale of squared
     deviations of replicate estimates.

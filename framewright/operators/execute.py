@@ -56,7 +56,8 @@ def continue_sample(sample: Sample, frame, *, unit_key=None, seed: int | None =
     frames = list(frame) if isinstance(frame, list | tuple) else [frame] * len(wanted)
     key = sample.unit_key if unit_key is None else [unit_key] if isinstance(unit_key, str) else list(unit_key)
     out = _run(sample.design, wanted, frames, key, sample.seed if seed is None else seed, sample.df, None, None, validate)
-    return replace(out, stages=[*sample.stages, *wanted], meta=out.meta | {"continued_from": sample.stages})
+    earlier = {k: v for k, v in sample.meta.items() if k in ("reps", "previous_phase")}
+    return replace(out, stages=[*sample.stages, *wanted], meta=out.meta | earlier | {"continued_from": sample.stages}, frames=[*sample.frames, *out.frames])
 
 
 def _run(design, wanted, frames, key, seed, before, panels, reps, validate) -> Sample:
@@ -72,10 +73,11 @@ def _run(design, wanted, frames, key, seed, before, panels, reps, validate) -> S
             raise FrameError("the frame already holds replicates")
         drawn = run_stage(design.plan, stage, frame, drawn, key, seed, i == len(wanted) - 1, reps if i == 0 else None)
         if method(design.stages[stage - 1].draw.method).fixed_size is False:
-            empty_pools(drawn, design.stages[stage - 1].draw.on_empty, stage)
+            empty_pools(drawn, design.stages[stage - 1].draw.on_empty, stage, reps if i == 0 else None)
     if panels:
         drawn = deal_panels(drawn, design.plan, wanted[-1], key, panels)
-    return Sample(drawn.withColumn("_stage", F.lit(wanted[-1])), design, list(wanted), seed, key, meta, frames)
+    drawn = drawn.withColumn("_stage", F.lit(wanted[-1]))
+    return Sample(drawn, design, list(wanted), seed, key, meta, frames, drawn=drawn, vouched=drawn)
 
 
 def as_frame(frame, design: Design) -> tuple[DataFrame, Sample | None]:

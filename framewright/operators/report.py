@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,12 +53,20 @@ def pool_table(design: Design, frame: DataFrame, stage: int = 1) -> DataFrame:
     return out.withColumn("chance_status", F.when(flat, "constant").otherwise("varying")).withColumn("chance", F.when(flat, F.col("_low"))).drop("_low", "_high")
 
 
-def stage_table(design: Design, frame: DataFrame) -> DataFrame:
-    """A row for each stage of an ex-ante report."""
+def stage_frame(sample: Sample, stage: int) -> DataFrame:
+    """The frame that a stage of the sample was drawn from."""
+    frame = sample.frames[min(stage, len(sample.frames)) - 1]
+    return frame.df if isinstance(frame, Sample) else frame
+
+
+def stage_table(design: Design, frame: DataFrame | list[DataFrame]) -> DataFrame:
+    """A row for each stage of an ex-ante report; ``frame`` is one for all stages, or a
+    list of one for each stage that is wanted."""
     rows = None
-    for k, s in enumerate(design.stages, 1):
+    many = frame if isinstance(frame, list) else [frame] * len(design.stages)
+    for k, (s, listing) in enumerate(zip(design.stages, many, strict=False), 1):
         m = method(s.draw.method)
-        one = pool_table(design, frame, k).agg(F.count("*").alias("n_pools"), F.sum("N").alias("N"), F.sum("n_target").alias("n_target"), F.sum("n_expected").alias("n_expected"), F.count_if(F.col("chance_status") == "varying").alias("_varying"))
+        one = pool_table(design, listing, k).agg(F.count("*").alias("n_pools"), F.sum("N").alias("N"), F.sum("n_target").alias("n_target"), F.sum("n_expected").alias("n_expected"), F.count_if(F.col("chance_status") == "varying").alias("_varying"))
         one = one.select(F.lit(k).alias("stage"), F.lit("cluster" if s.clusters else "element").alias("unit_level"), F.lit("expected_hits" if m.multi_hit else "inclusion").alias("chance_kind"), F.lit(m.probabilities).alias("probabilities"), F.when((F.col("_varying") > 0) | F.lit(bool(s.clusters)), "units").otherwise("constant").alias("storage"), "n_pools", "N", "n_target", "n_expected")
         rows = one if rows is None else rows.unionByName(one)
     return rows
@@ -69,9 +77,7 @@ def realized(sample: Sample, stage: int = 1) -> DataFrame:
     sample.check()
     design = sample.design
     s = design.stages[stage - 1]
-    frame = sample.frames[min(stage, len(sample.frames)) - 1]
-    if isinstance(frame, Sample):
-        frame = frame.df
+    frame = stage_frame(sample, stage)
     plan = pool_table(design, frame, stage)
     keys = distinct([*(c for c in design.plan.ancestors(stage) if c in frame.columns), *(s.strata.columns if s.strata else ())])
     unit = distinct([*(c for c in design.plan.ancestors(stage) if c in sample.df.columns), *(s.clusters.columns if s.clusters else sample.unit_key), *(c for c in sample.df.columns if c.startswith("_draw_") and int(c[6:]) <= stage), *(["_replicate"] if "_replicate" in sample.df.columns else [])])
@@ -96,10 +102,11 @@ def frame_summary(x: Design | Sample, frame: DataFrame | None = None, stage: int
         if detail == "pool":
             return realized(x, stage)
         if detail == "stage":
-            base = stage_table(x.design, frame or x.frames[0])
+            base = stage_table(x.design, frame or [stage_frame(x, k) for k in x.stages])
+            reps = ["_replicate"] if "_replicate" in x.df.columns else []
             rows = None
             for k in x.stages:
-                r = realized(x, k).agg(F.sum("n_realized").alias("n_realized")).withColumn("stage", F.lit(k))
+                r = realized(x, k).groupBy(*reps).agg(F.sum("n_realized").alias("n_realized")).withColumn("stage", F.lit(k))
                 rows = r if rows is None else rows.unionByName(r)
             return base.join(rows, "stage").withColumn("take_rate", as_double("n_realized") / as_double("N"))
         key = x.unit_key if not x.design.stages[stage - 1].clusters else list(x.design.stages[stage - 1].clusters.columns)
@@ -113,6 +120,41 @@ def frame_summary(x: Design | Sample, frame: DataFrame | None = None, stage: int
     return pool_table(x, frame, stage) if detail == "pool" else stage_chances(x, frame, stage, unit_key)
 
 
+@dataclass(frozen=True)
+class Digest:
+    """A sample's tables by stage and, for each stage that ran, by pool: of all its
+    replicates, and of the stages before a continuation as of those after it."""
+
+    stages: DataFrame
+    pools: DataFrame
+
+    def write(self, folder: str) -> None:
+        """Keep the digest, so that it is read when the frame is gone."""
+        self.stages.write.mode("overwrite").parquet(f"{folder}/stages")
+        self.pools.write.mode("overwrite").parquet(f"{folder}/pools")
+
+
+def frame_digest(sample: Sample) -> Digest:
+    """The digest of a sample. Pools of different stages differ in their columns: ``pool``
+    is a map of them by name, with values as text. Changed samples are refused."""
+    sample.check()
+    rows = None
+    for k in sample.stages:
+        r = realized(sample, k)
+        figures = ["N", "n_target", "n_expected", "chance_status", "chance", "n_realized", "take_rate"]
+        reps = [c for c in r.columns if c == "_replicate"]
+        names = [c for c in r.columns if c not in (*figures, *reps)]
+        pairs = [x for c in names for x in (F.lit(c), F.col(c).cast("string"))]
+        pool = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+        one = r.select(F.lit(k).alias("stage"), *reps, pool.alias("pool"), *(F.col(c).cast("double").alias(c) if c.startswith("n_t") else F.col(c) for c in figures))
+        rows = one if rows is None else rows.unionByName(one)
+    return Digest(frame_summary(sample, detail="stage"), rows)
+
+
+def read_digest(spark, folder: str) -> Digest:
+    return Digest(spark.read.parquet(f"{folder}/stages"), spark.read.parquet(f"{folder}/pools"))
+
+
 def chance_bins(design: Design, frame: DataFrame, stage: int = 1, bins: int = BINS) -> DataFrame:
     """``bin, n, chance``: at most ``bins`` bins of equal counts of each pool's sorted
     chances, with their means; a pool with one chance has one bin."""

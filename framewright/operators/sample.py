@@ -24,7 +24,10 @@ class Sample:
     """Rows of a sample in ``df``, and where they come from.
 
     Transforming methods keep the provenance and note what was changed; analysis
-    refuses a sample whose rows or protected columns were changed.
+    refuses a sample whose rows or protected columns were changed. ``drawn`` is the plan
+    of the rows as they were drawn, which hashed numbers always give again, and
+    ``vouched`` the rows known to agree with it: any others, such as those put in by
+    ``dataclasses.replace``, are compared with ``drawn`` when they are analysed.
     """
 
     df: DataFrame
@@ -35,16 +38,18 @@ class Sample:
     meta: dict[str, Any] = field(default_factory=dict)
     frames: list = field(default_factory=list, repr=False)
     marks: frozenset[str] = frozenset()
+    drawn: DataFrame | None = field(default=None, repr=False, compare=False)
+    vouched: DataFrame | None = field(default=None, repr=False, compare=False)
 
     @property
     def protected(self) -> list[str]:
         roles = {c for c, role, _ in self.design.plan.requirements() if role in ("strata", "clusters")}
         return sorted(c for c in self.df.columns if c in roles or INTERNAL.fullmatch(c))
 
-    def integrity(self) -> tuple[int, int, int]:
+    def integrity(self, columns: list[str] | None = None) -> tuple[int, int, int]:
         """Row count and order-free hashes of the protected columns: one by exclusive or,
         and a sum, for equal rows cancel out in the first."""
-        h = F.xxhash64(*self.protected)
+        h = F.xxhash64(*(columns or self.protected))
         return tuple(self.df.agg(F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0)) + 0, F.coalesce(F.sum(F.pmod(h, F.lit(1 << 32))), F.lit(0))).first())
 
     def _changed(self, df: DataFrame, mark: str) -> Sample | DataFrame:
@@ -52,6 +57,11 @@ class Sample:
             return df  # without its weight it is a plain frame
         return replace(self, df=df, marks=self.marks | {mark})
 
+    def _kept(self, df: DataFrame) -> Sample | DataFrame:
+        if "_weight" not in df.columns:
+            return df
+        return replace(self, df=df, vouched=df if self.df is self.vouched else self.vouched)
+
     def filter(self, condition) -> Sample | DataFrame:
         return self._changed(self.df.filter(condition), "rows")
 
@@ -63,18 +73,19 @@ class Sample:
     def select(self, *columns) -> Sample | DataFrame:
         df = self.df.select(*columns)
         lost = set(self.protected) - set(df.columns)
-        return self._changed(df, "columns") if lost else (replace(self, df=df) if "_weight" in df.columns else df)
+        return self._changed(df, "columns") if lost else self._kept(df)
 
     def withColumn(self, name: str, column) -> Sample | DataFrame:
         df = self.df.withColumn(name, column)
-        return self._changed(df, "columns") if name in self.protected else replace(self, df=df)
+        return self._changed(df, "columns") if name in self.protected else self._kept(df)
 
     def withColumnRenamed(self, old: str, new: str) -> Sample | DataFrame:
         df = self.df.withColumnRenamed(old, new)
-        return self._changed(df, "columns") if old in self.protected else replace(self, df=df)
+        return self._changed(df, "columns") if old in self.protected else self._kept(df)
 
     def join(self, other: DataFrame, on, how: str = "left") -> Sample | DataFrame:
         df = self.df.join(other, on, how)
+        # a left join keeps the rows unless a key of the other side repeats: analysis compares
         return replace(self, df=df) if how == "left" else self._changed(df, "rows")
 
     def groupBy(self, *columns):
@@ -85,18 +96,24 @@ class Sample:
         again = replace(self, df=df)
         if "_weight" not in df.columns or set(self.protected) - set(df.columns) or again.integrity() != self.integrity():
             raise SampleError("these are not the rows of the sample as drawn")
-        return again
+        return replace(again, vouched=df)
 
     def check(self) -> None:
         if self.marks:
             raise SampleError(f"the sample's {' and '.join(sorted(self.marks))} were changed; analyse it as drawn, and use domains for parts of it")
+        if self.drawn is not None and self.df is not self.vouched:
+            origin = replace(self, df=self.drawn)
+            if set(origin.protected) - set(self.df.columns) or self.integrity(origin.protected) != origin.integrity():
+                raise SampleError("these are not the rows of the sample as drawn")
 
     def check_single(self) -> None:
         if "_replicate" in self.df.columns:
             raise SampleError("several replicates: choose one with replicate(r)")
 
     def replicate(self, r: int) -> Sample:
-        return replace(self, df=self.df.where(F.col("_replicate") == r).drop("_replicate"), seed=self.seed + r - 1)
+        cut = lambda df: df.where(F.col("_replicate") == r).drop("_replicate")
+        df, drawn = cut(self.df), cut(self.drawn) if self.drawn is not None else None
+        return replace(self, df=df, seed=self.seed + r - 1, drawn=drawn, vouched=df if self.df is self.vouched else drawn)
 
     def with_ids(self) -> DataFrame:
         """The rows with ``_sample_id`` 1..n in key order (one sorted task for the numbers;

@@ -8,6 +8,7 @@ need, and their hits are joined back.
 from __future__ import annotations
 
 import hashlib
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import SelectionError
+from ..errors import SamplingWarning, SelectionError
 from ..functions.ordering import ordered
 from ..functions.prn import text_key, uniform, uniform_of
 from ..plans.methods import method
@@ -43,7 +44,10 @@ def first_n(units: DataFrame, pools: DataFrame, keys: list[str], by: list[Column
     """The first ``n`` of each pool. Up to the planner's threshold a literal bound on the
     rank lets each task keep that many rows of a pool only, before any shuffle; the exact
     size filters after."""
-    bound = largest_n(pools, n)
+    short = F.count_if(F.col("_pop") < F.floor("_target")) if {"_pop", "_target"} <= set(pools.columns) else F.lit(0)
+    bound, capped = (int(x or 0) for x in pools.agg(F.max(n), short).first())
+    if capped:
+        warnings.warn(f"{capped} pools have fewer units than were asked for: all of them are taken", SamplingWarning, stacklevel=2)
     ranked = units.withColumn("_rank", F.row_number().over(pool_window(keys).orderBy(*by))).where(F.col("_rank") <= bound)
     return ranked.where(F.col("_rank") <= F.col(n)).drop("_rank")
 

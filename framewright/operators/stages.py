@@ -145,13 +145,21 @@ def _constant(frame: DataFrame, plan: Plan, stage: int, keys: list[str]) -> Data
     return frame.groupBy(*distinct(keys)).agg(*(F.min(c).alias(c) for c in extra)) if extra else frame.select(*distinct(keys)).distinct()
 
 
-def empty_pools(drawn: DataFrame, on_empty: str, stage: int) -> None:
-    """Deal with a stage that drew nothing at all."""
-    if on_empty == "silent" or drawn.limit(1).count():
+def empty_pools(drawn: DataFrame, on_empty: str, stage: int, reps: int | None = None) -> None:
+    """Deal with a stage that drew nothing at all, or nothing in some replicates."""
+    if on_empty == "silent":
         return
-    if on_empty == "error":
-        raise SelectionError(f"stage {stage} selected nothing")
-    warnings.warn(f"stage {stage} selected nothing", SamplingWarning, stacklevel=2)
+    if reps:
+        # a row for each replicate, as many as the user asked for
+        found = {r[0] for r in drawn.select("_replicate").distinct().collect()}
+        lost = [r for r in range(1, reps + 1) if r not in found]
+        told = f"stage {stage} selected nothing in replicates {', '.join(map(str, lost))}" if lost else ""
+    else:
+        told = "" if drawn.limit(1).count() else f"stage {stage} selected nothing"
+    if told and on_empty == "error":
+        raise SelectionError(told)
+    if told:
+        warnings.warn(told, SamplingWarning, stacklevel=2)
 
 
 def panels(df: DataFrame, plan: Plan, stage: int, unit_key: list[str], k: int) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import FrameError
+from ..errors import FrameError, SamplingWarning
 from ..functions.ordering import term_columns
 from ..plans.design import Design
 
@@ -55,13 +57,17 @@ def figures(frame: DataFrame, design: Design, stage: int) -> tuple[list[str], li
     return issues, tests
 
 
-def issues_of(design: Design, frame: DataFrame, stage: int, key: list[str] | None = None) -> list[str]:
+def issues_of(design: Design, frame: DataFrame, stage: int, key: list[str] | None = None, notes: list[str] | None = None) -> list[str]:
+    """Issues of a stage's frame; what is doubtful but no error goes to ``notes``."""
     issues, tests = figures(frame, design, stage)
+    zeros = [c for c in roles(design, stage).get("mos", []) if notes is not None and c in frame.columns and isinstance(frame.schema[c].dataType, NUMERIC)]
     tests += [(f"unit key column {c!r} has nulls", F.count_if(F.col(c).isNull()), lambda n: n > 0) for c in key or ()]
-    row = frame.agg(F.count("*"), *(t[1].alias(f"t{i}") for i, t in enumerate(tests))).first()
+    row = frame.agg(F.count("*"), *(t[1].alias(f"t{i}") for i, t in enumerate(tests)), *(F.count_if(F.col(c) == 0).alias(f"z{i}") for i, c in enumerate(zeros))).first()
     if row[0] == 0:
         return [*issues, "the frame is empty"]
-    return issues + [t[0] for t, x in zip(tests, row[1:], strict=True) if t[2](x)]
+    if notes is not None:
+        notes += [f"mos column {c!r} is 0 in {n} of {row[0]} rows: they cannot be drawn" for c, n in zip(zeros, row[1 + len(tests) :], strict=True) if n]
+    return issues + [t[0] for t, x in zip(tests, row[1 : 1 + len(tests)], strict=True) if t[2](x)]
 
 
 def check_frame(design: Design, frame: DataFrame, stage: int, key: list[str]) -> None:
@@ -72,9 +78,12 @@ def check_frame(design: Design, frame: DataFrame, stage: int, key: list[str]) ->
     clusters = [c for c in design.plan.ancestors(stage) if c not in frame.columns]
     if clusters:
         raise FrameError(f"ancestor cluster columns {clusters} are missing")
-    issues = issues_of(design, frame, stage, key)
+    notes: list[str] = []
+    issues = issues_of(design, frame, stage, key, notes)
     if issues:
         raise FrameError(f"stage {stage}: " + "; ".join(issues), issues)
+    for note in notes:
+        warnings.warn(f"stage {stage}: {note}", SamplingWarning, stacklevel=5)
 
 
 def validate_frame(design: Design, frame: DataFrame, stages: list[int] | None = None, unit_key=None) -> dict[int, list[str]]:

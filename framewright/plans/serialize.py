@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
+import warnings
 from dataclasses import asdict
 from datetime import UTC, datetime
 
 import pyspark
 
-from ..errors import ReplayError
+from ..errors import ReplayError, SamplingWarning
 from ..functions.ordering import Asc, Desc, Serp
 from .design import Design
 from .methods import method
@@ -102,7 +104,8 @@ def read_design(source: str) -> tuple[Design, dict]:
 
 def replay_design(source: str, frame, on_difference: str = "error"):
     """Draw a recorded sample again. Numbers are hashed, so the same frame gives the same
-    rows; a frame with another fingerprint is refused unless told to ``ignore``."""
+    rows. A frame with another fingerprint is an ``error``; ``warn`` and ``inform`` (a log
+    record) go on after telling, ``ignore`` does not look."""
     from ..operators.validate import fingerprint, fingerprint_differences
 
     design, x = read_design(source)
@@ -111,9 +114,16 @@ def replay_design(source: str, frame, on_difference: str = "error"):
         raise ReplayError("this file has no receipt of an execution")
     if receipt["chained"]:
         raise ReplayError("a later phase or a continuation needs its earlier sample")
-    if x.get("frame") and on_difference == "error":
+    if on_difference not in ("error", "warn", "inform", "ignore"):
+        raise ReplayError(f"on_difference is error, warn, inform or ignore, not {on_difference!r}")
+    if x.get("frame") and on_difference != "ignore":
         frames = frame[0] if isinstance(frame, list) else frame
         found = fingerprint_differences(x["frame"], fingerprint(frames))
-        if found:
-            raise ReplayError("the frame is not the one recorded: " + "; ".join(found))
+        told = "the frame is not the one recorded: " + "; ".join(found)
+        if found and on_difference == "error":
+            raise ReplayError(told)
+        if found and on_difference == "warn":
+            warnings.warn(told, SamplingWarning, stacklevel=2)
+        elif found:
+            logging.getLogger(__name__).info(told)
     return design.execute(frame, receipt["unit_key"], stages=receipt["stages"], seed=receipt["seed"], panels=receipt["panels"], reps=receipt["reps"])

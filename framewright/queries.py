@@ -14,6 +14,7 @@ from .operators import coordinate, estimate, joint, report
 from .operators.pools import pool_sizes
 from .operators.validate import fingerprint_differences, issues_of
 from .plans import bound, sampling_design
+from .plans.serialize import design_json, replay_design
 from .sources import table
 from .streaming import stream_bernoulli, stream_poisson
 
@@ -517,6 +518,48 @@ def frame_drift(spark, d):
     return report.pool_drift(by_priority(n=20), old, old.where("o_orderstatus <> 'P'")).select(PRIORITY, F.col("N_before").alias("before"), F.col("N_now").alias("now"))
 
 
+@query(f"""WITH p AS (SELECT o_orderpriority, count(*) AS pop FROM orders GROUP BY 1), h AS (SELECT r, o_orderpriority, count(*) AS n FROM orders, range(1, 4) t(r)
+WHERE ((('0x' || substr(md5(({SEED} + r - 1) || ':1:' || o_orderkey), 1, 12))::BIGINT::DOUBLE + 0.5) / {float(1 << 48)!r}) < 0.002 GROUP BY 1, 2)
+SELECT r::INT AS replicate, o_orderpriority, pop, round(0.002 * pop, 6) AS n_expected, coalesce(n, 0) AS n_realized FROM range(1, 4) t(r), p LEFT JOIN h USING (r, o_orderpriority)""".replace("FROM range(1, 4) t(r), p LEFT", "FROM (SELECT * FROM range(1, 4) t(r), p) LEFT"))
+def digest_replicates(spark, d):
+    s = by_priority(frac=0.002, method="bernoulli", on_empty="silent").execute(orders(spark, d), "o_orderkey", seed=SEED, reps=3)
+    return report.frame_digest(s).pools.select(F.col("_replicate").alias("replicate"), F.col("pool")[PRIORITY].alias(PRIORITY), F.col("N").alias("pop"), F.round("n_expected", 6).alias("n_expected"), "n_realized")
+
+
+@query(f"""WITH {CLUSTERS}, e AS (SELECT o_custkey, count(*) AS pop FROM orders JOIN kc USING (o_custkey) GROUP BY 1)
+SELECT 1 AS stage, NULL::VARCHAR AS o_custkey, count(*) AS pop, 40::BIGINT AS n_realized FROM k UNION ALL SELECT 2, o_custkey::VARCHAR, pop, least(3, pop) FROM e""")
+def digest_continuation(spark, d):
+    design = sampling_design().add_stage().cluster_by("o_custkey").draw(n=40).add_stage().draw(n=3)
+    o = orders(spark, d)
+    s = design.execute(o, "o_orderkey", stages=[1], seed=SEED).execute(o)
+    return report.frame_digest(s).pools.select("stage", F.col("pool")["o_custkey"].alias("o_custkey"), F.col("N").alias("pop"), "n_realized")
+
+
+@query(f"""WITH {PART}, a AS (SELECT p_brand, least(0.3 * count(*) OVER w * p_size::DOUBLE / sum(p_size) OVER w, 1.0) AS pi FROM p WINDOW w AS (PARTITION BY p_brand)),
+b AS (SELECT p_brand, least(0.3 * count(*) OVER w * p_size::DOUBLE / sum(p_size) OVER w, 1.0) AS pi FROM p WHERE p_size <> 50 OR p_brand > 'Brand#3' WINDOW w AS (PARTITION BY p_brand)),
+x AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY pi) AS i FROM a), y AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY pi) AS i FROM b),
+g AS (SELECT p_brand, max(abs(coalesce(x.pi, 0) - coalesce(y.pi, 0))) AS m FROM x FULL JOIN y USING (p_brand, i) GROUP BY 1) SELECT p_brand, round(m, 9) AS largest_change FROM g WHERE m > 1e-9""")
+def chance_drift(spark, d):
+    design = sampling_design().stratify_by("p_brand").draw(frac=0.3, method="pps_poisson", mos="p_size")
+    p = part(spark, d)
+    return report.chance_drift(design, p, p.where("p_size <> 50 or p_brand > 'Brand#3'")).select("p_brand", F.round("largest_change", 9).alias("largest_change"))
+
+
+@query("SELECT min(p_size)::INT AS p_size_min, max(p_size)::INT AS p_size_max, round(min(p_retailprice), 2) AS p_retailprice_min, round(max(p_retailprice), 2) AS p_retailprice_max, count(*) - count(DISTINCT (p_size, p_retailprice)) AS duplicates FROM part")
+def spatial_ranges(spark, d):
+    design = sampling_design().draw(n=40, method="lpm2", spread=["p_size", "p_retailprice"])
+    out = report.spatial_diagnostics(part(spark, d), design)
+    return out.select(*(F.col(f"p_size_{x}").cast("int").alias(f"p_size_{x}") for x in ("min", "max")), *(F.round(f"p_retailprice_{x}", 2).alias(f"p_retailprice_{x}") for x in ("min", "max")), "duplicates")
+
+
+@query(_oracles["srswor_stratified"])
+def replayed_design(spark, d):
+    """A sample drawn again from the JSON of its design and receipt."""
+    o = orders(spark, d)
+    design = sampling_design("Orders by priority").stratify_by(PRIORITY, alloc="proportional").draw(n=100)
+    return drawn(replay_design(design_json(design.execute(o, "o_orderkey", seed=SEED), o), o), "o_orderkey", PRIORITY)
+
+
 _STRAT = f"""r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {u('o_orderkey')}, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS pop FROM orders),
 s AS (SELECT *, pop / 20.0 AS w FROM r WHERE rn <= 20)"""
 
@@ -608,11 +651,31 @@ def two_phase_weights(spark, d):
     return estimate.two_phase(second).select("o_orderkey", F.col("_phase2").alias("phase2"), F.round("_weight_conditional", 6).alias("conditional"))
 
 
+@query(f"""WITH a AS (SELECT *, row_number() OVER (ORDER BY {u('o_orderkey')}, o_orderkey) AS rn, count(*) OVER () AS pop FROM orders), f AS (SELECT * FROM a WHERE rn <= 400),
+b AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {u('o_orderkey', 1, SEED + 1)}, o_orderkey) AS rn2, count(*) OVER (PARTITION BY o_orderstatus) AS p2 FROM f),
+s AS (SELECT o_orderstatus, o_totalprice AS y, pop / 400.0 AS w1, p2, p2 / least(10, p2)::DOUBLE AS w2 FROM b WHERE rn2 <= 10),
+g AS (SELECT any_value(w1) AS w1, sum(w2 * y) AS t, sum(w2 * y * y) AS q, coalesce((1 - count(*) / any_value(p2)::DOUBLE) * count(*) * var_samp(w2 * y), 0) AS v FROM s GROUP BY o_orderstatus)
+SELECT round(any_value(w1) * sum(t), 0) AS estimate, round(sqrt(any_value(w1) ** 2 * sum(v) + (any_value(w1) * 400) ** 2 * (1 - 1 / any_value(w1)) / 400 * (sum(q) - (sum(t) ** 2 - sum(v)) / 400) / 399), 0) AS se FROM g""")
+def two_phase_se(spark, d):
+    first = sampling_design().draw(n=400).execute(orders(spark, d), "o_orderkey", seed=SEED)
+    second = sampling_design().stratify_by("o_orderstatus").draw(n=10).execute(first, "o_orderkey", seed=SEED + 1)
+    return estimate.two_phase_total(second, "o_totalprice").select(F.round("estimate").alias("estimate"), F.round("se").alias("se"))
+
+
 @query(f"WITH {_STRAT} SELECT round(count(*) * sum(w * w) / sum(w) ** 2, 9) AS deff FROM s")
 def deff_kish(spark, d):
     return estimate.design_effect(stratified(spark, d)).select(F.round("deff", 9).alias("deff"))
 
 
+@query(f"""WITH {CLUSTERS}, k2 AS (SELECT o_custkey, count(*)::DOUBLE AS m, avg(o_totalprice) AS a, coalesce(var_samp(o_totalprice), 0) AS v FROM orders JOIN kc USING (o_custkey) GROUP BY 1),
+t AS (SELECT count(*) AS g, sum(m) AS n, sum(m * m) AS mm, sum((m - 1) * v) AS w, sum(m * a) AS s, sum(m * a * a) AS ss FROM k2),
+x AS (SELECT g, n, (n - mm / n) / (g - 1) AS m0, (ss - s * s / n) / (g - 1) AS b, w / (n - g) AS w FROM t)
+SELECT round(1 + (n / g - 1) * (b - w) / (b + (m0 - 1) * w), 6) AS deff FROM x""")
+def deff_cluster(spark, d):
+    s = sampling_design().cluster_by("o_custkey").draw(n=40).execute(orders(spark, d), "o_orderkey", seed=SEED)
+    return estimate.design_effect(s, "o_totalprice", "cluster").select(F.round("deff", 6).alias("deff"))
+
+
 @query(f"WITH {_STRAT} SELECT round(sum(w) ** 2 / sum(w * w), 9) AS n_eff FROM s")
 def effective_n(spark, d):
     return estimate.effective_n(stratified(spark, d)).select(F.round("n_eff", 9).alias("n_eff"))

@@ -559,3 +559,100 @@ def test_monte_carlo(frame):
         warnings.simplefilter("ignore")
         se = estimate.svytotal(many.replicate(1), "income").first()["se"]
     assert 0.7 < se / t.std() < 1.4
+
+
+def test_two_phase_variance_has_both_ends(frame):
+    few = sampling_design().stratify_by("region").draw(n=12)
+    all_of = sampling_design().draw(n=200)
+    first = few.execute(frame, "id", seed=3)
+    whole = sampling_design("again").stratify_by("region").draw(n=50)
+    with pytest.warns(errors.SamplingWarning, match="fewer units"):
+        second = whole.execute(first, "id", seed=4)
+    a, b = estimate.two_phase_total(second, "income").first(), estimate.svytotal(first, "income").first()
+    assert math.isclose(a["estimate"], b["estimate"]) and math.isclose(a["se"], b["se"])
+    second = few.execute(all_of.execute(frame, "id", seed=3), "id", seed=4)
+    a, b = estimate.two_phase_total(second, "income").first(), estimate.svytotal(few.execute(frame, "id", seed=4), "income").first()
+    assert math.isclose(a["estimate"], b["estimate"]) and math.isclose(a["se"], b["se"])
+    clusters = sampling_design().cluster_by("ea").draw(n=5).execute(first, "id", seed=5)
+    with pytest.raises(errors.ExportError, match="two-phase"):
+        estimate.two_phase_total(clusters, "income")
+    with pytest.raises(errors.ExportError, match="two phases"):
+        estimate.two_phase_total(first, "income")
+
+
+def test_two_phase_variance_by_simulation():
+    """The formula of two simple phases, in numpy, against what estimates do."""
+    rng = np.random.default_rng(5)
+    y, pool = rng.gamma(2.0, size=300), np.arange(300) % 3
+    found, guessed = [], []
+    for _ in range(3000):
+        one = rng.choice(300, 90, replace=False)
+        t = q = v = 0.0
+        for g in range(3):
+            inside = one[pool[one] == g]
+            two = y[rng.choice(inside, 8, replace=False)]
+            w = len(inside) / 8
+            t, q, v = t + w * two.sum(), q + w * (two**2).sum(), v + (1 - 1 / w) * 8 * (w * two).var(ddof=1)
+        found.append(300 / 90 * t)
+        guessed.append((300 / 90) ** 2 * v + 300**2 * (1 - 0.3) / 90 * (q - (t * t - v) / 90) / 89)
+    assert abs(np.mean(guessed) / np.var(found) - 1) < 0.08 and abs(np.mean(found) / y.sum() - 1) < 0.01
+
+
+def test_rows_put_in_by_hand_are_found(frame):
+    from dataclasses import replace
+
+    sample = sampling_design().stratify_by("region").draw(n=5).execute(frame, "id", seed=2)
+    estimate.svytotal(sample.withColumn("twice", F.col("y") * 2), "twice")
+    estimate.svytotal(replace(sample, df=sample.df.orderBy("id")), "y")
+    for changed in (sample.df.withColumn("_weight", F.lit(1.0)), sample.df.where("id % 2 = 0"), sample.df.union(sample.df), sample.df.drop("region")):
+        with pytest.raises(errors.SampleError, match="as drawn"):
+            estimate.svytotal(replace(sample, df=changed), "y")
+    other = frame.select("region", F.lit(1).alias("more"))
+    with pytest.raises(errors.SampleError, match="as drawn"):
+        estimate.svytotal(sample.join(other, "region"), "y")
+    estimate.svytotal(sample.join(other.distinct(), "region"), "more")
+    many = sampling_design().draw(n=5).execute(frame, "id", reps=2)
+    estimate.svytotal(many.replicate(2), "y")
+    with pytest.raises(errors.SampleError, match="as drawn"):
+        replace(many, df=many.df.limit(7)).replicate(2).check()
+
+
+def test_digests_are_merged_and_kept(spark, frame, tmp_path):
+    design = sampling_design().add_stage().cluster_by("ea").draw(n=4).add_stage().draw(n=3)
+    other = frame.where("ea < 100")
+    first = design.execute(frame, "id", stages=[1], seed=2)
+    sample = first.execute(other)
+    assert sample.frames == [frame, other]
+    digest = report.frame_digest(sample)
+    digest.write(str(tmp_path))
+    again = report.read_digest(spark, str(tmp_path))
+    assert [(r["stage"], r["N"], r["n_realized"]) for r in again.pools.orderBy("stage").collect()] == [(1, 20, 4)] + [(2, 10, 3)] * 4
+    assert {r["stage"]: r["n_realized"] for r in again.stages.collect()} == {1: 4, 2: 12}
+    many = sampling_design().stratify_by("region").draw(frac=0.05, method="bernoulli", on_empty="silent").execute(frame, "id", reps=3)
+    found = report.frame_digest(many)
+    assert found.pools.count() == 12 and found.stages.count() == 3
+    assert found.pools.agg(F.sum("n_realized")).first()[0] == many.df.count() == found.stages.agg(F.sum("n_realized")).first()[0]
+    with pytest.raises(errors.SampleError):
+        report.frame_digest(sample.filter("id > 3"))
+
+
+def test_doubts_are_told(frame):
+    with pytest.warns(errors.SamplingWarning, match="is 0 in 16 of 200 rows"):
+        sampling_design().draw(n=5, method="pps_sps", mos="y").execute(frame, "id")
+    with pytest.warns(errors.SamplingWarning, match="4 pools have fewer"):
+        assert sampling_design().stratify_by("region").draw(n=60).execute(frame, "id").df.count() == 200
+    rare = sampling_design().draw(frac=0.004, method="bernoulli", on_empty="error")
+    with pytest.raises(errors.SelectionError, match="in replicates"):
+        rare.execute(frame, "id", reps=10)
+    sample = sampling_design().draw(n=5).execute(frame, "id", seed=2)
+    text, changed = design_json(sample, frame), frame.withColumn("y", F.col("y") + 1)
+    with pytest.raises(errors.ReplayError, match="not the one recorded"):
+        replay_design(text, changed)
+    with pytest.warns(errors.SamplingWarning, match="not the one recorded"):
+        replay_design(text, changed, "warn")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        for mode in ("inform", "ignore"):
+            assert replay_design(text, changed, mode).df.count() == 5
+    with pytest.raises(errors.ReplayError, match="on_difference"):
+        replay_design(text, changed, "perhaps")
