@@ -651,7 +651,7 @@ def test_doubts_are_told(frame):
     with pytest.warns(errors.SamplingWarning, match="not the one recorded"):
         replay_design(text, changed, "warn")
     with warnings.catch_warnings():
-        warnings.simplefilter("error")
+        warnings.simplefilter("error", errors.SamplingWarning)
         for mode in ("inform", "ignore"):
             assert replay_design(text, changed, mode).df.count() == 5
     with pytest.raises(errors.ReplayError, match="on_difference"):
