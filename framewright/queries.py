@@ -173,7 +173,8 @@ _certain_rest = capped_sql("rest", "p_brand", "p_partkey", "p_size", "n0")
 rest AS (SELECT * FROM k WHERE NOT certain), {_certain_rest}
 SELECT p_brand, p_partkey, 1.0 AS chance, TRUE AS certainty FROM k WHERE certain UNION ALL SELECT p_brand, p_partkey, round(pi, 9), FALSE FROM c""")
 def chance_certainty_size(spark, d):
-    design = sampling_design().stratify_by("p_brand").draw(n=30, method="pps_sps", mos="p_size", certainty_size=CERTAIN)
+    """As its SQL has it: where more units than draws are certain, all of them stay."""
+    design = sampling_design().stratify_by("p_brand").draw(n=30, method="pps_sps", mos="p_size", certainty_size=CERTAIN, certainty_overflow="allow")
     return report.stage_chances(design, part(spark, d), 1, "p_partkey").select("p_brand", "p_partkey", F.round("chance", 9).alias("chance"), "certainty")
 
 

@@ -24,6 +24,20 @@ def test_query_and_sql_agree(spark, name):
     assert rows_of(engine.queries()[name](spark, SF).toPandas()) == rows_of(db.sql(engine.oracle_sql()[name]).df())
 
 
+def repeated(folder, name, key, times, where="true"):
+    """A copy of a smallest table, repeated with shifted keys, and a database that sees it."""
+    db = duckdb.connect()
+    db.sql(f"create view {name} as select t.* replace (({key} + 1000000 * r)::BIGINT as {key}) from '{SF}/{name}.parquet' t, range({times}) r(r) where {where}")
+    db.sql(f"copy {name} to '{folder}/{name}.parquet' (format parquet)")
+    return db
+
+
+def test_more_certain_units_than_draws(spark, tmp_path):
+    db = repeated(tmp_path, "part", "p_partkey", 12, "p_size > 44")
+    assert db.sql("select max(n) from (select count(*) n from part where p_size >= 49 group by p_brand)").fetchall()[0][0] > 30
+    assert rows_of(engine.queries()["chance_certainty_size"](spark, str(tmp_path)).toPandas()) == rows_of(db.sql(engine.oracle_sql()["chance_certainty_size"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__
 
