@@ -144,13 +144,15 @@ def _certain_or_first(units: DataFrame, pools: DataFrame, keys: list[str], key:
 def by_intervals(units: DataFrame, pools: DataFrame, keys: list[str], by: list[Column], unit_key: list[str], seed: Column, stage: int) -> DataFrame:
     """Draws with chances by size: a draw hits the first unit whose running sum reaches
     its point. Units and draws stand in one order, and each draw looks ahead for the
-    next unit, so no pair of them is formed that is not a hit."""
+    next unit, so no pair of them is formed that is not a hit. The order is from the last
+    point to the first: a window that grows is one pass, one that shrinks begins anew at
+    each row."""
     sized = running(units.where(F.col("_x") > 0), keys, by, F.col("_x"), "_upto")
     ends = sized.select(*keys, as_double("_upto").alias("_point"), F.struct(*unit_key).alias("_unit"), F.lit(None).cast("long").alias("_draw"))
     points = draws_of(pools, keys, seed, stage).select(*keys, (F.col("_v") * as_double("_xsum")).alias("_point"), F.lit(None).cast(ends.schema["_unit"].dataType).alias("_unit"), "_draw")
     line = ends.unionByName(points)
-    ahead = pool_window(keys).orderBy(F.col("_point"), F.col("_draw").asc_nulls_last()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    hits = line.withColumn("_hit", F.first("_unit", ignorenulls=True).over(ahead)).where(F.col("_draw").isNotNull() & F.col("_hit").isNotNull())
+    ahead = pool_window(keys).orderBy(F.col("_point").desc(), F.col("_draw").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = line.withColumn("_hit", F.last("_unit", ignorenulls=True).over(ahead)).where(F.col("_draw").isNotNull() & F.col("_hit").isNotNull())
     flat = hits.select(*keys, "_draw", *(F.col(f"_hit.{k}").alias(k) for k in unit_key if k not in keys))
     return sized.drop("_upto").join(flat, list(dict.fromkeys([*keys, *unit_key])))
 

@@ -38,6 +38,15 @@ def test_more_certain_units_than_draws(spark, tmp_path):
     assert rows_of(engine.queries()["chance_certainty_size"](spark, str(tmp_path)).toPandas()) == rows_of(db.sql(engine.oracle_sql()["chance_certainty_size"]).df())
 
 
+@pytest.mark.parametrize("name", ["pps_multinomial", "joint_multinomial"])
+def test_draws_by_intervals_are_one_pass(spark, tmp_path, name):
+    db = repeated(tmp_path, "part", "p_partkey", 20)
+    got = engine.queries()[name](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing", "")
+    assert rows_of(got.toPandas()) == rows_of(db.sql(engine.oracle_sql()[name]).df())
+
+
 def test_entry(spark):
     import __spark_entry__
 
