@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 import warnings
 
 import numpy as np
@@ -186,6 +187,30 @@ def test_algorithms_keep_their_chances():
     assert np.abs(np.mean(hits, 0) - expected).max() < 0.05
 
 
+@pytest.mark.parametrize("name", ["lpm2", "scps"])
+def test_spatial_draws_do_not_grow_by_the_square(name):
+    rng = np.random.default_rng(4)
+    took = []
+    for size in (2000, 16000):
+        spots = np.c_[rng.integers(1, 51, size), rng.random(size) * 1000]
+        start = time.process_time()
+        hits = algorithms.select_pool(name, np.full(size, 8 / size), rng, spots=spots)
+        took.append(time.process_time() - start)
+        assert hits.sum() == 8
+    assert took[1] < 25 * took[0]  # 8 times the units; all pairs would be 64 times the work
+
+
+def test_spatial_draws_spread_out():
+    rng = np.random.default_rng(5)
+    spots = np.array([(i % 40, i // 40) for i in range(1600)], float)
+    for copies in (1, 3):
+        many = np.tile(spots, (copies, 1))
+        for name in ("lpm2", "scps"):
+            hits = algorithms.select_pool(name, np.full(len(many), 16 / len(many)), rng, spots=many)
+            by = np.bincount((many[hits > 0] // 10 @ [1, 4]).astype(int), minlength=16)
+            assert hits.sum() == 16 and by.max() <= 3 and (by == 0).sum() <= 6, name
+
+
 def test_cube_balances_and_bounds(spark, frame):
     s = sampling_design().draw(n=40, method="cube", aux=["income", "y"]).execute(frame, "id", seed=5)
     for r in report.balance_diagnostics(s).collect():
