@@ -47,6 +47,13 @@ def test_draws_by_intervals_are_one_pass(spark, tmp_path, name):
     assert rows_of(got.toPandas()) == rows_of(db.sql(engine.oracle_sql()[name]).df())
 
 
+def test_pairs_of_one_pool_are_dealt_out(spark, tmp_path):
+    db = repeated(tmp_path, "part", "p_partkey", 20)
+    got = engine.queries()["joint_poisson"](spark, str(tmp_path))
+    assert rows_of(got.toPandas()) == rows_of(db.sql(engine.oracle_sql()["joint_poisson"]).df())
+    assert got.rdd.getNumPartitions() >= 16
+
+
 def test_entry(spark):
     import __spark_entry__
 
