@@ -43,7 +43,48 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Vocabulary:
+class Cutter:
+    """How a tokenizer file cuts texts into words: normaliser, special strings, white
+    space and pattern. It holds no vocabulary, so it is there at once."""
+
+    def __init__(self, spec: dict) -> None:
+        check_spec(spec)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.letters = byte_letters()
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.white = re.compile(SPACES)
+        self.words = regex.compile(pattern.replace(r"\s", SPACES[1:-2]), regex.V0)
+        # the same pattern over the characters below 256, for Python's faster engine
+        below = {k: "".join(re.escape(c) for c in map(chr, range(256)) if unicodedata.category(c)[0] == k) for k in "LN"}
+        self.latin = re.compile(pattern.replace(r"\p{L}", below["L"]).replace(r"\p{N}", below["N"]).replace(r"\s", r"\t-\r \x85\xa0"))
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def split(self, text: str) -> list[str | int]:
+        """The pieces between white space of a text after normalisation, and special ids
+        where their strings stand. No word reaches across white space, so it need not be
+        made uniform, and a piece has the same words wherever it stands."""
+        found: list[str | int] = []
+        for piece in self.specials.split(text) if self.specials and "<" in text else (text,):
+            if piece in self.special:
+                found.append(self.special[piece])
+                continue
+            if not piece.isascii():
+                piece = unicodedata.normalize("NFC", piece)
+            piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
+            # Python also splits at four control characters, which are no white space here
+            odd = any(c in piece for c in "\x1c\x1d\x1e\x1f")
+            found += filter(None, self.white.split(piece)) if odd else piece.split()
+        return found
+
+    def words_of(self, piece: str) -> list[str]:
+        return (self.latin if latin(piece) else self.words).findall(piece)
+
+    def lettered(self, word: str) -> str:
+        """A word in byte letters; visible ASCII stands for itself."""
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+
+
+class Vocabulary(Cutter):
     """A byte-level BPE vocabulary with a word-end mark, from a tokenizer file.
 
     Words are strings of byte letters; ``mid`` are tokens inside a word and ``last``
@@ -52,22 +93,12 @@ class Vocabulary:
     """
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        check_spec(spec)
+        spec = spec_of(path)
+        super().__init__(spec)
         model = spec["model"]
         self.mark = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.letters = byte_letters()
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.white = re.compile(SPACES)
-        self.words = regex.compile(pattern.replace(r"\s", SPACES[1:-2]), regex.V0)
-        # the same pattern over the characters below 256, for Python's faster engine
-        below = {k: "".join(re.escape(c) for c in map(chr, range(256)) if unicodedata.category(c)[0] == k) for k in "LN"}
-        self.latin = re.compile(pattern.replace(r"\p{L}", below["L"]).replace(r"\p{N}", below["N"]).replace(r"\s", r"\t-\r \x85\xa0"))
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {(self.ids[a], self.ids[b]): (k, self.ids[a + b]) for k, (a, b) in reversed([*enumerate(merges)]) if a in self.ids and b in self.ids and a + b in self.ids}
         size = max(self.names) + 1
@@ -288,30 +319,6 @@ class Vocabulary:
             proposals[i] = ids
         self.cache.update(zip(words, map(tuple, proposals), strict=True))
 
-    def split(self, text: str) -> list[str | int]:
-        """The pieces between white space of a text after normalisation, and special ids
-        where their strings stand. No word reaches across white space, so it need not be
-        made uniform, and a piece has the same words wherever it stands."""
-        found: list[str | int] = []
-        for piece in self.specials.split(text) if self.specials and "<" in text else (text,):
-            if piece in self.special:
-                found.append(self.special[piece])
-                continue
-            if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece)
-            piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
-            # Python also splits at four control characters, which are no white space here
-            odd = any(c in piece for c in "\x1c\x1d\x1e\x1f")
-            found += filter(None, self.white.split(piece)) if odd else piece.split()
-        return found
-
-    def words_of(self, piece: str) -> list[str]:
-        return (self.latin if latin(piece) else self.words).findall(piece)
-
-    def lettered(self, word: str) -> str:
-        """A word in byte letters; visible ASCII stands for itself."""
-        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-
     def known(self, words: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each word; those seen lately come from two generations of cache."""
         if len(self.cache) > CACHE_WORDS:
@@ -359,6 +366,11 @@ class Vocabulary:
             return " ".join(self.names[i] for i in ids if i in self.names)
 
 
+def spec_of(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
 def check_spec(spec: dict) -> None:
     """Refuse a tokenizer file that asks for anything else than what is done here."""
     normal = [{k: v for k, v in n.items() if k != "pattern"} | {"pattern": n.get("pattern", {}).get("Regex")} for n in (spec["normalizer"] or {}).get("normalizers", [])]

@@ -16,6 +16,7 @@ rule; the sequence, its symbols in as few bytes each (2, 3 or 4) as hold them.
 
 from __future__ import annotations
 
+import string
 import struct
 import uuid
 import zlib
@@ -23,14 +24,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .bpe import groups, vocabulary
+from .bpe import Cutter, groups, latin, spec_of
 from .common import saved, scratch, text_or_empty, tokenizer_path
 
 MAGIC = b"RPIDS002"
@@ -39,10 +39,9 @@ MAGIC = b"RPIDS002"
 SHARD_IDS, LEAST = 1 << 20, 5
 #: Symbols that one call of a reader expands at most, but for a longer document.
 READ_SYMBOLS = 1 << 16
-#: Pieces in each of two generations of a worker's cache, and words: about 200 bytes each.
-CACHE = 400_000
-_BUCKETS = 20
-_MIX = np.int64(0x1E3779B97F4A7C15)
+#: Pieces in each of two generations of a worker's cache: about 200 bytes each.
+CACHE = 600_000
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 _models: dict[str, object] = {}
 
 
@@ -81,58 +80,82 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> Grammar
     lefts, rights, made = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     dead, on = np.zeros(n, bool), np.zeros(n, bool)
     live = np.flatnonzero(after < n).astype(np.int32)
-    while len(live):
-        pair = sequence[live] << 32 | sequence[after[live]]
-        if len(live) > 1 << 16:  # a pair can stand often enough only if its bucket does
-            bucket = (pair * _MIX).view(np.uint64) >> np.uint64(64 - _BUCKETS)
-            often = (np.bincount(bucket.view(np.int64), minlength=1 << _BUCKETS) >= least)[bucket]
-            live, pair = live[often], pair[often]
-        which, pairs = pd.factorize(pair, size_hint=len(pair) // 8)
-        count = np.bincount(which)[which]
-        often = count >= least
-        live, which, count = live[often], which[often], count[often]
-        if not len(live):
+    while len(live) >= least:
+        pairs, times, places = counted(sequence[live], sequence[after[live]], first + made, least)
+        if not len(pairs):
             break
+        which = np.full(len(live), -1, np.int32)
+        which[places] = np.repeat(np.arange(len(pairs), dtype=np.int32), times)
+        at = np.flatnonzero(which >= 0)
+        live, which = live[at], which[at]
+        count = times.astype(np.int32)[which]
         # plateaus: neighbours that overlap and stand equally often
         linked = after[live[:-1]] == live[1:]
-        flat = linked & (count[:-1] == count[1:])
-        begins = np.flatnonzero(np.r_[True, ~flat])
-        ends = np.r_[begins[1:], len(live)] - 1
-        rise = np.zeros(len(begins), bool)  # the pair before a plateau stands more often
-        rise[1:] = linked[begins[1:] - 1] & (count[begins[1:] - 1] > count[begins[1:]])
-        fall = np.zeros(len(begins), bool)
-        fall[:-1] = linked[ends[:-1]] & (count[ends[:-1] + 1] > count[ends[:-1]])
-        sizes = ends - begins + 1
-        hit = np.repeat(~rise & ~fall, sizes) & ((np.arange(len(live)) - np.repeat(begins, sizes)) % 2 == 0)
-        used = np.bincount(which[hit], minlength=len(pairs))
-        pays = used >= least
-        hit &= pays[which]
-        spot = live[hit]
+        fall, rise = linked & (count[:-1] > count[1:]), linked & (count[:-1] < count[1:])
+        begins = np.flatnonzero(np.concatenate([[True], ~linked | fall | rise]))
+        ends = np.append(begins[1:], len(live)) - 1
+        # those that no neighbour outnumbers: their first place, and every other one after it
+        top = np.flatnonzero(~(np.concatenate([[False], fall])[begins] | np.append(rise, False)[ends]))
+        hit = begins[top]
+        others = (ends[top] - hit) >> 1
+        long = np.flatnonzero(others)
+        if len(long):
+            others = others[long]
+            step = np.arange(1, int(others.sum()) + 1) - np.repeat(np.cumsum(others) - others, others)
+            hit = np.concatenate([hit, np.repeat(hit[long], others) + 2 * step])
+        pair = which[hit]
+        pays = np.bincount(pair, minlength=len(pairs)) >= least
+        paid = pays[pair]
+        spot, pair = live[hit[paid]], pair[paid]
         if not len(spot):
             break
         number = np.cumsum(pays) - 1
-        chosen = pairs[pays]
-        lefts.append(chosen >> 32)
-        rights.append(chosen & 0xFFFFFFFF)
+        lefts.append(pairs[pays] >> 32)
+        rights.append(pairs[pays] & 0xFFFFFFFF)
         gone = after[spot]
-        sequence[spot] = first + made + number[which[hit]]
-        made += len(chosen)
+        sequence[spot] = first + made + number[pair]
+        made += int(pays.sum())
         dead[gone] = True
-        after[spot] = after[gone]
-        inner = spot[after[spot] < n]
-        before[after[inner]] = inner
+        follow = after[gone]
+        after[spot] = follow
+        inner = follow < n
+        before[follow[inner]] = spot[inner]
         near = before[spot]
-        for part in (live, near[near >= 0]):  # the rows hit stand in live
-            on[part] = True
-        on[gone] = False
-        live = np.flatnonzero(on).astype(np.int32)
-        on[live] = False
-        live = live[after[live] < n]
+        near = near[near >= 0]
+        if len(live) + len(near) < n >> 6:
+            live = np.unique(np.concatenate([live, near]))  # the rows hit stand in live
+            live = live[~dead[live] & (after[live] < n)]
+        else:
+            on[live] = on[near] = True
+            on[gone] = on[spot[~inner]] = False
+            live = np.flatnonzero(on).astype(np.int32)
+            on[live] = False
     left, right = np.concatenate(lefts), np.concatenate(rights)
     stays = np.flatnonzero(~dead)
     return Grammar(left, right, lengths_of(left, right, first), first, sequence[stays].astype(np.uint32), np.searchsorted(stays, starts))
 
 
+def counted(left: np.ndarray, right: np.ndarray, bound: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of symbols under ``bound`` that stand ``least`` times, how often each
+    does, and all places of the first, of the second and so on. Pair and place are sorted
+    as one number where 63 bits hold them."""
+    wide, deep = bound.bit_length(), len(left).bit_length()
+    if 2 * wide + deep <= 63:
+        pair = np.sort((left << wide | right) << deep | np.arange(len(left)))
+        place = pair & ((1 << deep) - 1)
+        pair >>= deep
+    else:
+        wide, pair = 32, left << 32 | right
+        place = np.argsort(pair, kind="stable")
+        pair = pair[place]
+    edges = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]]))
+    times = np.diff(edges)
+    often = np.flatnonzero(times >= least)
+    times, pairs = times[often], pair[edges[often]]
+    places = place[np.repeat(edges[often] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))]
+    return pairs >> wide << 32 | pairs & ((1 << wide) - 1), times, places
+
+
 def lengths_of(left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
     """Ids that each rule expands to; a rule's parts are made before it."""
     length, known = np.zeros(len(left), np.int64), np.zeros(len(left), bool)
@@ -231,15 +254,15 @@ class Shard:
 
 class LibraryWords(dict):
     """The ids of each piece between white space, as the library's model gives them for
-    its words, as little-endian bytes. Pieces seen lately stay when the rest goes."""
+    its words, as little-endian bytes. A word is a piece too, so it is encoded once
+    whatever stands around it. Pieces seen lately stay when the rest goes."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
-        self.vocab = vocabulary(path)
+        self.cutter = Cutter(spec_of(path))
         self.older: dict = {}
-        self.words: dict[str, bytes] = {}
 
     def __missing__(self, piece) -> bytes:
         if len(self) > CACHE:
@@ -247,29 +270,23 @@ class LibraryWords(dict):
             self.clear()
         found = self.older.get(piece)
         if found is None:
-            if type(piece) is int:
-                found = struct.pack("<I", piece)
-            elif piece.isascii() and piece.isalpha():  # one word, kept once
-                found = self.words.get(piece) or self.encoded(piece)
-            else:
-                found = b"".join([self.word(w) for w in self.vocab.words_of(piece)])
+            found = struct.pack("<I", piece) if type(piece) is int else self.of(piece)
         self[piece] = found
         return found
 
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > CACHE:
-                self.words.clear()
-            found = self.words[word] = self.encoded(self.vocab.lettered(word))
-        return found
+    def of(self, piece: str) -> bytes:
+        core = piece.rstrip(string.punctuation)
+        if core.isalpha() and latin(core):  # letters and the marks after them: no pattern needed
+            return self.encoded(piece) if len(core) == len(piece) else self[core] + self[piece[len(core) :]]
+        words = self.cutter.words_of(piece)
+        return self.encoded(piece) if words == [piece] else b"".join([self[w] for w in words])
 
-    def encoded(self, letters: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def encoded(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(self.cutter.lettered(word))]
+        return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else np.array(ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.vocab.split(text)))
+        return b"".join(map(self.__getitem__, self.cutter.split(text)))
 
 
 def library_words(path: str) -> LibraryWords:

@@ -282,6 +282,40 @@ def test_grammar_goes_on_until_no_rule_pays():
         assert (repair.expand(h.sequence, h) == empty).all()
 
 
+def test_token_files_encode_each_word_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe, "_loaded", {})
+    words = repair.LibraryWords(path)
+    assert not bpe._loaded  # the tables of op3, which take over a second, are not built
+    model, asked = words.model, []
+
+    class Asked:
+        def tokenize(self, letters):
+            asked.append(letters)
+            return model.tokenize(letters)
+
+    words.model = Asked()
+    texts = ["Haus HAUS. haus, (haus) haus! Haus.", "l'été Été. l'été, 'haus 'sie it's", "x1 12. ... '. '.s é.é ª.º µ, ÷. ×× 日本. Σας. a\x1cb.\xa0c. \x00. d\x00. <|endoftext|>. _a_ a_"]
+    for text in texts * 2:
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) and {"haus", "."} < set(asked)
+
+
+def test_pairs_are_counted_alike_by_narrow_and_wide_numbers():
+    rng = np.random.default_rng(7)
+    left, right = rng.integers(0, 9, 2000), rng.integers(0, 9, 2000)
+    narrow = repair.counted(left, right, 9, 20)
+    wide = repair.counted(left, right, (1 << 31) - 1, 20)
+    assert all((a == b).all() for a, b in zip(narrow, wide)) and len(narrow[0])
+    at = 0
+    for pair, n in zip(narrow[0].tolist(), narrow[1].tolist()):
+        assert narrow[2][at : at + n].tolist() == [i for i in range(2000) if (left[i], right[i]) == (pair >> 32, pair & 0xFFFFFFFF)]
+        at += n
+
+
 def test_token_files_of_null_and_repeated_ids(spark):
     rows = [(None, "b b"), (-1, "c"), (2, "x y z"), (2, "a"), (2, "a"), (None, None)]
     docs = spark.createDataFrame([(i, t, 1, 1) for i, t in rows], "doc_id long, text string, start int, n_tokens int")
