@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ MAGIC = b"RPIDS002"
 SHARD_IDS, LEAST = 1 << 20, 5
 #: Symbols that one call of a reader expands at most, but for a longer document.
 READ_SYMBOLS = 1 << 16
+#: Ids that a rule may stand for and still be expanded beforehand, once for its file.
+SHORT = 32
 #: Pieces in each of two generations of a worker's cache: about 200 bytes each.
 CACHE = 600_000
 _PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
@@ -61,6 +64,18 @@ class Grammar:
         out[rule] = self.length[symbols[rule] - self.first]
         return out
 
+    @cached_property
+    def short(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rules of up to SHORT, one after another, and where each rule's
+        begin (-1 for longer ones)."""
+        rule = np.flatnonzero(self.length <= SHORT)
+        at = np.cumsum(self.length[rule]) - self.length[rule]
+        begins = np.full(len(self.length), -1)
+        begins[rule] = at
+        ids = np.empty(int(self.length[rule].sum()), np.uint32)
+        put(ids, rule + self.first, at, self, ids, np.full(len(begins), -1))
+        return ids, begins
+
 
 def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> Grammar:
     """Re-Pair in rounds over a linked list of the symbols.
@@ -178,15 +193,30 @@ def expand(sequence: np.ndarray, g: Grammar) -> np.ndarray:
     so each part goes to its place at once and ids are never moved again."""
     symbols = sequence.astype(np.int64)
     sizes = g.sizes(symbols)
-    at = np.cumsum(sizes) - sizes
     out = np.empty(int(sizes.sum()), np.uint32)
+    put(out, symbols, np.cumsum(sizes) - sizes, g, *g.short)
+    return out
+
+
+def put(out: np.ndarray, symbols: np.ndarray, at: np.ndarray, g: Grammar, ids: np.ndarray, begins: np.ndarray) -> None:
+    """Write what each symbol stands for at its place in ``out``. Rules that begin in
+    ``ids`` are copied from there, others are taken apart."""
     while len(symbols):
-        plain = symbols < g.first
+        rules = symbols >= g.first
+        plain = np.flatnonzero(~rules)
         out[at[plain]] = symbols[plain]
-        rule, at = symbols[~plain] - g.first, at[~plain]
+        rules = np.flatnonzero(rules)
+        rule, at = symbols[rules] - g.first, at[rules]
+        begin = begins[rule]
+        short = np.flatnonzero(begin >= 0)
+        if len(short):
+            sizes = g.length[rule[short]]
+            step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            out[np.repeat(at[short], sizes) + step] = ids[np.repeat(begin[short], sizes) + step]
+            long = np.flatnonzero(begin < 0)
+            rule, at = rule[long], at[long]
         left = g.left[rule]
         symbols, at = np.concatenate([left, g.right[rule]]), np.concatenate([at, at + g.sizes(left)])
-    return out
 
 
 def symbol_bytes(most: int) -> int:
