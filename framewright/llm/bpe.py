@@ -59,6 +59,11 @@ class Cutter:
         self.latin = re.compile(pattern.replace(r"\p{L}", below["L"]).replace(r"\p{N}", below["N"]).replace(r"\s", r"\t-\r \x85\xa0"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def lowered(self, text: str) -> str:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+
     def split(self, text: str) -> list[str | int]:
         """The pieces between white space of a text after normalisation, and special ids
         where their strings stand. No word reaches across white space, so it need not be
@@ -68,9 +73,7 @@ class Cutter:
             if piece in self.special:
                 found.append(self.special[piece])
                 continue
-            if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece)
-            piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
+            piece = self.lowered(piece)
             # Python also splits at four control characters, which are no white space here
             odd = any(c in piece for c in "\x1c\x1d\x1e\x1f")
             found += filter(None, self.white.split(piece)) if odd else piece.split()

@@ -304,6 +304,22 @@ def test_token_files_encode_each_word_once(monkeypatch):
     assert len(asked) == len(set(asked)) and {"haus", "."} < set(asked)
 
 
+def test_token_files_encode_as_pieces_come_and_go(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library, words = Tokenizer.from_file(path), repair.LibraryWords(path)
+    monkeypatch.setattr(repair, "CACHE", 100)
+    rng = np.random.default_rng(4)
+    letters = [*map(chr, range(256)), *"aeS .'s<|>Σςſ日本\u3000\u200b", "<|endoftext|>", "S1"]
+    for _ in range(200):
+        texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3)]
+        ids, sizes = words.encode(texts, 1)
+        wanted = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert ids.tolist() == [i for w in wanted for i in w] and sizes.tolist() == [len(w) for w in wanted]
+    assert len(words.pieces) < 400
+
+
 def test_pairs_are_counted_alike_by_narrow_and_wide_numbers():
     rng = np.random.default_rng(7)
     left, right = rng.integers(0, 9, 2000), rng.integers(0, 9, 2000)
