@@ -3,91 +3,38 @@
 Greedy longest match proposes the tokens of each distinct word. A proposal is the
 encoding exactly when every adjacent pair of its tokens is compatible, that is, when
 no merge would have joined across their border before the tokens themselves were
-made. Those checks run over all distinct adjacent pairs of a batch at once in numpy;
-only the words with an incompatible pair are encoded step by step: short ones by exact
-merging, runs of letters over LONG by the same checks, token by token: each time the
-longest token that is compatible with the one before, stepping back where none is. A
-sequence whose pairs are all compatible is the encoding, so both give the same, and
-the second takes time in proportion to the length.
+made. All new words of a batch walk through the trie of tokens at once in numpy, as do
+those checks over all distinct adjacent pairs; words with an incompatible pair are
+merged exactly, a step in each word at a time. Runs of letters over LONG are stepped
+through by the same checks, token by token: each time the longest token that is
+compatible with the one before, stepping back where none is. A sequence whose pairs are
+all compatible is the encoding, so all give the same, and the last takes time in
+proportion to the length.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-import re
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, tokenizer_path
+from .pieces import MARK, Pieces, spec_of
 
-CACHE_WORDS = 150_000
-#: Letters from which a failing word is not merged but stepped through.
+#: Bytes from which a word is stepped through.
 LONG = 64
 NEVER = np.int64(1) << 40
-SPACES = "[\t-\r \x85\xa0  -     　]+"
+#: The symbol after a word's last byte, and checked pairs that a worker keeps.
+END, PAIRS = 256, 1_000_000
 _loaded: dict[str, Vocabulary] = {}
 
 
-def byte_letters() -> dict[int, str]:
-    """The usual printable letter of each byte in byte-level vocabularies."""
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in kept]
-    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-class Cutter:
-    """How a tokenizer file cuts texts into words: normaliser, special strings, white
-    space and pattern. It holds no vocabulary, so it is there at once."""
-
-    def __init__(self, spec: dict) -> None:
-        check_spec(spec)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.letters = byte_letters()
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.white = re.compile(SPACES)
-        self.words = regex.compile(pattern.replace(r"\s", SPACES[1:-2]), regex.V0)
-        # the same pattern over the characters below 256, for Python's faster engine
-        below = {k: "".join(re.escape(c) for c in map(chr, range(256)) if unicodedata.category(c)[0] == k) for k in "LN"}
-        self.latin = re.compile(pattern.replace(r"\p{L}", below["L"]).replace(r"\p{N}", below["N"]).replace(r"\s", r"\t-\r \x85\xa0"))
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-
-    def lowered(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-
-    def split(self, text: str) -> list[str | int]:
-        """The pieces between white space of a text after normalisation, and special ids
-        where their strings stand. No word reaches across white space, so it need not be
-        made uniform, and a piece has the same words wherever it stands."""
-        found: list[str | int] = []
-        for piece in self.specials.split(text) if self.specials and "<" in text else (text,):
-            if piece in self.special:
-                found.append(self.special[piece])
-                continue
-            piece = self.lowered(piece)
-            # Python also splits at four control characters, which are no white space here
-            odd = any(c in piece for c in "\x1c\x1d\x1e\x1f")
-            found += filter(None, self.white.split(piece)) if odd else piece.split()
-        return found
-
-    def words_of(self, piece: str) -> list[str]:
-        return (self.latin if latin(piece) else self.words).findall(piece)
-
-    def lettered(self, word: str) -> str:
-        """A word in byte letters; visible ASCII stands for itself."""
-        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-
-
-class Vocabulary(Cutter):
+class Vocabulary(Pieces):
     """A byte-level BPE vocabulary with a word-end mark, from a tokenizer file.
 
     Words are strings of byte letters; ``mid`` are tokens inside a word and ``last``
@@ -115,11 +62,11 @@ class Vocabulary(Cutter):
         self.key_rank = np.array([self.ranks[k >> 32, k & 0xFFFFFFFF][0] for k in self.keys.tolist()] or [0], np.int64)
         self.key_whole = np.array([self.ranks[k >> 32, k & 0xFFFFFFFF][1] for k in self.keys.tolist()] or [0], np.int64)
         self.mid, self.last = {}, {}
-        for name, i in self.ids.items():
-            body = name.removesuffix(self.mark)
-            if body and self.merged(self.symbols(body, name != body)) == [i]:
+        bodies = [name.removesuffix(self.mark) for name in self.ids]
+        merged = self.merged_lists([self.symbols(body, name != body) for name, body in zip(self.ids, bodies, strict=True)])
+        for (name, i), body, found in zip(self.ids.items(), bodies, merged, strict=True):
+            if body and found == [i]:
                 (self.last if name != body else self.mid)[body] = i
-        self.longest, self.longest_last = (max(map(len, names), default=1) for names in (self.mid, self.last))
         self.border = [self.chains(side, size) for side in (1, 0)]
         self.sure: dict[int, bool] = {}
         self.chained: tuple[dict, dict] = {}, {}
@@ -127,11 +74,41 @@ class Vocabulary(Cutter):
         self.reach: dict[str, int] = {}
         for name in chain(self.mid, self.last):
             self.reach[name[:2]] = max(self.reach.get(name[:2], 0), len(name))
-        self.numbers = [str(i) for i in range(size)]
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        #: Ids of pieces between white space, by the words in them.
-        self.pieces: dict[str | int, tuple[int, ...]] = {}
+        #: Every id's number and name, each with a space after it.
+        self.numbers = pa.array([f"{i} " for i in range(size)], pa.large_string())
+        self.spelled = pa.array([f"{self.names.get(i, '')} " for i in range(size)], pa.large_string())
+        self.known = np.zeros(size, bool)
+        self.known[[*self.names]] = True
+        self.letter = np.array([[self.ids.get(self.letters[b] + mark, -1) for b in range(256)] for mark in ("", self.mark)])
+        self.trie, self.token = self.tree()
+        #: Pairs checked by :meth:`compatible` and what it said.
+        self.pairs, self.good = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def tree(self) -> tuple[np.ndarray, np.ndarray]:
+        """The trie of all tokens by their bytes, marked ones with END behind: the node
+        that follows each node at each symbol, and the token that ends in it, or -1."""
+        byte = {letter: b for b, letter in self.letters.items()}
+        node: dict[tuple[int, int], int] = {}
+        ends: dict[int, int] = {}
+        for names, tail in ((self.mid, []), (self.last, [END])):
+            for name, i in names.items():
+                if not byte.keys() >= {*name}:  # no text has these letters
+                    continue
+                at = 0
+                for b in [*map(byte.__getitem__, name), *tail]:
+                    at = node.setdefault((at, b), len(node) + 1)
+                ends[at] = i
+        # nodes that lead on come first, so that only they need a row
+        edges = np.array([(a, b, to) for (a, b), to in node.items()], np.int64).reshape(-1, 3)
+        inner = np.zeros(len(node) + 1, bool)
+        inner[0] = inner[edges[:, 0]] = True
+        place = np.empty(len(inner), np.int64)
+        place[np.argsort(~inner, kind="stable")] = np.arange(len(inner))
+        trie = np.full((int(inner.sum()) + 1, END + 1), -1, np.int32)
+        trie[place[edges[:, 0]], edges[:, 1]] = place[edges[:, 2]]
+        token = np.full(len(inner), -1, np.int32)
+        token[place[[*ends]]] = [*ends.values()]
+        return trie, token
 
     def symbols(self, word: str, marked: bool = True) -> list[int]:
         """The single-letter tokens of a word, the last with the word-end mark."""
@@ -159,42 +136,61 @@ class Vocabulary(Cutter):
         return units
 
     def merged_many(self, words: list[str]) -> list[list[int]]:
-        """Exact merging of many words at once: each round does, in every word, its
-        lowest-ranked adjacent pair, wherever it stands, from the left."""
-        units = [self.symbols(w) for w in words]
-        counts = np.array([len(u) for u in units], np.int64)
-        flat = np.fromiter((t for u in units for t in u), np.int64, int(counts.sum()))
-        owner = np.repeat(np.arange(len(words)), counts)
-        done: list[list[int]] = [[] for _ in words]
-
-        def keep(tokens: np.ndarray, of: np.ndarray) -> None:
-            if len(of):
-                cuts = np.flatnonzero(np.diff(of)) + 1
-                for part, i in zip(np.split(tokens, cuts), of[np.concatenate([[0], cuts])].tolist(), strict=True):
-                    done[i] = part.tolist()
-
+        """Exact merging of many words at once."""
+        return self.merged_lists([self.symbols(w) for w in words])
+
+    def merged_lists(self, units: list[list[int]]) -> list[list[int]]:
+        counts = [len(u) for u in units]
+        flat, owner = self.merge(np.fromiter(chain.from_iterable(units), np.int64, sum(counts)), np.repeat(np.arange(len(units)), counts))
+        ends = np.searchsorted(owner, np.arange(len(units) + 1)).tolist()
+        flat = flat.tolist()
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of the merge of each left and right token; NEVER without one."""
+        if not len(self.keys):
+            return np.full(len(left), NEVER), left
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.key_rank[at], NEVER), self.key_whole[at]
+
+    def merge(self, flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the letters of many words, the word of each in ascending ``owner``: each
+        round does, in every word, its lowest-ranked adjacent pair, wherever it stands,
+        from the left. Only pairs beside a merge are looked up again."""
+        done = []
+
+        def look(at: np.ndarray) -> None:
+            rank[-1:] = NEVER
+            at = at[(at >= 0) & (at < len(flat) - 1)]
+            rank[at], whole[at] = self.joined(flat[at], flat[at + 1])
+            rank[at[owner[at] != owner[at + 1]]] = NEVER
+
+        flat, rank, whole = flat.copy(), np.full(len(flat), NEVER), flat.copy()
+        look(np.arange(len(flat)))
         while len(flat):
-            rank = np.full(len(flat), NEVER)
-            inner = np.flatnonzero(owner[:-1] == owner[1:])
-            key = flat[inner] << 32 | flat[inner + 1]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank[inner] = np.where(self.keys[at] == key, self.key_rank[at], NEVER)
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            sizes = np.diff(np.append(first, len(flat)))
-            lowest = np.repeat(np.minimum.reduceat(rank, first), sizes)
-            ended = lowest == NEVER
-            keep(flat[ended], owner[ended])
-            hit = (rank == lowest) & ~ended
-            # in a run of hits next to each other (a a a) every other one counts
-            run_start = hit & ~np.concatenate([[False], hit[:-1]])
-            place = np.arange(len(hit)) - np.maximum.accumulate(np.where(run_start, np.arange(len(hit)), 0))
-            hit &= place % 2 == 0
+            lowest = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(flat))))
+            left = lowest < NEVER
+            done.append((flat[~left], owner[~left]))
+            hit = (rank == lowest) & left
+            if (hit[1:] & hit[:-1]).any():
+                # in a run of hits next to each other (a a a) every other one counts
+                run_start = hit & ~np.concatenate([[False], hit[:-1]])
+                place = np.arange(len(hit)) - np.maximum.accumulate(np.where(run_start, np.arange(len(hit)), 0))
+                hit &= place % 2 == 0
             where = np.flatnonzero(hit)
-            flat[where] = self.key_whole[np.searchsorted(self.keys, flat[where] << 32 | flat[where + 1])]
-            left = ~ended
+            flat[where] = whole[where]
             left[where + 1] = False
-            flat, owner = flat[left], owner[left]
-        return done
+            where = np.cumsum(left)[where] - 1
+            flat, owner, rank, whole = flat[left], owner[left], rank[left], whole[left]
+            look(where)
+            look(where - 1)
+        if not done:
+            return flat, owner
+        flat, owner = (np.concatenate(parts) for parts in zip(*done, strict=True))
+        order = np.argsort(owner, kind="stable")
+        return flat[order], owner[order]
 
     def chains(self, side: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         """For each token, the parts along one border from the token down to a letter,
@@ -233,23 +229,49 @@ class Vocabulary(Cutter):
                 good[here[(rank < ends_x[here]) & (rank <= ends_y) & (rank < NEVER)]] = False
         return good
 
-    def greedy(self, word: str) -> list[int] | None:
-        """The longest token at each place; the last one carries the mark."""
-        found, at, n = [], 0, len(word)
-        mid, last = self.mid, self.last
-        while True:
-            end = last.get(word[at:]) if n - at <= self.longest_last else None
-            if end is not None:
-                found.append(end)
-                return found
-            for size in range(min(self.longest, n - at - 1), 0, -1):
-                token = mid.get(word[at : at + size])
-                if token is not None:
-                    found.append(token)
-                    at += size
-                    break
-            else:
-                return None
+    def compatible_pairs(self, pairs: np.ndarray) -> np.ndarray:
+        """What :meth:`compatible` says of distinct pairs, left token above right one."""
+        if len(self.pairs) > PAIRS:
+            self.pairs, self.good = self.pairs[:0], self.good[:0]
+        new = pairs[~np.isin(pairs, self.pairs, assume_unique=True)]
+        if len(new):
+            every = np.concatenate([self.pairs, new])
+            order = np.argsort(every, kind="stable")
+            good = np.concatenate([self.good, self.compatible(new >> 32, new & 0xFFFFFFFF)])
+            self.pairs, self.good = every[order], good[order]
+        return self.good[np.searchsorted(self.pairs, pairs)]
+
+    def greedy(self, symbols: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The longest token at each place of many words, with END at ``ends``; the last
+        one carries the mark: all tokens, the word of each, and the words without such."""
+        tokens, owners, failed = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        word, at, ends = np.arange(len(begins)), begins.copy(), ends.copy()
+        node = np.zeros(len(word), np.int32)
+        best, after = np.full(len(word), -1, np.int32), at.copy()
+        while len(word):
+            node = self.trie[node, symbols[at]]
+            at += 1
+            on = node >= 0
+            token = self.token[node]
+            longer = np.flatnonzero(on & (token >= 0) & (at != ends))
+            best[longer], after[longer] = token[longer], at[longer]
+            # nodes beyond the last row, and the last row itself, lead nowhere
+            np.minimum(node, len(self.trie) - 1, out=node)
+            stop = np.flatnonzero(~on | (at > ends))
+            if len(stop):
+                found = stop[best[stop] >= 0]
+                tokens.append(best[found])
+                owners.append(word[found])
+                failed.append(word[stop[best[stop] < 0]])
+                at[stop], node[stop] = after[stop], 0
+                left = np.ones(len(word), bool)
+                left[stop[(best[stop] < 0) | (after[stop] > ends[stop])]] = False
+                best[stop] = -1
+                if not left.all():
+                    word, at, ends, node, best, after = (x[left] for x in (word, at, ends, node, best, after))
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(tokens)[order].astype(np.int64), owner[order], np.concatenate(failed)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether one pair of tokens is compatible, as :meth:`compatible` has it."""
@@ -293,107 +315,70 @@ class Vocabulary(Cutter):
                 at -= most + 1
         return found
 
-    def encode_new(self, words: list[str]) -> None:
-        """Encode distinct words and keep them in the cache."""
-        proposals = [self.greedy(w) for w in words]
-        counts = np.array([len(p) if p else 0 for p in proposals], np.int64)
-        flat = np.fromiter((t for p in proposals if p for t in p), np.int64, int(counts.sum()))
-        inner = np.ones(len(flat), bool)
-        inner[np.cumsum(counts[counts > 0]) - 1] = False
-        at = np.flatnonzero(inner)
-        pairs = flat[at] << 32 | flat[at + 1] if len(at) else np.zeros(0, np.int64)
-        distinct, where = np.unique(pairs, return_inverse=True)
-        new = np.array([p for p in distinct.tolist() if p not in self.sure], np.int64)
-        if len(self.sure) > 1_000_000:
-            self.sure, new = {}, distinct
-        if len(new):
-            self.sure.update(zip(new.tolist(), self.compatible(new >> 32, new & 0xFFFFFFFF).tolist(), strict=True))
-        holds = np.fromiter((self.sure[p] for p in distinct.tolist()), bool, len(distinct))
-        owner = np.repeat(np.arange(len(words)), counts)
-        bad = np.zeros(len(words), bool)
-        if len(at):
-            bad[owner[at[~holds[where]]]] = True
-        failing = [i for i, (p, wrong) in enumerate(zip(proposals, bad.tolist(), strict=True)) if wrong or p is None]
-        for i in failing:
-            if len(words[i]) > LONG:
-                proposals[i] = self.stepped(words[i])
-        failing = [i for i in failing if len(words[i]) <= LONG or proposals[i] is None]
-        for i, ids in zip(failing, self.merged_many([words[i] for i in failing]), strict=True):
-            proposals[i] = ids
-        self.cache.update(zip(words, map(tuple, proposals), strict=True))
-
-    def known(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each word; those seen lately come from two generations of cache."""
-        if len(self.cache) > CACHE_WORDS:
-            self.older, self.cache = self.cache, {}
-        missing = []
-        for word in words:
-            if word not in self.cache:
-                seen = self.older.get(word)
-                if seen is None:
-                    missing.append(word)
-                else:
-                    self.cache[word] = seen
-        if missing:
-            spelled = {}
-            for word in missing:
-                spelled.setdefault(self.lettered(word), []).append(word)
-            self.encode_new([*spelled])
-            for letters, same in spelled.items():
-                for word in same:
-                    self.cache[word] = self.cache[letters]
-        return self.cache
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text."""
-        split = [self.split(t) for t in texts]
-        if len(self.pieces) > 2 * CACHE_WORDS:
-            self.pieces = {}
-        pieces = self.pieces
-        new = {p: (p,) if type(p) is int else self.words_of(p) for p in set().union(*split) if p not in pieces}
-        cache = self.known({w for p, words in new.items() if type(p) is str for w in words})
-        for p, words in new.items():
-            pieces[p] = words if type(p) is int else cache[words[0]] if len(words) == 1 else tuple(chain.from_iterable(cache[w] for w in words))
-        for found in split:
-            yield list(chain.from_iterable(map(pieces.__getitem__, found)))
+    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets -= offsets[0]
+        sizes = np.diff(offsets)
+        special = data[offsets[:-1]] == ord(MARK)
+        alone = {i: [int(words[i].as_py()[1:])] for i in np.flatnonzero(special).tolist()}
+        if len(self.sure) > PAIRS:
+            self.sure = {}
+        for i in np.flatnonzero(~special & (sizes > LONG)).tolist():
+            ids = self.stepped(self.lettered(words[i].as_py()))
+            if ids is not None:
+                alone[i] = ids
+        # the bytes of all words, each with END behind
+        begins = offsets[:-1] + np.arange(len(words))
+        symbols = np.full(len(data) + len(words), END, np.int16)
+        symbols[np.arange(len(data)) + np.repeat(np.arange(len(words)), sizes)] = data
+        todo = np.ones(len(words), bool)
+        todo[[*alone]] = False
+        todo = np.flatnonzero(todo)
+        flat, owner, failed = self.greedy(symbols, begins[todo], (begins + sizes)[todo])
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        distinct, where = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
+        bad = np.zeros(len(todo), bool)
+        bad[failed] = bad[owner[inner[~self.compatible_pairs(distinct)[where]]]] = True
+        good = ~bad[owner]
+        parts = [(flat[good], todo[owner[good]]), self.merge(*self.units(data, offsets, todo[bad]))]
+        if alone:
+            parts.append((np.array([*chain.from_iterable(alone.values())], np.int64), np.repeat([*alone], [len(ids) for ids in alone.values()])))
+        flat, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return flat[np.argsort(owner, kind="stable")].astype(np.uint32), np.bincount(owner, minlength=len(words))
+
+    def units(self, data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What :meth:`symbols` gives for these words, and the word of each letter."""
+        sizes = np.diff(offsets)[words]
+        ends = np.cumsum(sizes)
+        units = self.letter[0][data[np.arange(int(sizes.sum())) + np.repeat(offsets[words] - ends + sizes, sizes)]]
+        units[ends - 1] = self.letter[1][data[offsets[words + 1] - 1]]
+        owner = np.repeat(words, sizes)
+        return units[units >= 0], owner[units >= 0]
 
     def ids_of(self, text: str) -> list[int]:
-        return next(self.encode([text]))
+        return self.encode([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Token names joined by spaces, special ones kept: what a tokenizer file
         without a decoder gives. Unknown ids are left out."""
-        try:
-            return " ".join(map(self.names.__getitem__, ids))
-        except KeyError:
-            return " ".join(self.names[i] for i in ids if i in self.names)
-
-
-def spec_of(path: str) -> dict:
-    with open(path, encoding="utf-8") as file:
-        return json.load(file)
-
+        return str(self.decoded(np.array([-1 if i is None else i for i in ids], np.int64), np.array([len(ids)]))[0], "utf-8")
 
-def check_spec(spec: dict) -> None:
-    """Refuse a tokenizer file that asks for anything else than what is done here."""
-    normal = [{k: v for k, v in n.items() if k != "pattern"} | {"pattern": n.get("pattern", {}).get("Regex")} for n in (spec["normalizer"] or {}).get("normalizers", [])]
-    expected = [{"type": "NFC", "pattern": None}, {"type": "Replace", "content": " ", "pattern": r"\s+"}, {"type": "Lowercase", "pattern": None}]
-    kinds = [p["type"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
-    model = spec["model"]
-    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
-    added = all(not t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
-    split = kinds == ["Split", "ByteLevel"] and spec["pre_tokenizer"]["pretokenizers"][0]["invert"] and not spec["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"]
-    starts = all(t["content"].startswith("<") for t in spec["added_tokens"])
-    if normal != expected or not split or spec["decoder"] or spec["post_processor"] or model["type"] != "BPE" or not model["end_of_word_suffix"] or not plain or not added or not starts:
-        raise ValueError("the tokenizer file has a normalizer, splitter, model or decoder of another kind")
+    def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> list[memoryview]:
+        """The texts, in UTF-8, of rows of ids that stand one after another."""
+        known = (ids >= 0) & (ids < len(self.known))
+        known[known] = self.known[ids[known]]
+        if not known.all():
+            sizes = np.diff(np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(sizes)])])
+        return spelled(self.spelled, ids[known], sizes)
 
 
-def latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+def spelled(entries: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> list[memoryview]:
+    """The entries of each row's ids one after another, without the space at the end."""
+    found = entries.take(pa.array(ids))
+    ends = np.frombuffer(found.buffers()[1], np.int64, len(ids) + 1, 8 * found.offset)[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    data = memoryview(found.buffers()[2] or b"")
+    return [data[a : max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -402,7 +387,7 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def groups(texts: list[str], most: int = 2 << 20) -> Iterator[list[str]]:
+def groups(texts: list[str], most: int = 8 << 20) -> Iterator[list[str]]:
     group, size = [], 0
     for text in texts:
         group.append(text)
@@ -419,10 +404,10 @@ def digests(texts: list[str], path: str) -> tuple[list[int], list[str], list[str
     vocab = vocabulary(path)
     counts, of_ids, of_text = [], [], []
     for group in groups(texts):
-        for ids in vocab.encode(group):
-            counts.append(len(ids))
-            of_ids.append(hashlib.sha256(" ".join(map(vocab.numbers.__getitem__, ids)).encode()).hexdigest())
-            of_text.append(hashlib.sha256(vocab.decode(ids).encode()).hexdigest())
+        ids, sizes = vocab.encode(group)
+        counts += sizes.tolist()
+        of_ids += [hashlib.sha256(x).hexdigest() for x in spelled(vocab.numbers, ids, sizes)]
+        of_text += [hashlib.sha256(x).hexdigest() for x in vocab.decoded(ids, sizes)]
     return counts, of_ids, of_text
 
 
@@ -439,7 +424,9 @@ def encode_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_c
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(path)
         for texts in batches:
-            yield pa.array([ids for group in groups([t or "" for t in texts.to_pylist()]) for ids in vocab.encode(group)], pa.list_(pa.int32()))
+            parts = [vocab.encode(group) for group in groups([t or "" for t in texts.to_pylist()])]
+            ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids.astype(np.int32)))
 
     return docs.select(F.col(id_col).alias("doc_id"), F.arrow_udf(encode, "array<int>")(text_or_empty(text_col)).alias("ids"))
 
@@ -451,7 +438,8 @@ def decode_documents(encoded: DataFrame, tokenizer: str = "word_bpe_49k.json", i
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(path)
         for ids in batches:
-            yield pa.array([vocab.decode(i or []) for i in ids.to_pylist()], pa.string())
+            flat, sizes = ids.flatten().fill_null(-1), ids.value_lengths().fill_null(0)
+            yield pa.array([str(t, "utf-8") for t in vocab.decoded(flat.to_numpy(), sizes.to_numpy())], pa.string())
 
     return encoded.select(F.col(id_col).alias("doc_id"), F.arrow_udf(decode, "string")(F.col(ids_col)).alias("text"))
 

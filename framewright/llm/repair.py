@@ -16,7 +16,6 @@ rule; the sequence, its symbols in as few bytes each (2, 3 or 4) as hold them.
 
 from __future__ import annotations
 
-import string
 import struct
 import uuid
 import zlib
@@ -26,14 +25,13 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .bpe import Cutter, latin, spec_of
 from .common import saved, scratch, text_or_empty, tokenizer_path
+from .pieces import MARK, Pieces, spec_of
 
 MAGIC = b"RPIDS002"
 #: Ids in a shard at least (a document is never split), and replacements from which a
@@ -47,9 +45,6 @@ SHORT = 32
 CACHE = 600_000
 #: Texts that are encoded at once, in characters.
 AT_ONCE = 8 << 20
-#: White space beyond ASCII, and the control characters at which Python splits too.
-WIDE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-MARK = "S"
 _PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 _models: dict[str, object] = {}
 
@@ -288,100 +283,27 @@ class Shard:
             i = j
 
 
-class LibraryWords:
-    """The ids of each piece between white space, as the library's model gives them for
-    its words. A word is a piece too, so it is encoded once whatever stands around it.
-
-    Pieces lie in an Arrow array, their ids one after another in ``flat``; the pieces of
-    many texts are split and looked up at once, and only new ones become Python strings.
-    Over CACHE pieces, the half that was seen lately stays.
-    """
+class LibraryWords(Pieces):
+    """Pieces whose words are encoded by the library's model."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__(spec_of(path))
         self.model = Tokenizer.from_file(path).model
-        self.cutter = Cutter(spec_of(path))
-        self.pieces = pa.array([], pa.string())
-        self.flat = np.zeros(0, np.uint32)
-        self.begins, self.sizes, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.calls = 0
-
-    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by ``end_id``, and how many each has."""
-        self.calls += 1
-        if len(self.pieces) > CACHE:
-            self.keep(self.seen >= np.median(self.seen))
-        end = "" if end_id is None else f" {MARK}{end_id}"
-        split = pc.ascii_split_whitespace(pa.array([self.spaced(t) + end for t in texts], pa.string()))
-        found = split.flatten().dictionary_encode()
-        number = self.number(found.dictionary)
-        self.seen[number] = self.calls
-        number = number[found.indices.to_numpy()]
-        sizes = self.sizes[number]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.begins[number] - ends + sizes, sizes)
-        at += np.arange(len(at))
-        total = np.concatenate([[0], ends])[split.offsets.to_numpy()]
-        return self.flat[at], np.diff(total)
-
-    def spaced(self, text: str) -> str:
-        """A text after normalisation, its pieces between plain spaces; special ids are
-        numbers after MARK, a capital that no other piece holds."""
-        if text.isascii() and "<" not in text:
-            return text.lower()
-        if not ("<" in text or any(c in text for c in WIDE)):
-            return self.cutter.lowered(text)
-        return " ".join([p if type(p) is str else f"{MARK}{p}" for p in self.cutter.split(text)])
-
-    def number(self, pieces: pa.Array) -> np.ndarray:
-        """Where distinct pieces stand; new ones are encoded."""
-        at = pc.index_in(pieces, value_set=self.pieces)
-        new = pc.is_null(at).to_numpy(zero_copy_only=False)
-        at = at.fill_null(-1).to_numpy().astype(np.int64)
-        fresh = pieces.filter(pa.array(new))
-        at[new] = len(self.pieces) + np.arange(len(fresh))
-        if len(fresh):
-            self.learn(fresh)
-        return at
-
-    def learn(self, fresh: pa.Array) -> None:
-        names = fresh.to_pylist()
-        parts = [self.words_of(p) for p in names]
-        known = {p: self.encoded(p) for p, words in zip(names, parts, strict=True) if words == [p]}
-        others = pa.array([*{w for words in parts for w in words if w not in known}], pa.string())
-        at = pc.index_in(others, value_set=self.pieces).to_pylist()
-        extra = []
-        for word, k in zip(others.to_pylist(), at, strict=True):
-            if k is None:
-                extra.append(word)
-                known[word] = self.encoded(word)
-            else:
-                known[word] = self.flat[self.begins[k] : self.begins[k] + self.sizes[k]].tobytes()
-        found = [known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p]) for p in parts] + [known[w] for w in extra]
-        sizes = np.array([len(x) for x in found], np.int64) // 4
-        self.pieces = pa.concat_arrays([self.pieces, fresh, pa.array(extra, pa.string())])
-        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), "<u4")])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.seen = np.concatenate([self.seen, np.full(len(sizes), self.calls)])
-
-    def keep(self, stay: np.ndarray) -> None:
-        self.pieces = self.pieces.filter(pa.array(stay))
-        self.flat = self.flat[np.repeat(stay, self.sizes)]
-        self.sizes, self.seen = self.sizes[stay], self.seen[stay]
-        self.begins = np.cumsum(self.sizes) - self.sizes
-
-    def words_of(self, piece: str) -> list[str]:
-        core = piece.rstrip(string.punctuation)
-        if core.isalpha() and (core.isascii() or latin(core)):  # letters and the marks after them: no pattern needed
-            return [core] if len(core) == len(piece) else [core, piece[len(core) :]]
-        return [piece] if piece.startswith(MARK) else self.cutter.words_of(piece)
-
-    def encoded(self, word: str) -> bytes:
+
+    @property
+    def most(self) -> int:
+        return CACHE
+
+    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.word(w) for w in words.to_pylist()]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def word(self, word: str) -> bytes:
         if word.startswith(MARK):
             return struct.pack("<I", int(word[1:]))
-        ids = [t.id for t in self.model.tokenize(self.cutter.lettered(word))]
+        ids = [t.id for t in self.model.tokenize(self.lettered(word))]
         return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else np.array(ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:

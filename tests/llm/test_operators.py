@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, langid, minhash, mixing, nearest, quality, repair, token_count, warc
+from framewright.llm import bpe, langid, minhash, mixing, nearest, pieces, quality, repair, token_count, warc
 from framewright.llm.components import components
 from framewright.llm.cover_tree import near_vectors
 from framewright.llm.minhash import near_duplicates
@@ -203,6 +203,56 @@ def test_bpe_of_long_words_takes_time_in_proportion():
     assert took[1] < 40 * took[0]  # a square would be 100
 
 
+def test_bpe_costs_less_than_half_of_the_library(monkeypatch):
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    monkeypatch.setattr(bpe, "_loaded", {})
+    bpe.vocabulary(path)
+    library = Tokenizer.from_file(path)
+    rng = np.random.default_rng(6)
+    parts = np.array("the of and her ing tion que los der sch un er".split())
+    words = ["".join(parts[rng.integers(0, len(parts), n)]) for n in rng.integers(1, 8, 60_000)]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(1500)]
+    began = time.process_time()
+    found = bpe.digests(texts, path)
+    took = time.process_time() - began
+    began = time.process_time()
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert took < 0.5 * (time.process_time() - began)  # 0.77 with words encoded one by one
+    assert found[0] == [len(w) for w in wanted] and found[1] == [hashlib.sha256(" ".join(map(str, w)).encode()).hexdigest() for w in wanted]
+
+
+def test_bpe_of_many_texts_as_pieces_come_and_go(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    vocab, library = bpe.Vocabulary(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(pieces, "CACHE", 100)
+    monkeypatch.setattr(bpe, "PAIRS", 50)
+    rng = np.random.default_rng(5)
+    letters = [*map(chr, range(256)), *"aaaeS .'s<|>Σςſ日本\u3000\u200b", "<|endoftext|>", "S1", "a" * 70, "é" * 40, " the", "'ll"]
+    for _ in range(200):
+        texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3)]
+        ids, sizes = vocab.encode(texts)
+        wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for w in wanted for i in w] and sizes.tolist() == [len(w) for w in wanted]
+        assert [str(t, "utf-8") for t in vocab.decoded(ids, sizes)] == [library.decode(w, skip_special_tokens=False) for w in wanted]
+    assert len(vocab.pieces) < 400
+    # ids without a token are left out, wherever they stand
+    assert [bytes(t) for t in vocab.decoded(np.array([-1, 7, 1 << 20, 1 << 20]), np.array([0, 3, 1, 0]))] == [b"", vocab.names[7].encode(), b"", b""]
+    assert vocab.decode([None, 7, -3, 8]) == f"{vocab.names[7]} {vocab.names[8]}" and vocab.decode([]) == ""
+
+
+def test_bpe_decodes_null_ids(spark):
+    rows = [(1, [7, None, 8]), (2, None), (3, []), (4, [None, -1, 1 << 30]), (5, [49407])]
+    found = {r["doc_id"]: r["text"] for r in bpe.decode_documents(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()}
+    names = bpe.vocabulary(P.path("word_bpe_49k.json")).names
+    assert found == {1: f"{names[7]} {names[8]}", 2: "", 3: "", 4: "", 5: "<|endoftext|>"}
+
+
 def test_bpe_refuses_other_tokenizer_files(tmp_path):
     import json
 
