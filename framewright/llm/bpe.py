@@ -80,13 +80,14 @@ class Vocabulary(Pieces):
         self.known = np.zeros(size, bool)
         self.known[[*self.names]] = True
         self.letter = np.array([[self.ids.get(self.letters[b] + mark, -1) for b in range(256)] for mark in ("", self.mark)])
-        self.trie, self.token = self.tree()
+        self.edges, self.follows, self.token = self.tree()
         #: Pairs checked by :meth:`compatible` and what it said.
         self.pairs, self.good = np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def tree(self) -> tuple[np.ndarray, np.ndarray]:
-        """The trie of all tokens by their bytes, marked ones with END behind: the node
-        that follows each node at each symbol, and the token that ends in it, or -1."""
+    def tree(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The trie of all tokens by their bytes, marked ones with END behind: its edges,
+        node above symbol, in order, the node each leads to, and the token that ends in
+        each node, or -1."""
         byte = {letter: b for b, letter in self.letters.items()}
         node: dict[tuple[int, int], int] = {}
         ends: dict[int, int] = {}
@@ -98,17 +99,11 @@ class Vocabulary(Pieces):
                 for b in [*map(byte.__getitem__, name), *tail]:
                     at = node.setdefault((at, b), len(node) + 1)
                 ends[at] = i
-        # nodes that lead on come first, so that only they need a row
-        edges = np.array([(a, b, to) for (a, b), to in node.items()], np.int64).reshape(-1, 3)
-        inner = np.zeros(len(node) + 1, bool)
-        inner[0] = inner[edges[:, 0]] = True
-        place = np.empty(len(inner), np.int64)
-        place[np.argsort(~inner, kind="stable")] = np.arange(len(inner))
-        trie = np.full((int(inner.sum()) + 1, END + 1), -1, np.int32)
-        trie[place[edges[:, 0]], edges[:, 1]] = place[edges[:, 2]]
-        token = np.full(len(inner), -1, np.int32)
-        token[place[[*ends]]] = [*ends.values()]
-        return trie, token
+        edges = np.array([(a << 9 | b, to) for (a, b), to in node.items()] or [(-1, 0)], np.int32)
+        edges = edges[np.argsort(edges[:, 0])]
+        token = np.full(len(node) + 1, -1, np.int32)
+        token[[*ends]] = [*ends.values()]
+        return edges[:, 0].copy(), edges[:, 1].copy(), token
 
     def symbols(self, word: str, marked: bool = True) -> list[int]:
         """The single-letter tokens of a word, the last with the word-end mark."""
@@ -249,14 +244,14 @@ class Vocabulary(Pieces):
         node = np.zeros(len(word), np.int32)
         best, after = np.full(len(word), -1, np.int32), at.copy()
         while len(word):
-            node = self.trie[node, symbols[at]]
+            edge = node << 9 | symbols[at]
+            place = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            on = self.edges[place] == edge
+            node = self.follows[place]
             at += 1
-            on = node >= 0
             token = self.token[node]
             longer = np.flatnonzero(on & (token >= 0) & (at != ends))
             best[longer], after[longer] = token[longer], at[longer]
-            # nodes beyond the last row, and the last row itself, lead nowhere
-            np.minimum(node, len(self.trie) - 1, out=node)
             stop = np.flatnonzero(~on | (at > ends))
             if len(stop):
                 found = stop[best[stop] >= 0]
